@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,48 @@ def next_pow2(n: int) -> int:
     return 1 << max(0, int(n) - 1).bit_length()
 
 
+# ---------------------------------------------------------------- filters over all partitions
+
+BLOCK_POSITIONS = 1 << 20
+SKETCH = "block long, positions binary"
+
+
+def block_width(bits: int, entries: int) -> int:
+    """Positions per block, so that merging one block sees about ``BLOCK_POSITIONS`` entries."""
+    return max(1, bits // next_pow2(max(1, max(bits, entries) // BLOCK_POSITIONS)))
+
+
+def emit_positions(pos: np.ndarray, width: int) -> pa.RecordBatch:
+    """What one partition adds to a filter: its positions by block, one entry per time it sets one, two at most."""
+    pos, times = np.unique(pos, return_counts=True)
+    pos = np.repeat(pos, np.minimum(times, 2)).astype(np.uint64)
+    ids, at = np.unique(pos // np.uint64(width), return_index=True)
+    within = (pos % np.uint64(width)).astype(np.uint32)
+    return pa.RecordBatch.from_pydict(
+        {"block": ids.astype(np.int64), "positions": [x.tobytes() for x in np.split(within, at[1:])][: len(ids)]},
+        pa.schema([("block", pa.int64()), ("positions", pa.binary())]),
+    )
+
+
+def repeated_positions(sketches: DataFrame, bits: int, width: int) -> np.ndarray:
+    """Bitmap (``bits`` / 8 bytes) of the positions that all partitions together set at least twice."""
+
+    def merge(key, pdf):
+        pos, times = np.unique(np.frombuffer(b"".join(pdf["positions"]), np.uint32), return_counts=True)
+        return pd.DataFrame({"block": [key[0]], "positions": [pos[times > 1].tobytes()]})
+
+    bitmap = np.zeros(max(1, bits // 8), np.uint8)
+    for row in sketches.groupBy("block").applyInPandas(merge, SKETCH).toLocalIterator():
+        pos = np.frombuffer(row["positions"], np.uint32).astype(np.int64) + row["block"] * width
+        np.bitwise_or.at(bitmap, pos >> 3, (1 << (pos & 7)).astype(np.uint8))
+    return bitmap
+
+
+def is_set(bitmap: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    pos = pos.astype(np.int64)
+    return ((bitmap[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 # ---------------------------------------------------------------- bytes and words
 
 

@@ -17,19 +17,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, next_pow2, text_or_empty
+from .common import SKETCH, SPACES, block_width, cut, emit_positions, is_set, next_pow2, repeated_positions, text_or_empty
 
 BITS_PER_ROW = 16
 HASHES = 4
 #: The bitmap that is broadcast never exceeds this many bits (256 MB). With more rows than
 #: 2**31 / 16 it fills up and lets more unique rows through to the exact pass; none is lost.
 MAX_BITS = 1 << 31
-BLOCK_POSITIONS = 1 << 20
 
 
 def normalised(column):
@@ -57,33 +55,14 @@ def _positions(sha: pa.Array, bits: int) -> np.ndarray:
 
 def _repeated_bits(fp: DataFrame, n: int, bits: int) -> np.ndarray:
     """Bitmap of the positions that at least two rows set."""
-    blocks = next_pow2(max(1, max(bits, HASHES * n) // BLOCK_POSITIONS))
-    width = max(1, bits // blocks)
+    width = block_width(bits, HASHES * n)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            pos = np.sort(_positions(batch.column(0), bits).ravel())
-            block = pos // np.uint64(width)
-            ids, at = np.unique(block, return_index=True)
-            within = (pos % np.uint64(width)).astype(np.uint32)
-            yield pa.RecordBatch.from_pydict(
-                {"block": pa.array(ids.astype(np.int64)), "positions": [x.tobytes() for x in np.split(within, at[1:])]},
-                pa.schema([("block", pa.int64()), ("positions", pa.binary())]),
-            )
-
-    def merge(key, pdf):
-        pos, times = np.unique(np.frombuffer(b"".join(pdf["positions"]), np.uint32), return_counts=True)
-        return pd.DataFrame({"block": [key[0]], "positions": [pos[times > 1].tobytes()]})
-
-    schema = "block long, positions binary"
-    merged = fp.select("sha").mapInArrow(sketch, schema).groupBy("block").applyInPandas(merge, schema)
-    bitmap = np.zeros(max(1, bits // 8), np.uint8)
-    for row in merged.toLocalIterator():
-        pos = np.frombuffer(row["positions"], np.uint32).astype(np.int64) + row["block"] * width
-        np.bitwise_or.at(bitmap, pos >> 3, (1 << (pos & 7)).astype(np.uint8))
-    return bitmap
+            if batch.num_rows:
+                yield emit_positions(_positions(batch.column(0), bits).ravel(), width)
+
+    return repeated_positions(fp.select("sha").mapInArrow(sketch, SKETCH), bits, width)
 
 
 def flag_possible_repeats(fp: DataFrame) -> DataFrame:
@@ -96,7 +75,7 @@ def flag_possible_repeats(fp: DataFrame) -> DataFrame:
         bitmap = shared.value
         for batch in batches:
             pos = _positions(batch.column(batch.schema.get_field_index("sha")), bits).astype(np.int64)
-            hit = ((bitmap[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1).all(axis=1)
+            hit = is_set(bitmap, pos).all(axis=1)
             yield batch.append_column("maybe", pa.array(hit))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fp.schema.fields)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mix, topk
+from . import bpe, exact_dedup, langid, mix, substring_dedup, topk
 
 WORDS_SQL = r"'[^\x20\x09-\x0D]+'"
 
@@ -35,6 +35,12 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", langid.held_out()).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.removals(table(spark, sf_dir, "documents"))
+    doc_id = F.when(F.col("id") < substring_dedup.LARGEST, F.col("id")).alias("doc_id")
+    return found.select(doc_id, "n_words", "n_removed", F.lower(F.hex("kept_sha")).alias("kept_sha256"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
     found = topk.top_k(vectors, F.col("id") % 100 == 0, 10)
@@ -46,6 +52,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe": op3_bpe,
     "op4_langid": op4_langid,
+    "op6_substring_dedup": op6_substring_dedup,
     "op10_topk": op10_topk,
 }
 
@@ -101,6 +108,26 @@ WITH d AS (
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
        row_number() OVER w = 1 AS kept, h AS text_sha256
 FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST)
+""",
+    "op6_substring_dedup": rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORDS_SQL}) AS w FROM documents
+), s AS (
+  SELECT doc_id, generate_subscripts(w, 1) AS p, w, len(w) AS n FROM d
+), v AS (
+  SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h FROM s WHERE p + 49 <= n
+), f AS (SELECT h, min(doc_id) AS first FROM v GROUP BY h),
+x AS (SELECT v.doc_id, v.p FROM v JOIN f USING (h) WHERE v.doc_id > f.first),
+c AS (
+  SELECT s.doc_id, s.p, s.w[s.p] AS word,
+         coalesce(max(x.p) OVER (PARTITION BY s.doc_id ORDER BY s.p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) > 0 AS gone
+  FROM s LEFT JOIN x ON x.doc_id = s.doc_id AND x.p = s.p
+), g AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone), '') AS kept
+  FROM c GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(g.n_removed, 0) AS n_removed, sha256(coalesce(g.kept, '')) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 """,
     "op10_topk": """
 WITH v AS (
