@@ -91,12 +91,12 @@ def emit_positions(pos: np.ndarray, width: int) -> pa.RecordBatch:
     )
 
 
-def repeated_positions(sketches: DataFrame, bits: int, width: int) -> np.ndarray:
-    """Bitmap (``bits`` / 8 bytes) of the positions that all partitions together set at least twice."""
+def repeated_positions(sketches: DataFrame, bits: int, width: int, times_set: int = 2) -> np.ndarray:
+    """Bitmap (``bits`` / 8 bytes) of the positions that all partitions together set at least so often."""
 
     def merge(key, pdf):
         pos, times = np.unique(np.frombuffer(b"".join(pdf["positions"]), np.uint32), return_counts=True)
-        return pd.DataFrame({"block": [key[0]], "positions": [pos[times > 1].tobytes()]})
+        return pd.DataFrame({"block": [key[0]], "positions": [pos[times >= times_set].tobytes()]})
 
     bitmap = np.zeros(max(1, bits // 8), np.uint8)
     for row in sketches.groupBy("block").applyInPandas(merge, SKETCH).toLocalIterator():

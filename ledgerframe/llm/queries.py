@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mix, substring_dedup, topk
+from . import bpe, exact_dedup, langid, minhash, mix, substring_dedup, topk
 
 WORDS_SQL = r"'[^\x20\x09-\x0D]+'"
 
@@ -35,6 +35,12 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", langid.held_out()).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    known = lambda c: F.when(F.col(c) < minhash.LARGEST, F.col(c))
+    return found.select(known("id").alias("doc_id"), known("cluster_id").alias("cluster_id"), "cluster_size", "kept")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.removals(table(spark, sf_dir, "documents"))
     doc_id = F.when(F.col("id") < substring_dedup.LARGEST, F.col("id")).alias("doc_id")
@@ -52,6 +58,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe": op3_bpe,
     "op4_langid": op4_langid,
+    "op5_near_dedup": op5_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op10_topk": op10_topk,
 }
