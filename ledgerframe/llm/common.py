@@ -144,9 +144,11 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a slice of texts: byte data, start, end, index of text, first word of each text."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, letters: np.ndarray | None = None):
+        """``letters`` maps each byte to the one it counts as, for instance signs to blanks."""
         raw, offsets = _buffers(column)
         data = raw[offsets[0] : offsets[-1]]
+        data = data if letters is None else letters[data]
         self.offsets = offsets - offsets[0]
         self.data = data
         n = len(data)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, minhash, mix, substring_dedup, topk
+from . import bpe, exact_dedup, html, langid, minhash, mix, substring_dedup, topk, toxicity
 
 WORDS_SQL = r"'[^\x20\x09-\x0D]+'"
 
@@ -47,6 +47,16 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(doc_id, "n_words", "n_removed", F.lower(F.hex("kept_sha")).alias("kept_sha256"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), {"low_quality": "quality = 0", "toxic": "toxic = 1"})
+    return toxicity.predict(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
     found = topk.top_k(vectors, F.col("id") % 100 == 0, 10)
@@ -60,6 +70,8 @@ QUERIES = {
     "op4_langid": op4_langid,
     "op5_near_dedup": op5_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_html": op8_html,
+    "op9_toxicity": op9_toxicity,
     "op10_topk": op10_topk,
 }
 
