@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html, langid, minhash, mix, substring_dedup, topk, toxicity
+from . import bpe, exact_dedup, html, langid, licenses, minhash, mix, substring_dedup, topk, toxicity
 
 WORDS_SQL = r"'[^\x20\x09-\x0D]+'"
 
@@ -47,6 +47,13 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(doc_id, "n_words", "n_removed", F.lower(F.hex("kept_sha")).alias("kept_sha256"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    found = licenses.scanned(docs.select(F.col("doc_id").alias("key"), path.alias("path"), "text"))
+    return found.select(F.col("key").alias("doc_id"), "path", "license", "score", "how", "from_dir")
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages"))
 
@@ -70,6 +77,7 @@ QUERIES = {
     "op4_langid": op4_langid,
     "op5_near_dedup": op5_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_licenses": op7_licenses,
     "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
     "op10_topk": op10_topk,
