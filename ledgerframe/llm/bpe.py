@@ -23,6 +23,7 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -247,8 +248,10 @@ def _encode(docs: DataFrame, path: str, piece: int, digests: bool) -> DataFrame:
                     n, a, b = zip(*rows)
                     columns = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a), "decoded_sha256": pa.array(b)}
                 else:
-                    rows = [(list(map(int, joined.split())), decoded) for joined, decoded in got]
-                    columns = {"ids": pa.array([r[0] for r in rows], pa.list_(pa.int32())), "decoded": pa.array([r[1] for r in rows], pa.string())}
+                    rows = [(np.fromstring(joined, np.int32, sep=" "), decoded) for joined, decoded in got]
+                    starts = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])]).astype(np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([r[0] for r in rows])))
+                    columns = {"ids": ids, "decoded": pa.array([r[1] for r in rows], pa.string())}
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns.values()], ["doc_id", *columns])
 
     out = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"

@@ -214,3 +214,37 @@ def as_long(x: np.ndarray) -> np.ndarray:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+# ---------------------------------------------------------------- rows by id and text
+
+LARGEST = (1 << 63) - 1
+
+
+def row_id(name: str = "doc_id"):
+    """The id as a number; a null id counts as larger than all others."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(LARGEST))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """id, th (a hash that tells the texts of one id apart), text (a null is empty)."""
+    text = text_or_empty()
+    return docs.select(row_id().alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` (id, th, kept; one row per row) keeps, with their columns.
+
+    Rows that repeat an id and text are one document listed again: one of them stays.
+    """
+    keys = decided.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    keys = cut(keys.filter("kept").drop("kept"), "kept-rows")
+    marked = docs.withColumns({"__i": row_id(), "__t": F.xxhash64(text_or_empty())})
+
+    def match(some: DataFrame) -> DataFrame:
+        return marked.join(some, (marked["__i"] == some["__id"]) & (marked["__t"] == some["__th"]), "left_semi")
+
+    repeated = keys.filter("rows > 1")
+    if repeated.isEmpty():
+        return match(keys).drop("__i", "__t")
+    return match(keys.filter("rows = 1")).unionByName(match(repeated).dropDuplicates(["__i", "__t"])).drop("__i", "__t")

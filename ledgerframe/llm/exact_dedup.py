@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SKETCH, SPACES, block_width, cut, emit_positions, is_set, next_pow2, repeated_positions, text_or_empty
+from .common import SKETCH, SPACES, block_width, cut, emit_positions, is_set, keep_rows, next_pow2, repeated_positions, row_id, text_or_empty
 
 BITS_PER_ROW = 16
 HASHES = 4
@@ -39,6 +39,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     text = text_or_empty()
     return docs.select(
         F.col("doc_id"),
+        F.xxhash64(text).alias("th"),
         F.unhex(F.sha2(normalised(text), 256)).alias("sha"),
         F.length(text).cast("long").alias("n_chars"),
         F.monotonically_increasing_id().alias("rid"),
@@ -83,7 +84,7 @@ def flag_possible_repeats(fp: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, sha (binary), rid."""
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, sha (binary), th."""
     fp = cut(fingerprints(docs), "dedup-fingerprints")
     tested = flag_possible_repeats(fp)
     possible = cut(tested.filter("maybe").drop("maybe"), "dedup-possible")
@@ -92,31 +93,12 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     # Stored, so that both sides of the join are plain exchanges and a hot group can be split.
     groups = cut(groups, "dedup-groups")
     grouped = possible.join(groups, "sha").select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "sha", "n_chars"
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "sha", "th"
     )
-    single = tested.filter("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", "n_chars")
+    single = tested.filter("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", "th")
     return single.unionByName(grouped)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of equal texts, with the columns of ``docs``."""
-    kept = cut(exact_duplicates(docs).filter("kept").select("doc_id", "sha", "n_chars"), "dedup-kept")
-    keyed = docs.withColumns(
-        {"__sha": F.unhex(F.sha2(normalised(text_or_empty()), 256)), "__n": F.length(text_or_empty()).cast("long")}
-    )
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("sha").alias("__k"), F.col("n_chars").alias("__m"))
-    found = keyed.join(kept, (keyed["__sha"] == kept["__k"]) & keyed["doc_id"].eqNullSafe(kept["__id"]) & (keyed["__n"] == kept["__m"]), "left_semi")
-    # Rows that agree in id, normalised text and length are one document listed again.
-    again = exact_repeats(docs)
-    if again is not None:
-        twice = found.join(again, found["__sha"] == again["__k"], "left_semi").dropDuplicates(["__sha"])
-        found = found.join(again, found["__sha"] == again["__k"], "left_anti").unionByName(twice)
-    return found.drop("__sha", "__n")
-
-
-def exact_repeats(docs: DataFrame) -> DataFrame | None:
-    """Fingerprints that one doc_id carries on several rows of one length, or None if there are none."""
-    fp = fingerprints(docs)
-    again = fp.groupBy("sha", "doc_id", "n_chars").count().filter("count > 1").select(F.col("sha").alias("__k")).distinct()
-    again = cut(again, "dedup-again")
-    return None if again.isEmpty() else again
+    return keep_rows(docs, exact_duplicates(docs).select(row_id().alias("id"), "th", "kept"))

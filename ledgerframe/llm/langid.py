@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .common import _buffers, slices, text_or_empty
 
@@ -82,8 +83,8 @@ def _texts(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(*more, F.lower(text_or_empty()).alias("text"))
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
+def _small(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, text=text):
         for at in range(0, part.num_rows, SLICE_TEXTS):
             yield part.slice(at, SLICE_TEXTS)
 
@@ -152,28 +153,34 @@ def fit(labelled: DataFrame) -> Model | None:
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score (cosine, 0 to 1), rejected for every row of ``docs``."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return annotated(docs.select("doc_id", "text"), model).drop("text")
+
+
+def annotated(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``docs`` with lang_pred, score and rejected (which replace columns of those names)."""
+    docs = docs.drop("lang_pred", "score", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in _small(batches):
+        for part in _small(batches, "__lower"):
             n = part.num_rows
             lang, score, rejected = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
-            lettered = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            lettered = part.column(0).to_numpy(zero_copy_only=False).astype(bool)
             if m is not None and lettered.any():
-                cosine = weigh(gram_counts(part.column(2)), m.idf) @ m.centroids.T
+                cosine = weigh(gram_counts(part.column(1)), m.idf) @ m.centroids.T
                 best = cosine.argmax(axis=1)
                 top = np.clip(cosine[np.arange(n), best].astype(np.float64), 0.0, 1.0)
                 lang = np.where(lettered, np.array(m.languages, object)[m.language_of[best]], lang)
                 score = np.where(lettered, top, 0.0)
                 rejected = ~lettered | (top < m.threshold)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"]
-            )
+            found = [pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rejected)]
+            yield pa.RecordBatch.from_arrays([*part.columns[2:], *found], [*names, "lang_pred", "score", "rejected"])
 
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")
-    return _texts(docs, F.col("doc_id"), lettered).mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double, rejected boolean")
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__lettered")
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
+    return docs.select(lettered, F.lower(text_or_empty()).alias("__lower"), *[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
 
 
 def held_out() -> Column:

@@ -32,14 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SKETCH, Words, as_long, block_width, cut, emit_positions, is_set, mix, next_pow2, repeated_positions, slices, span_hash, text_or_empty
+from .common import SKETCH, Words, as_long, block_width, cut, emit_positions, is_set, keep_rows, keyed, mix, next_pow2, repeated_positions, slices, span_hash
 from .components import components
 
 SHINGLE = 5
 TUPLE = 3
 SKETCHES = 24
 THRESHOLD = 0.8
-LARGEST = (1 << 63) - 1
 MAX_BITS = 1 << 28
 
 with np.errstate(over="ignore"):
@@ -109,11 +108,6 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     return len(j) / max(1, n - len(j))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = text_or_empty()
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LARGEST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-
-
 def sketches(docs: DataFrame) -> DataFrame:
     """One row per document: id, th, n (shingles), h1, h2 (hash of all words), sketches."""
 
@@ -127,7 +121,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 [part.column(0), part.column(1), pa.array(np.diff(s.cuts)), pa.array(as_long(s.h1)), pa.array(as_long(s.h2)), lists], ["id", "th", "n", "h1", "h2", "sketches"]
             )
 
-    return _keyed(docs).mapInArrow(run, "id long, th long, n long, h1 long, h2 long, sketches array<long>")
+    return keyed(docs).mapInArrow(run, "id long, th long, n long, h1 long, h2 long, sketches array<long>")
 
 
 def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -158,7 +152,7 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 cuts = (4 * s.cuts).tolist()
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())], ["id", "th", "grams"])
 
-    found = _keyed(docs).withColumn("h", F.xxhash64("id", "th")).mapInArrow(run, "id long, th long, grams binary")
+    found = keyed(docs).withColumn("h", F.xxhash64("id", "th")).mapInArrow(run, "id long, th long, grams binary")
     return cut(found.join(wanted, ["id", "th"]).select("node", "grams").dropDuplicates(["node"]), "near-shingles")
 
 
@@ -223,3 +217,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = cut(named.join(classes, "label").select("h1", "h2", "n", "best", "cluster_size"), "near-classed")
     rows = every.select("id", "th", "rid", "h1", "h2", "n").join(named, ["h1", "h2", "n"])
     return rows.select("id", "th", F.col("best.id").alias("cluster_id"), "cluster_size", (F.col("rid") == F.col("best.node")).alias("kept"))
+
+
+def unique_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each class, with the columns of ``docs``."""
+    return keep_rows(docs, near_duplicates(docs).select("id", "th", "kept"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, html, langid, licenses, minhash, mix, substring_dedup, topk, toxicity
+from .common import LARGEST
 
 WORDS_SQL = r"'[^\x20\x09-\x0D]+'"
 
@@ -37,13 +38,13 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
-    known = lambda c: F.when(F.col(c) < minhash.LARGEST, F.col(c))
+    known = lambda c: F.when(F.col(c) < LARGEST, F.col(c))
     return found.select(known("id").alias("doc_id"), known("cluster_id").alias("cluster_id"), "cluster_size", "kept")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.removals(table(spark, sf_dir, "documents"))
-    doc_id = F.when(F.col("id") < substring_dedup.LARGEST, F.col("id")).alias("doc_id")
+    doc_id = F.when(F.col("id") < LARGEST, F.col("id")).alias("doc_id")
     return found.select(doc_id, "n_words", "n_removed", F.lower(F.hex("kept_sha")).alias("kept_sha256"))
 
 

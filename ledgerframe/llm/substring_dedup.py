@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SKETCH, Words, as_long, block_width, cut, emit_positions, is_set, mix, next_pow2, repeated_positions, slices, span_hash, text_or_empty
+from .common import SKETCH, Words, as_long, block_width, cut, emit_positions, is_set, keyed, mix, next_pow2, repeated_positions, slices, span_hash
 
 WINDOW = 50
 SEED = 25
@@ -38,7 +38,6 @@ ROWS = 2
 #: keys the estimates grow looser and more windows reach the exact pass; none is lost.
 COUNTERS_PER_KEY = 8
 MAX_COUNTERS = 1 << 28
-LARGEST = (1 << 63) - 1
 
 
 class Windows:
@@ -73,12 +72,6 @@ def counters(key: np.ndarray, size: int) -> np.ndarray:
     return np.stack([x + np.uint64(r * size) for r, x in enumerate(rows)], axis=1)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """id, th (a hash that tells the texts of one id apart), text."""
-    text = text_or_empty()
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LARGEST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-
-
 def _summaries(docs: DataFrame, window: int) -> DataFrame:
     """One row per document: id, th, n_words, hash of all words, digest of all words, sketch keys."""
 
@@ -95,7 +88,7 @@ def _summaries(docs: DataFrame, window: int) -> DataFrame:
                 ["id", "th", "n_words", "h1", "h2", "sha", "keys"],
             )
 
-    return _keyed(docs).mapInArrow(run, "id long, th long, n_words long, h1 long, h2 long, sha binary, keys binary")
+    return keyed(docs).mapInArrow(run, "id long, th long, n_words long, h1 long, h2 long, sha binary, keys binary")
 
 
 def _sketch(firsts: DataFrame) -> tuple[np.ndarray, int]:
@@ -192,7 +185,7 @@ def _partial(docs: DataFrame, bitmap: np.ndarray, size: int, window: int, keep:
                 columns, names = [*columns, pa.array(kept, pa.string())], [*names, "kept"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    texts = cut(_keyed(docs).mapInArrow(candidates, "id long, th long, text string"), "substring-candidates")
+    texts = cut(keyed(docs).mapInArrow(candidates, "id long, th long, text string"), "substring-candidates")
     found = texts.mapInArrow(occurrences, "id long, th long, a long, b long, at binary")
     firsts = found.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
     firsts = cut(firsts, "substring-firsts")  # both sides of the next join are plain exchanges: hot windows can be split
