@@ -1,20 +1,23 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-A document is the sequence of its five-word shingles, each labelled with how often it has occurred
-before (so that labelled shingles are unique in it). A sketch takes the ``TUPLE`` shingles of
-smallest hash and keeps them in text order; documents that agree in one of ``SKETCHES`` sketches
-are candidates, which favours shared order and so edit similarity. Candidates are verified by
-aligning their labelled shingles: matches must rise in both texts and stay inside the band of
-offsets that a similarity of ``THRESHOLD`` allows; the similarity is matches / (shingles of both -
-matches).
-
-At a similarity of 0.8 a pair agrees in one sketch with probability 0.8**3, so that all 24 differ
-with probability 3e-8.
-
-Groups of any size are handled without all pairs: equal word sequences become one node first; in
-each sketch bucket every node is compared with the bucket's smallest node; links give components;
-only buckets that still hold several components are gone through once more, pairs of different
-components alone. Classes are the connected components of the verified links.
+A document is the sequence of its five-word shingles, each labelled with its occurrence (first,
+second, fourth, eighth, ...; those between are left out, so that a line repeated hundreds of times
+does not outweigh the rest). A sketch takes the labelled shingles of smallest hash and keeps them
+in text order; documents that agree in one sketch are candidates, which favours shared order and
+so edit similarity. Candidates are verified by aligning their distinct shingles in the order of
+their first occurrence: matches must rise in both texts and stay inside the band of offsets that a
+similarity of ``THRESHOLD`` allows; the similarity is matches / (shingles of both - matches).
+
+Texts of up to 40 distinct shingles have 24 sketches of three shingles, texts of 32 and more have 48 of
+five (a pair of similarity 0.8 always shares one of the two kinds). Such a pair differs in all of
+them with a probability of about 5e-7 to 5e-6.
+
+Groups of any size are handled without listing their pairs: equal word sequences become one node
+first; in each sketch bucket every node is aligned with the bucket's smallest node; links give
+components. Only buckets that still hold several components are gone through once more, by blocks
+of at most ``BLOCK`` nodes against each other: a pair of different components is compared in the
+first bucket it shares, and of the links found a block returns a spanning forest. Classes are the
+connected components of all verified links.
 
 Defined results: texts with equal words are one class, texts without words (null, empty) too. A
 text of fewer than five words has one shingle, its whole. A class is named after its smallest
@@ -28,17 +31,20 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SKETCH, Words, as_long, block_width, cut, emit_positions, is_set, keep_rows, keyed, mix, next_pow2, repeated_positions, slices, span_hash
+from .common import LARGEST, SKETCH, Words, as_long, block_width, cut, emit_positions, is_set, keep_rows, keyed, mix, next_pow2, repeated_positions, slices, span_hash
 from .components import components
 
 SHINGLE = 5
-TUPLE = 3
-SKETCHES = 24
 THRESHOLD = 0.8
+#: (shingles per sketch, sketches, least and most shingles of the texts that have them)
+KINDS = ((3, 24, 1, 40), (5, 48, 32, LARGEST))
+SKETCHES = sum(k[1] for k in KINDS)
+BLOCK = 512
 MAX_BITS = 1 << 28
 
 with np.errstate(over="ignore"):
@@ -46,51 +52,63 @@ with np.errstate(over="ignore"):
 
 
 class Shingles:
-    """Labelled shingle hashes of a slice of texts; ``cuts`` bounds those of each text."""
+    """Shingle hashes of a slice of texts in text order.
+
+    ``labelled`` and ``labelled_cuts`` are the labelled ones (64 bits) and the bounds of each text,
+    ``distinct`` and ``cuts`` those that occur for the first time (32 bits).
+    """
 
     def __init__(self, column: pa.Array):
         self.words = Words(column)
         hashes, first = self.words.hashes(), self.words.first
         counts = np.diff(first)
         n = np.where(counts >= SHINGLE, counts - SHINGLE + 1, (counts > 0).astype(np.int64))
-        self.cuts = np.concatenate([[0], np.cumsum(n)])
+        cuts = np.concatenate([[0], np.cumsum(n)])
         owner = np.repeat(np.arange(len(n)), n)
-        start = np.arange(self.cuts[-1]) - self.cuts[owner] + first[owner]
+        start = np.arange(cuts[-1]) - cuts[owner] + first[owner]
         end = np.minimum(start + SHINGLE, first[owner + 1])
         plain = span_hash(hashes, start, end, 0)
         by = np.lexsort((plain, owner))
         new = np.ones(len(by), bool)
         new[1:] = (plain[by][1:] != plain[by][:-1]) | (owner[by][1:] != owner[by][:-1])
         run = np.flatnonzero(new)
-        label = np.empty(len(by), np.uint64)
-        label[by] = (np.arange(len(by)) - np.repeat(run, np.diff(np.append(run, len(by))))).astype(np.uint64)
+        times = np.empty(len(by), np.int64)
+        times[by] = np.arange(len(by)) - np.repeat(run, np.diff(np.append(run, len(by)))) + 1
+        # the occurrences 1, 2, 4, 8, ... of a shingle are kept, labelled by their number
+        kept = (times & (times - 1)) == 0
         with np.errstate(over="ignore"):
-            self.labelled = mix(plain + label * np.uint64(0xA0761D6478BD642F))
+            self.labelled = mix(plain[kept] + times[kept].astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        self.labelled_cuts = np.searchsorted(owner[kept], np.arange(len(n) + 1))
+        self.distinct = (mix(plain[times == 1]) >> np.uint64(32)).astype(np.uint32)
+        self.cuts = np.searchsorted(owner[times == 1], np.arange(len(n) + 1))
         self.h1, self.h2 = (span_hash(hashes, first[:-1], first[1:], r) for r in (1, 2))
 
 
-def sketch(labelled: np.ndarray) -> np.ndarray:
-    """The Order MinHash sketches of one text."""
+def sketch(labelled: np.ndarray, distinct: int) -> np.ndarray:
+    """The Order MinHash sketches of one text, 0 for those of a kind that it lacks."""
     n = len(labelled)
-    out = np.empty(SKETCHES, np.uint64)
-    step = max(1, (1 << 20) // max(1, n))
-    with np.errstate(over="ignore"):
-        for at in range(0, SKETCHES, step):
-            m = _MULTIPLIERS[at : at + step, None]
-            value = labelled[None, :] * m
-            if n > TUPLE:
-                least = np.sort(np.argpartition(value, TUPLE - 1, axis=1)[:, :TUPLE], axis=1)
-            else:
-                least = np.broadcast_to(np.arange(n), (len(m), n))
-            total = m[:, 0].copy()
-            for k in range(least.shape[1]):
-                total = mix(total * np.uint64(31) + labelled[least[:, k]])
-            out[at : at + step] = total
+    out = np.zeros(SKETCHES, np.uint64)
+    first = 0
+    for size, count, least_n, most_n in KINDS:
+        if least_n <= distinct <= most_n:
+            step = max(1, (1 << 20) // n)
+            for at in range(first, first + count, step):
+                m = _MULTIPLIERS[at : min(at + step, first + count), None]
+                with np.errstate(over="ignore"):
+                    if n > size:
+                        least = np.sort(np.argpartition(labelled[None, :] * m, size - 1, axis=1)[:, :size], axis=1)
+                    else:
+                        least = np.broadcast_to(np.arange(n), (len(m), n))
+                    total = m[:, 0].copy()
+                    for k in range(least.shape[1]):
+                        total = mix(total * np.uint64(31) + labelled[least[:, k]])
+                out[at : at + len(m)] = total | np.uint64(1)
+        first += count
     return out
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Similarity of two sequences of labelled shingles by banded alignment; 0 where surely below ``threshold``."""
+    """Similarity of two sequences of distinct shingles by banded alignment; 0 where surely below ``threshold``."""
     n = len(a) + len(b)
     need = threshold / (1 + threshold) * n
     _, i, j = np.intersect1d(a, b, return_indices=True)
@@ -109,12 +127,12 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """One row per document: id, th, n (shingles), h1, h2 (hash of all words), sketches."""
+    """One row per document: id, th, n (distinct shingles), h1, h2 (hash of all words), sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             s = Shingles(part.column(2))
-            each = [sketch(s.labelled[a:b]) for a, b in zip(s.cuts, s.cuts[1:])]
+            each = [sketch(s.labelled[a:b], n) for a, b, n in zip(s.labelled_cuts, s.labelled_cuts[1:], np.diff(s.cuts))]
             flat = as_long(np.concatenate(each))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(each) + 1, dtype=np.int32) * SKETCHES), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
@@ -125,7 +143,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, grams (labelled shingles, 4 bytes each) of the rows of ``wanted`` (node, id, th).
+    """node, grams (distinct shingles, 4 bytes each) of the rows of ``wanted`` (node, id, th).
 
     A bitmap of bounded size keeps most other texts from being shuffled.
     """
@@ -147,8 +165,7 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 continue
             for part in slices(iter([batch.filter(pa.array(hit))])):
                 s = Shingles(part.column(2))
-                grams = (s.labelled >> np.uint64(32)).astype(np.uint32)
-                raw = grams.tobytes()
+                raw = s.distinct.tobytes()
                 cuts = (4 * s.cuts).tolist()
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())], ["id", "th", "grams"])
 
@@ -178,36 +195,111 @@ def _similar_length(n: str, m: str):
     return F.least(n, m) >= F.lit(THRESHOLD) * F.greatest(n, m) - 1e-9
 
 
+def _compare(key, pdf):
+    """Links between two blocks of one bucket (or within one), as a spanning forest: columns a, b."""
+    bucket = key[0]
+    node, label, side = pdf["node"].to_numpy(), pdf["label"].to_numpy(), pdf["side"].to_numpy()
+    n, own = pdf["n"].to_numpy(np.float64), np.array(pdf["sketches"].tolist(), np.int64)
+    place = int(np.argmax(own[0] == bucket))
+    wanted = np.triu(label[:, None] != label[None, :], 1)
+    wanted &= np.minimum(n[:, None], n[None, :]) >= THRESHOLD * np.maximum(n[:, None], n[None, :]) - 1e-9
+    if key[1] != "within":
+        wanted &= side[:, None] != side[None, :]
+    for k in range(place):  # a pair is compared in the first bucket it shares
+        wanted &= (own[:, None, k] != own[None, :, k]) | (own[:, None, k] == 0)
+    i, j = np.nonzero(wanted)
+    out = []
+    if len(i):
+        grams = [np.frombuffer(x, np.uint32) for x in pdf["grams"]]
+        if len(i) * n.mean() * 4 > len(n) ** 2 * min(64.0, n.mean()):
+            shared = _overlaps(grams)[i, j]
+            enough = shared >= THRESHOLD / (1 + THRESHOLD) * (n[i] + n[j]) - 1e-9
+            i, j = i[enough], j[enough]
+        root = {x: x for x in label.tolist()}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for x, y in zip(i.tolist(), j.tolist()):
+            p, q = find(label[x]), find(label[y])
+            if p != q and similarity(grams[x], grams[y]) >= THRESHOLD - 1e-9:
+                root[max(p, q)] = min(p, q)
+                out.append((node[x], node[y]))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def _overlaps(grams: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each pair of texts shares (an upper bound where one repeats in a text)."""
+    owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    value, at, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    use = times[at] > 1  # shingles of one text alone are shared by no pair
+    _, at = np.unique(at[use], return_inverse=True)
+    owner = owner[use]
+    total = np.zeros((len(grams), len(grams)), np.float32)
+    by = np.argsort(at, kind="stable")
+    at, owner = at[by], owner[by]
+    width = 8192
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        a, b = np.searchsorted(at, [low, low + width])
+        part = np.zeros((len(grams), width), np.float32)
+        part[owner[a:b], at[a:b] - low] = 1
+        total += part @ part.T
+    return total
+
+
+def _across(placed: DataFrame, every: DataFrame, grams: DataFrame) -> DataFrame:
+    """Links between different components inside one bucket; ``placed``: v, node, n, head, label."""
+    main = F.min(F.when(F.col("node") == F.col("head"), F.col("label"))).alias("main")
+    mixed = placed.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high"), main, F.count("*").alias("size"))
+    mixed = cut(mixed.filter("low <> high").select("v", "main", "size"), "near-mixed")
+    rest = cut(placed.join(mixed, "v").select("v", "node", "n", "label", "size", (F.col("label") != F.col("main")).alias("odd")), "near-rest")
+    odds = cut(rest.filter("odd").groupBy("v").agg(F.count("*").alias("odds")), "near-odds")
+    # Nodes of the head's component meet only the others; those meet everything.
+    blocks = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
+    dealt = rest.join(odds, "v").withColumn("mains", F.col("size") - F.col("odds"))
+    dealt = dealt.withColumn("nb", F.when(F.col("odd"), blocks("odds")).otherwise(blocks("mains"))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+
+    def upto(c):
+        return F.sequence(F.lit(0), blocks(c) - 1)
+
+    def meeting(kind, x, y):
+        return F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+
+    block = F.col("block")
+    among = F.transform(upto("odds"), lambda x: F.when(x == block, meeting("within", x, x)).otherwise(meeting("between", F.least(x, block), F.greatest(x, block))))
+    with_main = F.when(F.col("mains") > 0, F.transform(upto("mains"), lambda x: meeting("main", block, x))).otherwise(F.array().cast("array<struct<kind:string,x:int,y:int>>"))
+    of_main = F.transform(upto("odds"), lambda x: meeting("main", x, block))
+    dealt = dealt.withColumn("m", F.explode(F.when(F.col("odd"), F.concat(among, with_main)).otherwise(of_main)))
+    side = F.when(F.col("m.kind") == "main", F.col("odd").cast("int")).otherwise((block == F.col("m.x")).cast("int"))
+    dealt = dealt.select("v", F.col("m.kind").alias("kind"), F.col("m.x").alias("x"), F.col("m.y").alias("y"), side.alias("side"), "node", "n", "label")
+    held = every.select(F.col("rid").alias("node"), "sketches").join(rest.select("node").distinct(), "node").join(grams, "node")
+    held = cut(held, "near-held")
+    full = dealt.join(held, "node")
+    links = full.groupBy("v", "kind", "x", "y").applyInPandas(_compare, "a long, b long")
+    return cut(links.distinct(), "near-across")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: id, th, cluster_id, cluster_size, kept."""
     every = cut(sketches(docs).withColumn("rid", F.monotonically_increasing_id()), "near-sketches")
     groups = every.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "rid")).alias("best"), F.count("*").alias("rows"))
     groups = cut(groups.select("h1", "h2", "n", F.col("best.id").alias("id"), F.col("best.rid").alias("node"), "rows"), "near-nodes")
     firsts = every.join(groups.select(F.col("node").alias("rid")), "rid", "left_semi")
-    buckets = firsts.select(F.col("rid").alias("node"), "n", F.posexplode("sketches").alias("j", "v")).filter("n > 0")
-    heads = buckets.groupBy("j", "v").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1")
-    heads = cut(heads.select("j", "v", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")), "near-heads")
-    members = cut(buckets.join(heads, ["j", "v"]), "near-members")
+    buckets = firsts.select(F.col("rid").alias("node"), "n", F.explode("sketches").alias("v")).filter("v <> 0")
+    heads = buckets.groupBy("v").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1")
+    heads = cut(heads.select("v", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")), "near-heads")
+    members = cut(buckets.join(heads, "v"), "near-members")
 
     stars = members.filter((F.col("node") != F.col("head")) & _similar_length("n", "head_n")).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    stars = cut(stars, "near-stars")
-    inside = members.select("node").distinct()
-    wanted = cut(every.join(inside, every["rid"] == inside["node"]).select("node", "id", "th"), "near-wanted")
+    wanted = cut(every.join(members.select("node").distinct(), every["rid"] == F.col("node")).select("node", "id", "th"), "near-wanted")
     grams = _shingles_of(docs, wanted)
-    links = _verified(stars, grams)
+    links = _verified(cut(stars, "near-stars"), grams)
     labels = components(links)
 
-    # Buckets that still hold several components: compare across components, the head being done.
-    placed = members.join(labels, "node", "left").select("j", "v", "node", "n", "head", F.coalesce("label", "node").alias("label"))
-    placed = cut(placed, "near-placed")
-    mixed = placed.groupBy("j", "v").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.when(F.col("node") == F.col("head"), F.col("label"))).alias("head_label"))
-    mixed = cut(mixed.filter("low <> high").select("j", "v", "head_label"), "near-mixed")
-    rest = placed.join(mixed, ["j", "v"]).filter("node <> head")
-    odd = rest.filter("label <> head_label").select("j", "v", F.col("node").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
-    other = rest.select("j", "v", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"), (F.col("label") == F.col("head_label")).alias("of_head"))
-    across = odd.join(other, ["j", "v"]).filter((F.col("al") != F.col("bl")) & (F.col("of_head") | (F.col("a") < F.col("b"))) & _similar_length("an", "bn"))
-    across = across.select("a", "b").distinct().join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti")
-    more = _verified(across, grams)
+    placed = members.join(labels, "node", "left").select("v", "node", "n", "head", F.coalesce("label", "node").alias("label"))
+    more = _across(cut(placed, "near-placed"), every, grams)
     if not more.isEmpty():
         labels = components(links.union(more))
 
