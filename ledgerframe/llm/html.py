@@ -1,8 +1,8 @@
 """Main-text extraction with a tree-structured graphical model over the DOM.
 
 Every element is a node that is content or not. A node's own evidence is the product of the odds
-of its features (tag, words of its class, id and role, length, link share and punctuation of its
-own text); parent and child are tied by a 2 x 2 potential. Both are counted on labelled pages,
+of its features (its tag together with length and link share of its own text; the words of its class, id
+and role); parent and child are tied by a 2 x 2 potential. Both are counted on labelled pages,
 which ``labelled_pages`` writes from layouts with known main text. Sum-product messages run from
 the leaves up and from the root down, and give each element its marginal; the text blocks of
 elements whose marginal exceeds one half are the main text, in page order.
@@ -124,19 +124,18 @@ class Page(HTMLParser):
 
 
 def features(page: Page) -> list[list[str]]:
-    """Names of the features that each element has."""
+    """Names of the features that each element has: its tag with its own text, and the words of its names."""
     own: dict[int, list[tuple[str, int]]] = {}
     for element, text, linked in page.blocks:
         own.setdefault(element, []).append((text, linked))
     out = []
     for k, tag in enumerate(page.tag):
-        f = [f"tag={tag}", *{f"name={w}" for w in page.names[k]}]
-        if k in own:
+        f = f"tag={tag}"
+        if k in own:  # one joint feature, since length and share of links go together
             size = sum(len(t) for t, _ in own[k])
-            f.append(f"size={min(5, int(math.log(size + 1, 4)))}")
-            f.append(f"links={min(3, 4 * sum(x for _, x in own[k]) // max(1, size))}")
-            f.append(f"stop={own[k][-1][0][-1] in '.!?:;'}")
-        out.append(f)
+            links = min(3, 4 * sum(x for _, x in own[k]) // max(1, size))
+            f += f" size={min(5, int(math.log(size + 1, 4)))} links={links}"
+        out.append([f, *{f"name={w}" for w in page.names[k]}])
     return out
 
 
@@ -231,6 +230,11 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[str]:
         return " ".join(r.choice(words) for _ in range(r.randint(a, b))).capitalize()
 
     def para() -> str:
+        shape = r.random()
+        if shape < 0.25:  # a word or two
+            return f"<p>{say(1, 3)}{r.choice(['.', '', ','])}</p>"
+        if shape < 0.3:  # one long run
+            return f"<p>{say(1, 2)} " + " ".join([say(1, 2)] * r.randint(40, 400)) + "</p>"
         text = " ".join(say(3, 18) + r.choice([".", ".", ".", "!", "?"]) for _ in range(r.choice([1, 1, 2, 4, 9])))
         if r.random() < 0.15:
             text = f'{text} <a href="/x">{say(1, 3)}</a> {say(2, 9)}.'
@@ -256,15 +260,17 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[str]:
         elif kind == "notice":
             body = r.choice([f"<p>{say(6, 25)}.</p>", say(6, 25) + "."]) + "<button>OK</button>"
         else:
-            body = r.choice(["&copy; " + say(2, 12) + ".", f"<p>{say(3, 22)}.</p>", say(3, 16) + "."])
+            body = r.choice(["&copy; " + say(2, 12) + ".", f"<p>{say(3, 22)}.</p>", say(3, 16) + ".", f"<p>{say(1, 3)}</p>" * r.randint(1, 5)])
         return f'<{tag}{mark} data-main="0">{body}</{tag}>'
 
     def form() -> str:
-        return f'<form data-main="0"><label>{say(1, 3)}</label><input name="q"><p>{say(2, 8)}</p><button>{say(1, 2)}</button></form>'
+        return f'<form data-main="0"><label>{say(1, 3)}</label><input name="q">{f"<p>{say(1, 5)}</p>" * r.randint(1, 4)}<button>{say(1, 2)}</button></form>'
 
     pages = []
     for _ in range(n):
-        parts = [para() for _ in range(r.choice([1, 2, 4, 8, 15]))]
+        parts = [para() for _ in range(r.choice([1, 2, 4, 8, 15, 40]))]
+        if r.random() < 0.05:
+            parts += [f"<p>{say(1, 3)}.</p>"] * r.randint(10, 40)
         for k in range(len(parts)):
             x = r.random()
             if x < 0.06:

@@ -156,9 +156,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return annotated(docs.select("doc_id", "text"), model).drop("text")
 
 
-def annotated(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with lang_pred, score and rejected (which replace columns of those names)."""
-    docs = docs.drop("lang_pred", "score", "rejected")
+def annotated(docs: DataFrame, model: Model | None, prefix: str = "") -> DataFrame:
+    """``docs`` with lang_pred, score and rejected, their names after ``prefix``; they replace columns of those names."""
+    made = [f"{prefix}{c}" for c in ("lang_pred", "score", "rejected")]
+    docs = docs.drop(*made)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -176,10 +177,10 @@ def annotated(docs: DataFrame, model: Model | None) -> DataFrame:
                 score = np.where(lettered, top, 0.0)
                 rejected = ~lettered | (top < m.threshold)
             found = [pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rejected)]
-            yield pa.RecordBatch.from_arrays([*part.columns[2:], *found], [*names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*part.columns[2:], *found], [*names, *made])
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__lettered")
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
+    schema = StructType([*docs.schema.fields, *(StructField(c, t) for c, t in zip(made, (StringType(), DoubleType(), BooleanType())))])
     return docs.select(lettered, F.lower(text_or_empty()).alias("__lower"), *[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
 
 
