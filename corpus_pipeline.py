@@ -17,8 +17,8 @@ from ledgerframe.llm.common import cut
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that language identification rejects; a null lang takes the predicted one."""
-    found = langid.annotated(docs, langid.fit(docs)).filter("not rejected")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = langid.annotated(docs, langid.fit(docs), "__").filter("not __rejected")
+    return found.withColumn("lang", F.coalesce("lang", "__lang_pred")).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
