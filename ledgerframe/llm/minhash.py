@@ -31,7 +31,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -195,22 +194,24 @@ def _similar_length(n: str, m: str):
     return F.least(n, m) >= F.lit(THRESHOLD) * F.greatest(n, m) - 1e-9
 
 
-def _compare(key, pdf):
+def _compare(key, table):
     """Links between two blocks of one bucket (or within one), as a spanning forest: columns a, b."""
-    bucket = key[0]
-    node, label, side = pdf["node"].to_numpy(), pdf["label"].to_numpy(), pdf["side"].to_numpy()
-    n, own = pdf["n"].to_numpy(np.float64), np.array(pdf["sketches"].tolist(), np.int64)
+    table = table.combine_chunks()
+    bucket, kind = key[0].as_py(), key[1].as_py()
+    node, label, side, n = (table.column(c).to_numpy() for c in ("node", "label", "side", "n"))
+    lists = table.column("sketches").combine_chunks()
+    own = lists.flatten().to_numpy().reshape(len(node), SKETCHES)
     place = int(np.argmax(own[0] == bucket))
     wanted = np.triu(label[:, None] != label[None, :], 1)
     wanted &= np.minimum(n[:, None], n[None, :]) >= THRESHOLD * np.maximum(n[:, None], n[None, :]) - 1e-9
-    if key[1] != "within":
+    if kind != "within":
         wanted &= side[:, None] != side[None, :]
     for k in range(place):  # a pair is compared in the first bucket it shares
         wanted &= (own[:, None, k] != own[None, :, k]) | (own[:, None, k] == 0)
     i, j = np.nonzero(wanted)
     out = []
     if len(i):
-        grams = [np.frombuffer(x, np.uint32) for x in pdf["grams"]]
+        grams = [np.frombuffer(x, np.uint32) for x in table.column("grams").to_pylist()]
         if len(i) * n.mean() * 4 > len(n) ** 2 * min(64.0, n.mean()):
             shared = _overlaps(grams)[i, j]
             enough = shared >= THRESHOLD / (1 + THRESHOLD) * (n[i] + n[j]) - 1e-9
@@ -227,7 +228,8 @@ def _compare(key, pdf):
             if p != q and similarity(grams[x], grams[y]) >= THRESHOLD - 1e-9:
                 root[max(p, q)] = min(p, q)
                 out.append((node[x], node[y]))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    found = np.array(out, np.int64).reshape(-1, 2)
+    return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
 
 def _overlaps(grams: list[np.ndarray]) -> np.ndarray:
@@ -252,9 +254,11 @@ def _overlaps(grams: list[np.ndarray]) -> np.ndarray:
 def _across(placed: DataFrame, every: DataFrame, grams: DataFrame) -> DataFrame:
     """Links between different components inside one bucket; ``placed``: v, node, n, head, label."""
     main = F.min(F.when(F.col("node") == F.col("head"), F.col("label"))).alias("main")
-    mixed = placed.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high"), main, F.count("*").alias("size"))
+    others = F.when(F.col("node") != F.col("head"), F.col("label"))  # the head has met them all
+    mixed = placed.groupBy("v").agg(F.min(others).alias("low"), F.max(others).alias("high"), main, F.count(others).alias("size"))
     mixed = cut(mixed.filter("low <> high").select("v", "main", "size"), "near-mixed")
-    rest = cut(placed.join(mixed, "v").select("v", "node", "n", "label", "size", (F.col("label") != F.col("main")).alias("odd")), "near-rest")
+    rest = placed.filter("node <> head").join(mixed, "v")
+    rest = cut(rest.select("v", "node", "n", "label", "size", (F.col("label") != F.col("main")).alias("odd")), "near-rest")
     odds = cut(rest.filter("odd").groupBy("v").agg(F.count("*").alias("odds")), "near-odds")
     # Nodes of the head's component meet only the others; those meet everything.
     blocks = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
@@ -277,7 +281,7 @@ def _across(placed: DataFrame, every: DataFrame, grams: DataFrame) -> DataFrame:
     held = every.select(F.col("rid").alias("node"), "sketches").join(rest.select("node").distinct(), "node").join(grams, "node")
     held = cut(held, "near-held")
     full = dealt.join(held, "node")
-    links = full.groupBy("v", "kind", "x", "y").applyInPandas(_compare, "a long, b long")
+    links = full.groupBy("v", "kind", "x", "y").applyInArrow(_compare, "a long, b long")
     return cut(links.distinct(), "near-across")
 
 
