@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,16 @@ def conflicts(outbox: DataFrame) -> DataFrame:
     return outbox.groupBy("message_id").agg(F.count("*").alias("rows")).filter("rows > 1")
 
 
+def relay(outbox: DataFrame, batch_size: int, publish: Callable[[DataFrame], None], at: Column) -> DataFrame:
+    """The outbox after one batch went out: published first, marked afterwards, so a crash between sends it again."""
+    batch = pending(outbox, batch_size).persist()
+    try:
+        publish(batch)
+        return mark_published(outbox, outbox.sparkSession.createDataFrame(batch.select("id").collect(), "id long"), at)
+    finally:
+        batch.unpersist()
+
+
 def mark_published(outbox: DataFrame, published: DataFrame, at: Column) -> DataFrame:
     hit = published.select("id").distinct().withColumn("hit", F.lit(True))
     return outbox.join(hit, "id", "left").withColumn("published_at", F.when(F.col("hit") & F.col("published_at").isNull(), at).otherwise(F.col("published_at"))).drop("hit")

@@ -41,6 +41,26 @@ def project(stream: DataFrame, types: list[str] | None, apply: Callable[[DataFra
     return (writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=poll)).start()
 
 
+def project_many(stream: DataFrame, projections: dict[str, tuple[list[str] | None, Callable[[DataFrame, int], None]]], checkpoint: str, drain: bool = True) -> StreamingQuery:
+    """Several projections over one read of each batch: name -> (types, apply). Those that failed are named in the error."""
+
+    def run(batch: DataFrame, n: int) -> None:
+        batch.persist()
+        try:
+            failed = {}
+            for name, (types, apply) in projections.items():
+                try:
+                    apply(batch if types is None else batch.filter(F.col("event_type").isin(types)), n)
+                except Exception as e:
+                    failed[name] = e
+            if failed:  # the batch is not committed and comes again; those that succeeded are idempotent
+                raise RuntimeError(f"projections failed: {', '.join(failed)}") from next(iter(failed.values()))
+        finally:
+            batch.unpersist()
+
+    return project(stream, None, run, checkpoint, drain)
+
+
 def counts_by_type(stream: DataFrame, checkpoint: str, name: str) -> StreamingQuery:
     """A running count and sum of values per type into a table in memory."""
     counted = stream.groupBy("event_type").agg(F.count("*").alias("events"), F.max("event_id").alias("last_event"))

@@ -208,3 +208,45 @@ def test_streamed_dedup_and_registration(spark, tmp_path):
     q.awaitTermination()
     got = [(r["key"], r["outcome"]) for r in spark.table("registered").orderBy("key", "at").collect()]
     assert got == [("s", "new"), ("s", "active"), ("s", "expired"), ("t", "new")]
+
+
+def test_one_lease_per_projection_and_tenant(spark, tmp_path):
+    from ledgerframe.operators.leases import Leases
+
+    leases = Leases(spark, str(tmp_path / "leases"))
+    first = leases.try_acquire("p")
+    assert first.is_held() and leases.try_acquire("p", "") is None
+    other = leases.try_acquire("p", "t/1")
+    assert other is not None
+    first.release()
+    first.release()
+    again = leases.try_acquire("p")
+    assert again.is_held() and not first.is_held()
+    first.release()
+    assert again.is_held()
+
+
+def test_relay_marks_what_it_published(spark):
+    rows = [(k, f"m{k}", "t", "{}", "", moments(k)[0], moments(9)[0] if k == 1 else None) for k in range(4)]
+    box = spark.createDataFrame(rows, "id long, message_id string, event_type string, payload string, tenant_id string, created_at timestamp_ntz, published_at timestamp_ntz")
+    sent = []
+    after = outbox.relay(box, 2, lambda b: sent.extend(r["id"] for r in b.collect()), F.lit(moments(20)[0]).cast("timestamp_ntz"))
+    assert sent == [0, 2]
+    assert [r["id"] for r in after.filter("published_at is null").collect()] == [3]
+
+
+def test_counters_ride_along(spark):
+    from ledgerframe.functions import observe
+
+    df, seen = observe.counted(spark.createDataFrame([("a",), ("a",), ("b",)], "stream_id string"), "reads")
+    df.collect()
+    assert seen.get == {"events": 3, "streams_seen": 2}
+
+
+def test_projections_share_one_read(spark, tmp_path):
+    source = str(tmp_path / "log")
+    spark.createDataFrame([(1, "x"), (2, "y")], "global_position long, event_type string").coalesce(1).write.parquet(source)
+    got = {}
+    stream = live.tail(spark, source, spark.read.parquet(source).schema)
+    live.project_many(stream, {n: (t, lambda b, _, n=n: got.update({n: b.count()})) for n, t in (("all", None), ("xs", ["x"]))}, str(tmp_path / "c")).awaitTermination()
+    assert got == {"all": 2, "xs": 1}
