@@ -6,10 +6,11 @@ are out-of-fold predictions (``FOLDS`` folds by a hash of the id), so that it le
 earlier models give on texts they have not seen; at prediction time the earlier models' own
 probabilities go in.
 
-A text's features are its distinct words (runs of letters of the lower-cased text) and word
-beginnings of ``PREFIXES`` bytes, hashed into ``BINS`` bins and weighted by the inverse document
-frequency. Frequencies, and the choice of the ``FEATURES`` bins per category that tell its two
-values apart best (by chi-square, in ``LEAST_TEXTS`` texts at least), cover all labelled texts.
+A text's features are its distinct words (runs of letters of the lower-cased text), word
+beginnings of ``PREFIXES`` bytes and runs of signs, hashed into ``BINS`` bins and weighted by the inverse document
+frequency. Frequencies, and the choice of the bins that tell the two values of a category apart
+(by a significant chi-square, in ``LEAST_TEXTS`` texts at least; the best ``FEATURES`` per category), cover
+all labelled texts.
 The models are fitted on a bounded sample: about ``SAMPLE`` labelled texts of each value of each
 category at most, chosen by a hash of the id. The threshold is the probability one half.
 
@@ -36,12 +37,19 @@ SAMPLE = 2500
 LEAST_TEXTS = 3
 PREFIXES = (4, 5, 6)
 FEATURES = 1024
+#: Chi-square at one per cent over all bins (Bonferroni); with fewer than FEW such bins the best FEW are taken.
+SIGNIFICANT = 30.3
+FEW = 32
 STEPS = 150
 
 #: Bytes that belong to words: letters of the lower-cased text; all others separate.
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _LETTERS[128:] = np.arange(128, 256)
+#: Bytes of signs; letters, digits and spaces separate them.
+_SIGNS = np.full(256, 32, np.uint8)
+for _c in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
+    _SIGNS[_c] = _c
 
 
 def word_bins(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -53,6 +61,8 @@ def word_bins(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for k in PREFIXES:
         long = w.end - w.start >= k
         key.append(owner[long] * BINS + _bin(span_hash(values, w.start[long], w.start[long] + k, 1)))
+    signs = Words(column, _SIGNS)
+    key.append(signs.owner() * BINS + _bin(signs.hashes()))
     key = np.unique(np.concatenate(key))
     return (key % BINS).astype(np.int32), np.searchsorted(key // BINS, np.arange(n + 1))
 
@@ -165,7 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str]) -> Chain
     for k in range(len(names)):
         score = np.where(df >= LEAST_TEXTS, _chi_square(counts[1 + 2 * k], counts[2 + 2 * k]), 0.0)
         best = np.argsort(-score, kind="stable")[:FEATURES]
-        chosen[best[score[best] > 0]] = True
+        surely = best[score[best] >= SIGNIFICANT]
+        chosen[surely if len(surely) >= FEW else best[:FEW][score[best[:FEW]] > 0]] = True
     idf = np.where(chosen, idf / max(1.0, float(idf.max())), 0).astype(np.float32)
     chain = Chain(names, idf)
 
