@@ -71,8 +71,13 @@ def assign(requests: DataFrame, results: DataFrame, base: int) -> DataFrame:
 
 
 def number(df: DataFrame, order: list[str], base: int) -> DataFrame:
-    """``df`` with ``number``: base + 1, base + 2, ... in the order of ``order``."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).persist()
+    """``df`` with ``number``: base + 1, base + 2, ... in the order of ``order``.
+
+    The dealt rows are checkpointed where the session names a folder for it, so that a lost executor
+    can't bring back other partitions than those that were counted.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    ranged = ranged.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ranged.persist()
     counts = ranged.groupBy("__part").count().orderBy("__part").collect()  # one row per partition
     start, offsets = base, []
     for r in counts:

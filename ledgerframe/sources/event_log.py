@@ -104,7 +104,9 @@ class EventLog:
                     continue
             ends = written.groupBy("stream_id").agg(F.max("global_position").alias("end"))
             out = results.join(ends, "stream_id", "left").withColumn("last_global_position", F.when(F.col("outcome") == "appended", F.col("end")).otherwise(F.col("last_global_position"))).drop("end")
-            return self.spark.createDataFrame(out.collect(), out.schema)  # one row per batch of the request
+            out.write.parquet(f"{self.folder}/results/{name}")  # settled before another round changes the heads
+            results.unpersist()
+            return self.spark.read.schema(out.schema).parquet(f"{self.folder}/results/{name}")
         raise CommitConflict("unreachable")
 
 
