@@ -110,6 +110,36 @@ def is_set(bitmap: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return ((bitmap[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1).astype(bool)
 
 
+#: Bits of a bitmap that is broadcast to leave out rows before a shuffle (32 MB at most).
+MAX_FILTER_BITS = 1 << 28
+
+
+def without_others(rows: DataFrame, wanted: DataFrame, column: str = "h") -> DataFrame:
+    """``rows`` whose ``column`` (a long hash) may be one of ``wanted``'s: none of those is lost, some others stay.
+
+    Saves shuffling rows that a join with ``wanted`` would drop; the join still decides.
+    """
+    n = wanted.count()
+    bits = min(MAX_FILTER_BITS, max(1 << 16, next_pow2(16 * n)))
+    width = block_width(bits, n)
+
+    def mark(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield emit_positions(batch.column(0).to_numpy().view(np.uint64) & np.uint64(bits - 1), width)
+
+    shared = rows.sparkSession.sparkContext.broadcast(repeated_positions(wanted.select(column).mapInArrow(mark, SKETCH), bits, width, 1))
+
+    def test(batches):
+        for batch in batches:
+            h = batch.column(batch.schema.get_field_index(column)).to_numpy().view(np.uint64)
+            hit = is_set(shared.value, h & np.uint64(bits - 1))
+            if hit.any():
+                yield batch.filter(pa.array(hit))
+
+    return rows.mapInArrow(test, rows.schema)
+
+
 # ---------------------------------------------------------------- bytes and words
 
 

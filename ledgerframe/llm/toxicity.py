@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices, span_hash, text_or_empty
+from .common import Words, cut, slices, span_hash, text_or_empty, without_others
 
 BINS = 1 << 18
 FOLDS = 3
@@ -145,8 +145,15 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str]) -> Chain
     """A chain from labelled texts; ``categories`` maps each category, in order, to a 0/1 SQL expression over labels."""
     names = list(categories)
     known = labels.groupBy(F.col("doc_id").alias("__id")).agg(*[F.max(F.expr(e).cast("int")).alias(c) for c, e in categories.items()]).filter("__id is not null")
-    texts = docs.select(F.col("doc_id"), F.lower(text_or_empty()).alias("text"))
-    labelled = texts.join(known, texts["doc_id"] == known["__id"]).select("text", F.col("__id").cast("string").alias("id"), *names)
+    known = cut(known, "toxicity-labels")
+    texts = docs.select(F.col("doc_id"), F.lower(text_or_empty()).alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+
+    def with_texts(some: DataFrame) -> DataFrame:
+        """``some`` with their texts; most texts without a label never reach the shuffle."""
+        held = without_others(texts, some.select(F.xxhash64(F.col("__id").cast("string")).alias("h"))).drop("h")
+        return held.join(some, F.col("doc_id") == F.col("__id"))
+
+    labelled = with_texts(known).drop("doc_id")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows of counts: all texts, then for each category those given and those of value 1
@@ -186,7 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str]) -> Chain
     for (c, v), size in cells.items():
         if size:
             wanted = wanted | ((F.col(c) == v) & (slot < min(1.0, SAMPLE / size)))
-    sample = labelled.filter(wanted).withColumn("fold", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(FOLDS)).cast("int"))
+    sample = known.withColumn("id", F.col("__id").cast("string")).filter(wanted)
+    sample = with_texts(sample.withColumn("fold", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(FOLDS)).cast("int")))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
