@@ -304,6 +304,21 @@ def test_licences_of_documents(spark):
         assert (r["license"] if r["how"] in ("header", "file") else None) == want
 
 
+def test_whole_licence_texts(spark):
+    names = ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "Artistic-1.0")
+    full, files = dict(licenses.full_texts()), []
+    for k, name in enumerate(names):  # wrapped anew, title and end cut off, with a line that would match by itself
+        words = full[name].split()[5:]
+        words = words[: len(words) * 9 // 10] if len(words) > 400 else words
+        lines = [" ".join(words[a : a + 9]) for a in range(0, len(words), 9)]
+        files += [(2 * k, f"{name}/COPYING", "Copyright 2020 Some Body.\nAll rights reserved.\n\n" + "\n".join(lines)), (2 * k + 1, f"{name}/src/x.c", "int x;")]
+    mit = "\n".join(f"# {x}" for x in full["MIT"].split("\n"))
+    files.append((99, "code/y.py", f"# Copyright 2020 Some Body. All rights reserved.\n{mit}\n" + "import os\nprint(os.path)\n" * 200))
+    got = {r["key"]: (r["license"], r["how"]) for r in licenses.scanned(spark.createDataFrame(files, "key long, path string, text string")).collect()}
+    assert got.pop(99) == ("MIT", "header")
+    assert got == {k: (names[k // 2], "inherited" if k % 2 else "file") for k in range(2 * len(names))}
+
+
 # ---------------------------------------------------------------- HTML
 
 
