@@ -319,6 +319,20 @@ def test_whole_licence_texts(spark):
     assert got == {k: (names[k // 2], "inherited" if k % 2 else "file") for k in range(2 * len(names))}
 
 
+def test_ordinary_headers(spark):
+    wanted = {
+        "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */": "GPL-2.0", "# SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1",
+        "MIT License": "MIT", "Licensed under MIT": "MIT", "Licensed under the GPLv2+": "GPL-2.0", "GNU AGPL v3": "AGPL-3.0", "Released under the simplified BSD licence.": "BSD-2-Clause", "Licensed under CC BY-NC-SA 3.0": "CC-BY-NC-SA-3.0",
+        "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either\n# version 2.1 of the License, or (at your option) any later version.": "LGPL-2.1",
+        " * it under the terms of the GNU General Public License version 2 as\n * published by the Free Software Foundation.": "GPL-2.0",
+        "Copyright 2020 Some Body.\nAll rights reserved.\n\nLicensed under the Mozilla Public License 2.0": "MPL-2.0", "Released under the Frobnitz License.": None, "the gnu ate the apache's copyright": None,
+    }
+    body = "\nint main(void) {\n    return 0;\n}\n" * 50
+    df = spark.createDataFrame([(k, f"{k}/x.c", t + body) for k, t in enumerate(wanted)], "key long, path string, text string")
+    got = {r["key"]: r["license"] for r in licenses.scanned(df).collect()}
+    assert {t: got[k] for k, t in enumerate(wanted)} == wanted
+
+
 # ---------------------------------------------------------------- HTML
 
 
