@@ -1,16 +1,15 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-A document is the sequence of its five-word shingles, each labelled with its occurrence (first,
-second, fourth, eighth, ...; those between are left out, so that a line repeated hundreds of times
-does not outweigh the rest). A sketch takes the labelled shingles of smallest hash and keeps them
+A document is the sequence of its distinct five-word shingles in the order of their first occurrence;
+later occurrences count neither in the sketches nor in the similarity, so a text and the same text
+written many times are alike. A sketch takes the shingles of smallest hash and keeps them
 in text order; documents that agree in one sketch are candidates, which favours shared order and
-so edit similarity. Candidates are verified by aligning their distinct shingles in the order of
-their first occurrence: matches must rise in both texts and stay inside the band of offsets that a
+so edit similarity. Candidates are verified by aligning the same sequences: matches must rise in both texts and stay inside the band of offsets that a
 similarity of ``THRESHOLD`` allows; the similarity is matches / (shingles of both - matches).
 
 Texts of up to 40 distinct shingles have 24 sketches of three shingles, texts of 32 and more have 48 of
 five (a pair of similarity 0.8 always shares one of the two kinds). Such a pair differs in all of
-them with a probability of about 5e-7 to 5e-6.
+them with a probability of at most 5e-6, however often either text repeats its lines.
 
 Groups of any size are handled without listing their pairs: equal word sequences become one node
 first; in each sketch bucket every node is aligned with the bucket's smallest node; links give
@@ -53,8 +52,8 @@ with np.errstate(over="ignore"):
 class Shingles:
     """Shingle hashes of a slice of texts in text order.
 
-    ``labelled`` and ``labelled_cuts`` are the labelled ones (64 bits) and the bounds of each text,
-    ``distinct`` and ``cuts`` those that occur for the first time (32 bits).
+    ``wide`` are those that occur for the first time (64 bits), ``distinct`` the same in 32 bits and
+    ``cuts`` the bounds of each text.
     """
 
     def __init__(self, column: pa.Array):
@@ -70,37 +69,32 @@ class Shingles:
         by = np.lexsort((plain, owner))
         new = np.ones(len(by), bool)
         new[1:] = (plain[by][1:] != plain[by][:-1]) | (owner[by][1:] != owner[by][:-1])
-        run = np.flatnonzero(new)
-        times = np.empty(len(by), np.int64)
-        times[by] = np.arange(len(by)) - np.repeat(run, np.diff(np.append(run, len(by)))) + 1
-        # the occurrences 1, 2, 4, 8, ... of a shingle are kept, labelled by their number
-        kept = (times & (times - 1)) == 0
-        with np.errstate(over="ignore"):
-            self.labelled = mix(plain[kept] + times[kept].astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-        self.labelled_cuts = np.searchsorted(owner[kept], np.arange(len(n) + 1))
-        self.distinct = (mix(plain[times == 1]) >> np.uint64(32)).astype(np.uint32)
-        self.cuts = np.searchsorted(owner[times == 1], np.arange(len(n) + 1))
+        first_time = np.zeros(len(by), bool)
+        first_time[by[new]] = True  # the sort is stable
+        self.wide = mix(plain[first_time])
+        self.distinct = (self.wide >> np.uint64(32)).astype(np.uint32)
+        self.cuts = np.searchsorted(owner[first_time], np.arange(len(n) + 1))
         self.h1, self.h2 = (span_hash(hashes, first[:-1], first[1:], r) for r in (1, 2))
 
 
-def sketch(labelled: np.ndarray, distinct: int) -> np.ndarray:
+def sketch(wide: np.ndarray) -> np.ndarray:
     """The Order MinHash sketches of one text, 0 for those of a kind that it lacks."""
-    n = len(labelled)
+    n = len(wide)
     out = np.zeros(SKETCHES, np.uint64)
     first = 0
     for size, count, least_n, most_n in KINDS:
-        if least_n <= distinct <= most_n:
+        if least_n <= n <= most_n:
             step = max(1, (1 << 20) // n)
             for at in range(first, first + count, step):
                 m = _MULTIPLIERS[at : min(at + step, first + count), None]
                 with np.errstate(over="ignore"):
                     if n > size:
-                        least = np.sort(np.argpartition(labelled[None, :] * m, size - 1, axis=1)[:, :size], axis=1)
+                        least = np.sort(np.argpartition(wide[None, :] * m, size - 1, axis=1)[:, :size], axis=1)
                     else:
                         least = np.broadcast_to(np.arange(n), (len(m), n))
                     total = m[:, 0].copy()
                     for k in range(least.shape[1]):
-                        total = mix(total * np.uint64(31) + labelled[least[:, k]])
+                        total = mix(total * np.uint64(31) + wide[least[:, k]])
                 out[at : at + len(m)] = total | np.uint64(1)
         first += count
     return out
@@ -131,7 +125,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             s = Shingles(part.column(2))
-            each = [sketch(s.labelled[a:b], n) for a, b, n in zip(s.labelled_cuts, s.labelled_cuts[1:], np.diff(s.cuts))]
+            each = [sketch(s.wide[a:b]) for a, b in zip(s.cuts, s.cuts[1:])]
             flat = as_long(np.concatenate(each))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(each) + 1, dtype=np.int32) * SKETCHES), pa.array(flat))
             yield pa.RecordBatch.from_arrays(

@@ -236,6 +236,15 @@ def test_near_dedup_of_a_large_group_loses_no_link(spark):
     assert sorted(sorted((False, i) for i in c) for c in found.values()) == brute_classes(rows)
 
 
+def test_near_dedup_of_texts_written_many_times(spark):
+    r, rows = random.Random(3), []
+    for k in range(30):
+        text = sentence(r, 60 + 8 * k)
+        rows += [(10 * k + e, "\n".join([text] * times)) for e, times in enumerate((1, 2, 4, 8))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["id"]: x["cluster_id"] for x in got} == {i: i // 10 * 10 for i, _ in rows}
+
+
 def test_alignment_similarity():
     a = np.arange(100, dtype=np.uint32)
     assert minhash.similarity(a, a) == 1
