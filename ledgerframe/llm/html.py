@@ -8,7 +8,9 @@ the leaves up and from the root down, and give each element its marginal; the te
 elements whose marginal exceeds one half are the main text, in page order.
 
 Blocks are what block-level tags separate; <br> and inline tags do not start one. Character
-references are decoded, white space inside a block becomes one blank.
+references are decoded, white space inside a block becomes one blank. The head, scripts, styles,
+templates and what form controls hold are no text; all else, formulas, drawings, buttons and the
+fallback text of embedded media among it, is judged by the model with the block around it.
 
 Defined results: a null, empty or text-less page gives "". Unclosed and stray tags are closed as
 browsers do for the common cases. Texts of any length and depth are read whole, without
@@ -30,10 +32,12 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym audio b bdi bdo big br button canvas cite code data del dfn em font i iframe img ins kbd label mark math object q s samp small span strike strong sub sup svg time tt u var video wbr".split()
 )
-#: Never text of the page, whatever the model says.
-HIDDEN = frozenset("head title script style noscript template iframe object svg math select option datalist button textarea input canvas audio video".split())
+#: Formulas and drawings; nothing inside them starts a block.
+FOREIGN = frozenset("math svg".split())
+#: Never text of the page, whatever the model says: the head, code, and what form controls hold.
+HIDDEN = frozenset("head title script style noscript template select option datalist textarea input".split())
 #: A start tag closes an open element of these kinds, up to the nearest of the second set.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -54,8 +58,9 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.names, self.label = ["#root"], [-1], [()], [None]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters inside links
+        self.inline = [False]
         self.open, self.block = [0], []
-        self.links = self.hidden = self.linked = 0
+        self.links = self.hidden = self.linked = self.foreign = 0
         self.feed(html)
         self.close()
         self._flush()
@@ -65,7 +70,7 @@ class Page(HTMLParser):
             text = " ".join("".join(self.block).split())
             if text:
                 at = len(self.open) - 1  # the nearest element that is not inline
-                while at and self.tag[self.open[at]] in INLINE:
+                while at and self.inline[self.open[at]]:
                     at -= 1
                 self.blocks.append((self.open[at], text, self.linked))
         self.block, self.linked = [], 0
@@ -74,6 +79,7 @@ class Page(HTMLParser):
         for k in self.open[to:]:
             self.links -= self.tag[k] == "a"
             self.hidden -= self.tag[k] in HIDDEN
+            self.foreign -= self.tag[k] in FOREIGN
         del self.open[to:]
 
     def _nearest(self, kinds, stop=()) -> int:
@@ -89,7 +95,8 @@ class Page(HTMLParser):
         if tag == "br":
             self.block.append(" ")
             return
-        if tag not in INLINE:
+        inline = tag in INLINE or self.foreign > 0
+        if not inline:
             self._flush()
             at = self._nearest(*CLOSES[tag]) if tag in CLOSES else 0 if tag in HIDDEN else self._nearest(("p",), ("table", "td", "div", "article", "section", "li", "body"))
             if at:
@@ -99,19 +106,21 @@ class Page(HTMLParser):
         known = dict(attrs)
         words = " ".join(known.get(k) or "" for k in ("class", "id", "role")).lower()
         self.tag.append(tag)
+        self.inline.append(inline)
         self.parent.append(self.open[-1])
         self.names.append(tuple(_TOKEN.findall(words)))
         self.label.append(known.get("data-main"))
         self.open.append(len(self.tag) - 1)
         self.links += tag == "a"
         self.hidden += tag in HIDDEN
+        self.foreign += tag in FOREIGN
 
     def handle_endtag(self, tag):
         if tag in VOID:
             return
         at = self._nearest((tag,))
         if at:
-            if tag not in INLINE:
+            if not self.inline[self.open[at]]:
                 self._flush()
             self._pop(at)
 

@@ -369,6 +369,13 @@ def test_main_text_of_other_layouts():
         model.extract(broken)
 
 
+def test_formulas_buttons_and_media_inside_the_main_text():
+    page = """<html><body><nav><ul><li><a href=/>Home</a></ul></nav><article><h2><button>A heading that folds</button></h2><p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is
+    written here, beside <svg><g><text>a drawn label</text></g></svg> and more words.</p><p>See <video src=x>a film of it</video> and <object>its data</object> or <canvas>a chart</canvas> below.</p>
+    <script>var x = 1;</script><style>p{}</style></article><div class="cookie-notice"><p>We use cookies.</p><button>OK</button></div><form><label>Mail</label><select><option>one</select><button>Send</button></form></body></html>"""
+    assert html.trained().extract(page).split("\n") == ["A heading that folds", "The sum a+b is written here, beside a drawn label and more words.", "See a film of it and its data or a chart below."]
+
+
 def test_held_out_labelled_pages():
     model, right, total = html.trained(), 0, 0
     for text in html.labelled_pages(120, seed=77):
