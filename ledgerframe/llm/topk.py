@@ -1,7 +1,8 @@
 """Exact top-k search by inner product: one KD-tree per shard, searched best box first.
 
 Vectors are dealt into shards by a hash of their id; each shard's tree splits the widest side of
-its box at the median down to small leaves and keeps the tight box of every node. A box bounds the
+its box at the median down to small leaves and keeps the tight box of every leaf; inner boxes are
+not kept, so the search ranks all leaves and prunes no subtree at once. A box bounds the
 inner product with a query from above (each side gives the larger of its two end products), so
 leaves are visited in the order of their bounds until the bound falls below the query's kth score.
 That kth score starts from the query block searched against itself and travels from tree to tree
