@@ -24,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_PATTERN, cut, text_or_empty
+from .common import WORD_PATTERN, cut, text_or_empty, unused
 
-#: Knots (time, weight) of each schedule; sources by code point take them in turn. Integrals: 1, 2, 3.
-SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.0), (1.0, 3.0)), ((0.0, 4.5), (0.5, 3.0), (1.0, 1.5)))
+#: Knots (time, weight) of each schedule; sources by code point take them in turn. Integrals: 1, 2, 3;
+#: three neighbours weigh 6 together at any time, so that time runs with the words taken (until caps bind).
+SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.0), (1.0, 3.0)), ((0.0, 4.0), (0.5, 3.0), (1.0, 2.0)))
 CAP = 3
 BUCKET_DIGITS = 3
 
@@ -80,7 +81,7 @@ def targets(sources: DataFrame, schedules=SCHEDULES, cap: int = CAP) -> DataFram
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(text_or_empty())))  # null ids spread by their text
     return docs.select(
         "doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD_PATTERN)).cast("long").alias("size"), order.alias("ord"), F.substring(order, 1, BUCKET_DIGITS).alias("bucket")
     )
@@ -134,15 +135,16 @@ def mixed(docs: DataFrame, schedules=SCHEDULES, cap: int = CAP) -> DataFrame:
     """
     plan = plan_mix(docs, schedules, cap)
     plan = plan.withColumn("copies", F.filter("copies", lambda c: c["words"] * 2 >= F.col("size"))).filter(F.size("copies") > 0)
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
+    i, s, z, c, r, n, nth, copy = unused(docs, "i", "s", "z", "c", "r", "n", "nth", "copy")
+    plan = plan.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(z), F.col("copies").alias(c))
     # Rows listed again with the same id, source and size share one plan entry each.
-    again = Window.partitionBy("__id", "__source", "__size").orderBy("__copies")
-    plan = plan.withColumn("__row", F.row_number().over(again))
-    sized = docs.withColumn("__n", F.regexp_count(text_or_empty(), F.lit(WORD_PATTERN)).cast("long"))
-    sized = sized.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "source", "__n").orderBy("text"))) if _repeats(docs) else sized.withColumn("__nth", F.lit(1))
-    on = sized["doc_id"].eqNullSafe(plan["__id"]) & sized["source"].eqNullSafe(plan["__source"]) & (sized["__n"] == plan["__size"]) & (sized["__nth"] == plan["__row"])
-    rows = sized.join(plan, on).withColumn("__copy", F.explode("__copies"))
-    return rows.orderBy("__copy.position", F.col("doc_id").asc_nulls_last()).select(*[rows[c] for c in docs.columns])
+    again = Window.partitionBy(i, s, z).orderBy(c)
+    plan = plan.withColumn(r, F.row_number().over(again))
+    sized = docs.withColumn(n, F.regexp_count(text_or_empty(), F.lit(WORD_PATTERN)).cast("long"))
+    sized = sized.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", "source", n).orderBy("text")) if _repeats(docs) else F.lit(1))
+    on = sized["doc_id"].eqNullSafe(plan[i]) & sized["source"].eqNullSafe(plan[s]) & (sized[n] == plan[z]) & (sized[nth] == plan[r])
+    rows = sized.join(plan, on).withColumn(copy, F.explode(c))
+    return rows.orderBy(F.col(copy)["position"], F.col("doc_id").asc_nulls_last()).select(*[rows[k] for k in docs.columns])
 
 
 def _repeats(docs: DataFrame) -> bool:
