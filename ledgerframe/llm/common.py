@@ -7,19 +7,20 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 #: Characters that separate words (fixed by the contracts).
 SPACES = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = (1 << 19) - 1
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[ord(c) for c in SPACES]] = True
@@ -29,17 +30,16 @@ _IS_SPACE[[ord(c) for c in SPACES]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one is set only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if held is None:
+    """The folder all executors see. Where none is configured, a local session gets a temporary one; a cluster must name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerframe-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -55,13 +55,42 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: lineage ends there.
 
     Survives lost executors, and later passes prune columns of the stored table instead of
-    recomputing. The table is removed when the driver exits.
+    recomputing. The table is removed by ``discard``, at the latest when the driver exits.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut_all([df], name)
+
+
+def cut_all(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """The union of ``parts``, written one after the other into one table as ``cut`` does."""
+    path = None
+    for df in parts:
+        spark, schema = df.sparkSession, df.schema
+        if path is None:
+            path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+            atexit.register(_remove, spark, path)
+        df.write.option("compression", "zstd").mode("append").parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by ``cut`` that no plan still to be run reads."""
+    for t in tables:
+        if getattr(t, "scratch", None):
+            _remove(t.sparkSession, t.scratch)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def next_pow2(n: int) -> int:
@@ -72,6 +101,7 @@ def next_pow2(n: int) -> int:
 
 BLOCK_POSITIONS = 1 << 20
 SKETCH = "block long, positions binary"
+MERGED = "block long, packed boolean, bits binary"
 
 
 def block_width(bits: int, entries: int) -> int:
@@ -92,16 +122,26 @@ def emit_positions(pos: np.ndarray, width: int) -> pa.RecordBatch:
 
 
 def repeated_positions(sketches: DataFrame, bits: int, width: int, times_set: int = 2) -> np.ndarray:
-    """Bitmap (``bits`` / 8 bytes) of the positions that all partitions together set at least so often."""
+    """Bitmap (``bits`` / 8 bytes, all that the driver receives) of the positions that all partitions together set at least so often."""
 
     def merge(key, pdf):
         pos, times = np.unique(np.frombuffer(b"".join(pdf["positions"]), np.uint32), return_counts=True)
-        return pd.DataFrame({"block": [key[0]], "positions": [pos[times >= times_set].tobytes()]})
+        pos = pos[times >= times_set]
+        packed = 32 * len(pos) > width  # whichever is shorter: the bits, or where they are
+        if packed:
+            held = np.zeros(width, bool)
+            held[pos] = True
+        return pd.DataFrame({"block": [key[0]], "packed": [packed], "bits": [np.packbits(held, bitorder="little").tobytes() if packed else pos.tobytes()]})
 
     bitmap = np.zeros(max(1, bits // 8), np.uint8)
-    for row in sketches.groupBy("block").applyInPandas(merge, SKETCH).toLocalIterator():
-        pos = np.frombuffer(row["positions"], np.uint32).astype(np.int64) + row["block"] * width
-        np.bitwise_or.at(bitmap, pos >> 3, (1 << (pos & 7)).astype(np.uint8))
+    for row in sketches.groupBy("block").applyInPandas(merge, MERGED).toLocalIterator():
+        at = row["block"] * width
+        if row["packed"] and width % 8 == 0:
+            bitmap[at // 8 : (at + width) // 8] = np.frombuffer(row["bits"], np.uint8)
+        else:
+            held = np.frombuffer(row["bits"], np.uint8 if row["packed"] else np.uint32)
+            pos = (np.flatnonzero(np.unpackbits(held, bitorder="little")) if row["packed"] else held).astype(np.int64) + at
+            np.bitwise_or.at(bitmap, pos >> 3, (1 << (pos & 7)).astype(np.uint8))
     return bitmap
 
 
@@ -201,11 +241,15 @@ class Words:
         return span_hash(self.data.astype(np.uint64) + np.uint64(1), self.start, self.end, 0)
 
 
+#: Odd multipliers of published 64-bit mixers (golden ratio, and two of wyhash's).
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Longest table of powers that a worker process keeps (8 MB for each of two tables).
+KEPT_POWERS = 1 << 20
 
 
 def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a multiplier, and of its inverse."""
     up, down = _POWERS.get(which, (np.ones(1, np.uint64),) * 2)
     if len(up) < n:
         size = next_pow2(max(n, 1 << 16))
@@ -213,13 +257,13 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
         up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, base)]))
         down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, inverse)]))
-        if size <= 1 << 23:
+        if size <= KEPT_POWERS:
             _POWERS[which] = (up, down)
     return up, down
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser that spreads every input bit over the 64-bit result."""
+    """Finaliser that spreads every input bit over the 64-bit result (fixed values: those of SplitMix64)."""
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x = x ^ (x >> np.uint64(27))
@@ -251,15 +295,18 @@ def text_or_empty(name: str = "text"):
 LARGEST = (1 << 63) - 1
 
 
-def row_id(name: str = "doc_id"):
-    """The id as a number; a null id counts as larger than all others."""
+def row_id(docs: DataFrame, name: str = "doc_id"):
+    """The id as a number; a null id counts as larger than all others. Ids must be whole numbers."""
+    kind = docs.schema[name].dataType
+    if not isinstance(kind, IntegralType | NullType):
+        raise TypeError(f"{name} must be a whole number, not {kind.simpleString()}")
     return F.coalesce(F.col(name).cast("long"), F.lit(LARGEST))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """id, th (a hash that tells the texts of one id apart), text (a null is empty)."""
     text = text_or_empty()
-    return docs.select(row_id().alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(row_id(docs).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
@@ -267,14 +314,15 @@ def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
     Rows that repeat an id and text are one document listed again: one of them stays.
     """
-    keys = decided.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    i, t, k_i, k_t, rows = unused(docs, "i", "t", "k_i", "k_t", "rows")
+    keys = decided.groupBy(F.col("id").alias(k_i), F.col("th").alias(k_t)).agg(F.max("kept").alias("kept"), F.count("*").alias(rows))
     keys = cut(keys.filter("kept").drop("kept"), "kept-rows")
-    marked = docs.withColumns({"__i": row_id(), "__t": F.xxhash64(text_or_empty())})
+    marked = docs.withColumns({i: row_id(docs), t: F.xxhash64(text_or_empty())})
 
     def match(some: DataFrame) -> DataFrame:
-        return marked.join(some, (marked["__i"] == some["__id"]) & (marked["__t"] == some["__th"]), "left_semi")
+        return marked.join(some, (marked[i] == some[k_i]) & (marked[t] == some[k_t]), "left_semi")
 
-    repeated = keys.filter("rows > 1")
+    repeated = keys.filter(F.col(rows) > 1)
     if repeated.isEmpty():
-        return match(keys).drop("__i", "__t")
-    return match(keys.filter("rows = 1")).unionByName(match(repeated).dropDuplicates(["__i", "__t"])).drop("__i", "__t")
+        return match(keys).drop(i, t)
+    return match(keys.filter(F.col(rows) == 1)).unionByName(match(repeated).dropDuplicates([i, t])).drop(i, t)

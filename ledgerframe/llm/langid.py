@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import _buffers, slices, text_or_empty
+from .common import _buffers, slices, text_or_empty, unused
 
 BINS = 1 << 13
 GRAMS = 4
@@ -162,10 +162,11 @@ def annotated(docs: DataFrame, model: Model | None, prefix: str = "") -> DataFra
     docs = docs.drop(*made)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
+    lower, has_letter = unused(docs, "lower", "lettered")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in _small(batches, "__lower"):
+        for part in _small(batches, lower):
             n = part.num_rows
             lang, score, rejected = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
             lettered = part.column(0).to_numpy(zero_copy_only=False).astype(bool)
@@ -179,9 +180,9 @@ def annotated(docs: DataFrame, model: Model | None, prefix: str = "") -> DataFra
             found = [pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays([*part.columns[2:], *found], [*names, *made])
 
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__lettered")
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(has_letter)
     schema = StructType([*docs.schema.fields, *(StructField(c, t) for c, t in zip(made, (StringType(), DoubleType(), BooleanType())))])
-    return docs.select(lettered, F.lower(text_or_empty()).alias("__lower"), *[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+    return docs.select(lettered, F.lower(text_or_empty()).alias(lower), *[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
 
 
 def held_out() -> Column:
