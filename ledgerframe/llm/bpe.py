@@ -1,15 +1,20 @@
 """BPE encoding and decoding of whole texts with a public tokenizer file.
 
-Runs between white space are encoded by the tokenizers library, each distinct one once per task
-(white space is a hard boundary of the word-level vocabulary, so that a text's ids are its runs'
-ids in order). Where the tokenizer has the usual word-end form (NFC, lower case, letters, digits
-and signs apart), runs of plain Latin letters, digits and signs fall into such pieces beforehand,
-which raises the cache's hits and lets the library's model encode a piece without normalising it
-again. A run longer than ``piece`` characters is encoded by tree concatenation: its halves
-are encoded, and a window around their join is encoded and grown until its tokens meet those of
-the left half on one side and those of the right half on the other at ``AGREE`` tokens in a row
-each; the result is left tokens, window tokens, right tokens. If the window reaches both ends, its
-tokens are those of the whole run.
+A text of more than ``PIECE`` characters is encoded by tree concatenation: it is cut into halves of
+halves wherever the cut falls, the pieces are dealt to all tasks and encoded there in parallel, and
+neighbours are joined upward, ``FAN`` per round of the job and two by two inside it. A join
+encodes a window around the cut and grows it until its tokens meet those of the left piece on one
+side and those of the right piece on the other, ``AGREE`` tokens in a row each with the same ids
+at the same places; the result is left tokens, window tokens, right tokens. A window that reaches
+both ends is the whole text, and its tokens are the result. Pieces keep the places of their outer
+``EDGE`` tokens; a window that outgrows them is taken as the whole.
+
+Inside a piece (and a shorter text) the library encodes runs between white space, each distinct
+short one once per worker as long as its cache has room (white space is a hard boundary of the
+word-level vocabulary, so that ids are those of the runs in order). Where the tokenizer has the
+usual word-end form (NFC, lower case, letters, digits and signs apart), runs of plain Latin
+letters, digits and signs fall into such pieces beforehand, which raises the cache's hits and lets
+the library's model encode them without normalising them again. The cache is bounded in bytes.
 
 Defined results: a null text is encoded as an empty one: no ids, and decoded "". Special tokens
 inside a text are recognised as the library does. One row per row; repeated rows are encoded
@@ -22,18 +27,30 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE = 8192
-AGREE = 8
-#: Runs kept per worker process, about 300 bytes each.
-CACHE_WORDS = 1_000_000
+from .common import cut, slices
 
-_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+PIECE = 32768
+FAN = 8
+AGREE = 8
+EDGE = 2048
+#: Characters on either side of a cut that the first window takes.
+REACH = 256
+#: Bytes that a worker process keeps of runs it has met, and the longest run that is kept.
+CACHE_BYTES = 48 << 20
+CACHED_RUN = 256
+_ENTRY = 400
+#: Characters of long text that one task is dealt.
+DEALT = 1 << 20
+
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Signs that are always a piece of their own kind; the apostrophe and those of special tokens are not.
 _SIGNS = re.escape("!\"#$%&()*+,-./:;=?@[\\]^_`{}~")
 _SAFE = f"{_LETTERS}0-9{_SIGNS}"
@@ -64,29 +81,47 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 def load(path: str):
     from tokenizers import Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are what runs in parallel
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_padding()
     tokenizer.no_truncation()
     return tokenizer
 
 
+@dataclass
+class Piece:
+    """A stretch of a text and its ids; ``head`` and ``tail`` are the places (start, end) of the outer
+    tokens, counted from the stretch's start and from its end."""
+
+    text: str
+    ids: np.ndarray
+    head: np.ndarray
+    tail: np.ndarray
+
+    @classmethod
+    def of(cls, text: str, ids: np.ndarray, places: np.ndarray) -> Piece:
+        return cls(text, ids, places[:EDGE], places[-EDGE:] - len(text))
+
+
 class Codec:
-    """Encodes and decodes texts; keeps the ids of runs it has met (a bounded cache)."""
+    """Encodes and decodes texts; keeps the ids of short runs it has met."""
 
-    def __init__(self, path: str, piece: int = PIECE):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         self.tokenizer = load(path)
-        self.piece = piece
-        #: Of each run met: its ids as text joined by blanks, its decoded text; and runs without any id.
-        self.ids: dict[str, str] = {}
-        self.decoded: dict[str, str] = {}
-        self.void: set[str] = set()
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cache_bytes = cache_bytes
+        self._forget()
         #: Without a decoder the library joins the tokens by a blank, so that runs can be decoded one by one.
         self.joins = self.tokenizer.decoder is None
         self.by_pieces = self._has_word_form()
         self.letters = _byte_letters()
-        self.find = (_PIECES if self.by_pieces else _RUN).findall
+        self.runs = _PIECES if self.by_pieces else _RUN
+
+    def _forget(self) -> None:
+        #: Of each run met: its ids as text joined by blanks, its decoded text; and runs without any id.
+        self.ids: dict[str, str] = {}
+        self.decoded: dict[str, str] = {}
+        self.void: set[str] = set()
+        self.held = 0
 
     def _has_word_form(self) -> bool:
         form = json.loads(self.tokenizer.to_str())
@@ -101,81 +136,13 @@ class Codec:
             and form["model"]["type"] == "BPE"
         )
 
-    # ---- one run
-
-    def _tokens(self, text: str) -> list[tuple[int, int, int]]:
-        e = self.tokenizer.encode(text, add_special_tokens=False)
-        return [(i, a, b) for i, (a, b) in zip(e.ids, e.offsets)]
-
-    def tree(self, run: str) -> list[tuple[int, int, int]]:
-        """(id, start, end) of the tokens of ``run``, by halves."""
-        if len(run) <= self.piece:
-            return self._tokens(run)
-        mid = self._middle(run)
-        left, right = self.tree(run[:mid]), [(i, a + mid, b + mid) for i, a, b in self.tree(run[mid:])]
-        return self.join(run, left, right, mid)
-
-    def _middle(self, run: str) -> int:
-        """Half way, moved out of a special token if it falls into one."""
-        mid = len(run) // 2
-        for s in self.specials:
-            at = run.rfind(s, max(0, mid - len(s) + 1), mid + len(s) - 1)
-            if at >= 0 and at < mid < at + len(s):
-                mid = at + len(s)
-        return min(max(mid, 1), len(run) - 1)
-
-    def join(self, run: str, left, right, mid: int):
-        reach = max(64, self.piece // 16)
-        while True:
-            a, b = max(0, mid - reach), min(len(run), mid + reach)
-            window = [(i, s + a, e + a) for i, s, e in self._tokens(run[a:b])]
-            if a == 0 and b == len(run):
-                return window
-            head = (0, 0) if a == 0 else self._meet(left, window, a, mid)
-            tail = (len(window), len(right)) if b == len(run) else self._meet_back(right, window, mid, b)
-            if head and tail and head[1] <= tail[0]:
-                return left[: head[0]] + window[head[1] : tail[0]] + right[tail[1] if b < len(run) else len(right) :]
-            reach *= 2
-
-    def _meet(self, left, window, a: int, mid: int):
-        """First place after ``a`` at which ``AGREE`` tokens of both are the same: (index in left, in window)."""
-        at = {t: k for k, t in enumerate(left) if t[1] >= a}
-        return self._run_of(window, left, at, lambda t: t[2] <= mid)
-
-    def _meet_back(self, right, window, mid: int, b: int):
-        at = {t: k for k, t in enumerate(right) if t[2] <= b}
-        last = None
-        found = 0
-        for k in range(len(window) - 1, -1, -1):
-            t = window[k]
-            same = t[1] >= mid and t in at
-            found = found + 1 if same and (found == 0 or at[t] == last - 1) else int(same)
-            last = at.get(t)
-            if found == AGREE:
-                return k, at[t]
-        return None
-
-    @staticmethod
-    def _run_of(window, other, at, within):
-        found, last = 0, None
-        for k, t in enumerate(window):
-            same = within(t) and t in at
-            found = found + 1 if same and (found == 0 or at[t] == last + 1) else int(same)
-            last = at.get(t)
-            if found == AGREE:
-                return at[t] + 1, k + 1
-        return None
-
-    # ---- whole texts
+    # ---- runs and their cache
 
     def _learn(self, words: list[str]) -> None:
         tokenize, letters = self.tokenizer.model.tokenize, self.letters
         rest, done, found = [], [], []
         for w in words:
-            if len(w) > self.piece:
-                done.append(w)
-                found.append([t[0] for t in self.tree(w)])
-            elif self.by_pieces and _PLAIN.fullmatch(w):
+            if self.by_pieces and len(w) <= CACHED_RUN and _PLAIN.fullmatch(w):
                 low = w.lower()
                 if not low.isascii():
                     low = low.encode().decode("latin-1").translate(letters)
@@ -188,71 +155,259 @@ class Codec:
             found += [e.ids for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)]
         decoded = self.tokenizer.decode_batch(found, skip_special_tokens=False) if self.joins else [""] * len(found)
         for w, ids, d in zip(done, found, decoded):
-            self.ids[w] = " ".join(map(str, ids))
+            self.ids[w] = joined = " ".join(map(str, ids))
             self.decoded[w] = d
+            self.held += _ENTRY + 4 * len(w) + len(joined) + 4 * len(d)
             if not ids:
                 self.void.add(w)
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
-        """The ids as text joined by blanks, and the decoded text, of each text."""
-        for at in range(0, len(texts), 64):
-            if len(self.ids) > CACHE_WORDS:
-                self.ids, self.decoded, self.void = {}, {}, set()
-            parts = [self.find(text or "") for text in texts[at : at + 64]]
-            missing = set().union(*parts).difference(self.ids)
-            if missing:
-                self._learn(list(missing))
-            for runs in parts:
-                if self.void and not self.void.isdisjoint(runs):
-                    runs = [w for w in runs if w not in self.void]
-                joined = " ".join(map(self.ids.__getitem__, runs))
-                if self.joins:
-                    yield joined, " ".join(map(self.decoded.__getitem__, runs))
-                else:
-                    yield joined, self.tokenizer.decode(list(map(int, joined.split())), skip_special_tokens=False)
-
-
-_CODECS: dict[tuple[str, int], Codec] = {}
-
-
-def codec(path: str, piece: int = PIECE) -> Codec:
+    def encode(self, texts: list[str | None]) -> list[tuple[str, str]]:
+        """The ids as text joined by blanks, and the decoded text, of each of a slice of texts."""
+        if self.held > self.cache_bytes:
+            self._forget()
+        parts = [self.runs.findall(text or "") for text in texts]
+        missing = set().union(*parts).difference(self.ids) if parts else set()
+        if missing:
+            self._learn(list(missing))
+        out = []
+        for runs in parts:
+            if self.void and not self.void.isdisjoint(runs):
+                runs = [w for w in runs if w not in self.void]
+            joined = " ".join(map(self.ids.__getitem__, runs))
+            if self.joins:
+                out.append((joined, " ".join(map(self.decoded.__getitem__, runs))))
+            else:
+                out.append((joined, self.decode(np.fromstring(joined, np.int32, sep=" "))))
+        for w in missing:
+            if len(w) > CACHED_RUN:
+                self.held -= _ENTRY + 4 * len(w) + len(self.ids.pop(w)) + 4 * len(self.decoded.pop(w))
+                self.void.discard(w)
+        return out
+
+    def decode(self, ids: np.ndarray) -> str:
+        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+
+    # ---- pieces of long texts
+
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``text`` and their places: those of the run for a cached one, of the token itself in a longer one."""
+        if self.held > self.cache_bytes:
+            self._forget()
+        spans = [(m.group(), m.start(), m.end()) for m in self.runs.finditer(text)]
+        missing = {w for w, _, _ in spans if len(w) <= CACHED_RUN}.difference(self.ids)
+        if missing:
+            self._learn(list(missing))
+        ids, places = [], []
+        for w, a, b in spans:
+            if len(w) <= CACHED_RUN:
+                mine = self.ids[w].split()
+                ids += map(int, mine)
+                places += [(a, b)] * len(mine)
+            else:
+                e = self.tokenizer.encode(w, add_special_tokens=False)
+                ids += e.ids
+                places += [(a + s, a + t) for s, t in e.offsets]
+        return np.array(ids, np.int32), np.array(places, np.int64).reshape(-1, 2)
+
+    def piece(self, text: str) -> Piece:
+        return Piece.of(text, *self.tokens(text))
+
+    def join(self, left: Piece, right: Piece) -> Piece:
+        """The piece of both texts; its ids are those of the whole."""
+        mid, total = len(left.text), len(left.text) + len(right.text)
+        reach = REACH
+        while True:
+            a, b = max(0, mid - reach), min(total, mid + reach)
+            ids, places = self.tokens(left.text[a:] + right.text[: b - mid])
+            places = places + a
+            if a == 0 and b == total:
+                return Piece.of(left.text + right.text, ids, places)
+            window = [(i, s, e) for i, (s, e) in zip(ids.tolist(), places.tolist())]
+            k, m = len(left.tail), len(right.head)
+            before = [(i, s + mid, e + mid) for i, (s, e) in zip(left.ids[len(left.ids) - k :].tolist(), left.tail.tolist())]
+            after = [(i, s + mid, e + mid) for i, (s, e) in zip(right.ids[:m].tolist(), right.head.tolist())]
+            covered = (k == len(left.ids) or before[0][1] <= a) and (m == len(right.ids) or after[-1][2] >= b)
+            start = (0, 0) if a == 0 else _meet(before, window, a, mid)
+            stop = (m, len(window)) if b == total else _meet(after[::-1], window[::-1], mid, b)
+            if a == 0:
+                keep, x = 0, 0
+            elif start:
+                keep, x = len(left.ids) - k + start[0], start[1]
+            if b == total:
+                skip, y = len(right.ids), len(window)
+            elif stop:
+                skip, y = m - stop[0], len(window) - stop[1]
+            if start and stop and x <= y:
+                middle = places[x:y]
+                joined = np.concatenate([left.ids[:keep], ids[x:y], right.ids[skip:]])
+                gone, stays = len(left.ids) - keep, len(right.ids) - skip
+                head, tail = left.head, right.tail
+                if keep <= len(head):
+                    head = np.concatenate([head[:keep], middle, right.head[skip:] + mid])
+                if stays <= len(tail):
+                    own = left.tail[: max(0, len(left.tail) - gone)]
+                    tail = np.concatenate([own + mid - total, middle - total, tail[len(tail) - stays :]])
+                return Piece(left.text + right.text, joined, head[:EDGE], tail[-EDGE:])
+            reach = reach * 4 if covered else total
+
+    def tree(self, pieces: list[Piece]) -> Piece:
+        """Neighbours joined two by two, upward."""
+        while len(pieces) > 1:
+            pieces = [self.join(*pieces[k : k + 2]) if k + 1 < len(pieces) else pieces[k] for k in range(0, len(pieces), 2)]
+        return pieces[0]
+
+
+def _meet(side: list, window: list, low: int, high: int) -> tuple[int, int] | None:
+    """The first ``AGREE`` tokens in a row, within low and high, that both have: how many tokens of each end there.
+
+    For the right side both lists come reversed.
+    """
+    at = {t: k for k, t in enumerate(side) if t[1] >= low and t[2] <= high}
+    found, last = 0, -1
+    for k, t in enumerate(window):
+        here = at.get(t)
+        found = 0 if here is None else found + 1 if found and here == last + 1 else 1
+        last = here
+        if found == AGREE:
+            return here + 1, k + 1
+    return None
+
+
+def halvings(length: int, piece: int = PIECE) -> int:
+    """Pieces that halving makes of a text of this length."""
+    count = 1
+    while length > piece * count:
+        count *= 2
+    return count
+
+
+def halves(text: str, piece: int = PIECE) -> list[str]:
+    """``text`` cut into halves, those into halves, down to ``piece`` characters; cuts ignore what they fall on."""
+    count = halvings(len(text), piece)
+    cuts = [len(text) * k // count for k in range(count + 1)]
+    return [text[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+_CODECS: dict[str, Codec] = {}
+
+
+def codec(path: str) -> Codec:
     """One codec per worker process, so that its cache lasts over batches and tasks."""
-    if (path, piece) not in _CODECS:
-        _CODECS[path, piece] = Codec(path, piece)
-    return _CODECS[path, piece]
+    if path not in _CODECS:
+        _CODECS[path] = Codec(path)
+    return _CODECS[path]
 
 
 def encoded(docs: DataFrame, path: str | None = None, piece: int = PIECE) -> DataFrame:
     """doc_id, ids array<int>, decoded string of every text."""
-    return _encode(docs, path or vocabulary_path(), piece, digests=False)
+    return _encode(docs, path or vocabulary_path(), piece, "texts")
 
 
 def digests(docs: DataFrame, path: str | None = None, piece: int = PIECE) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: what ``encoded`` gives, hashed where it is made."""
-    return _encode(docs, path or vocabulary_path(), piece, digests=True)
+    return _encode(docs, path or vocabulary_path(), piece, "digests")
+
+
+def tokenised(docs: DataFrame, path: str | None = None, piece: int = PIECE) -> DataFrame:
+    """doc_id, n_tokens, ids array<int>, decoded_sha256: the decoded text is hashed where it is made."""
+    return _encode(docs, path or vocabulary_path(), piece, "ids")
+
+
+_COLUMNS = {
+    "texts": "ids array<int>, decoded string",
+    "digests": "n_tokens long, ids_sha256 string, decoded_sha256 string",
+    "ids": "n_tokens long, ids array<int>, decoded_sha256 string",
+}
+
+
+def _columns(got: list[tuple[str, str]], kind: str) -> dict[str, pa.Array]:
+    """The result columns of texts from their (ids as text, decoded text)."""
 
+    def digest(x: str) -> str:
+        return sha256(x.encode()).hexdigest()
 
-def _encode(docs: DataFrame, path: str, piece: int, digests: bool) -> DataFrame:
-    from hashlib import sha256
+    out = {}
+    if kind != "texts":
+        out["n_tokens"] = pa.array([joined.count(" ") + bool(joined) for joined, _ in got], pa.int64())
+    if kind == "digests":
+        out["ids_sha256"] = pa.array([digest(joined) for joined, _ in got], pa.string())
+    else:
+        ids = [np.fromstring(joined, np.int32, sep=" ") for joined, _ in got]
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        out["ids"] = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
+    if kind == "texts":
+        out["decoded"] = pa.array([decoded for _, decoded in got], pa.string())
+    else:
+        out["decoded_sha256"] = pa.array([digest(decoded) for _, decoded in got], pa.string())
+    return out
 
+
+def _encode(docs: DataFrame, path: str, piece: int, kind: str) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, piece)
+        c = codec(path)
+        for part in slices(batches, 1 << 19):
+            columns = _columns(c.encode(part.column(1).to_pylist()), kind)
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns.values()], ["doc_id", *columns])
+
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    is_long = F.coalesce(F.length("text") > piece, F.lit(False))
+    found = texts.filter(~is_long).mapInArrow(run, f"doc_id {id_type}, {_COLUMNS[kind]}")
+    longest, characters = texts.filter(is_long).agg(F.max(F.length("text")), F.sum(F.length("text").cast("long"))).first()
+    if longest is None:
+        return found
+    return found.unionByName(_long(texts.filter(is_long), path, piece, kind, longest, characters))
+
+
+PIECES = "key binary, at long, text string, ids binary, head binary, tail binary"
+
+
+def _long(texts: DataFrame, path: str, piece: int, kind: str, longest: int, characters: int) -> DataFrame:
+    """The result of texts longer than ``piece``: pieces dealt, encoded and stored, then joined upward."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                parts = halves(text.as_py(), piece)
+                yield pa.RecordBatch.from_pydict({"key": pa.array([key] * len(parts), pa.binary()), "at": pa.array(range(len(parts)), pa.int64()), "text": parts})
+
+    def record(key, at, pieces: list[Piece]) -> pa.RecordBatch:
+        def raw(values, kind):
+            return pa.array([np.ascontiguousarray(x, kind).tobytes() for x in values], pa.binary())
+
+        made = [pa.array([p.text for p in pieces]), raw([p.ids for p in pieces], np.int32), raw([p.head for p in pieces], np.int64), raw([p.tail for p in pieces], np.int64)]
+        return pa.RecordBatch.from_arrays([key, at, *made], ["key", "at", "text", "ids", "head", "tail"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for part in slices(batches, 1 << 19):
+            yield record(part.column(0), part.column(1), [c.piece(t) for t in part.column(2).to_pylist()])
+
+    def upward(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("at").to_pylist()
+        places = lambda raw: np.frombuffer(raw, np.int64).reshape(-1, 2)
+        whole = codec(path).tree([Piece(r["text"], np.frombuffer(r["ids"], np.int32), places(r["head"]), places(r["tail"])) for r in rows])
+        return pa.Table.from_batches([record(pa.array([rows[0]["key"]], pa.binary()), pa.array([rows[0]["at"] // FAN], pa.int64()), [whole])])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                got = c.encode(part.column(1).to_pylist())
-                if digests:
-                    rows = [(joined.count(" ") + bool(joined), sha256(joined.encode()).hexdigest(), sha256(decoded.encode()).hexdigest()) for joined, decoded in got]
-                    n, a, b = zip(*rows)
-                    columns = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a), "decoded_sha256": pa.array(b)}
-                else:
-                    rows = [(np.fromstring(joined, np.int32, sep=" "), decoded) for joined, decoded in got]
-                    starts = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])]).astype(np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([r[0] for r in rows])))
-                    columns = {"ids": ids, "decoded": pa.array([r[1] for r in rows], pa.string())}
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns.values()], ["doc_id", *columns])
-
-    out = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, {out}")
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                ids = np.frombuffer(one.column(1)[0].as_py(), np.int32)
+                columns = _columns([(" ".join(map(str, ids.tolist())), c.decode(ids))], kind)
+                yield pa.RecordBatch.from_arrays([one.column(0), *columns.values()], ["key", *columns])
+
+    # A text is known by its hash, so that its pieces find one another; equal texts are encoded once.
+    keyed = cut(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("key"), "text"), "bpe-long")
+    tasks = max(keyed.sparkSession.sparkContext.defaultParallelism, int(characters // DEALT))
+    dealt = keyed.select("key", "text").mapInArrow(deal, "key binary, at long, text string").repartition(tasks, "key", "at")
+    pieces = dealt.groupBy("key", "at").agg(F.first("text").alias("text"))
+    pieces = cut(pieces.mapInArrow(encode, PIECES), "bpe-pieces")
+    count = halvings(longest, piece)
+    while count > 1:
+        pieces = pieces.groupBy("key", F.floor(F.col("at") / FAN).alias("up")).applyInArrow(upward, PIECES)
+        count = -(-count // FAN)
+    found = cut(pieces.select("key", "ids").mapInArrow(finish, f"key binary, {_COLUMNS[kind]}"), "bpe-joined")
+    return keyed.select("doc_id", "key").join(found, "key").drop("key")

@@ -17,8 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix.plan_mix(table(spark, sf_dir, "documents"))
-    out = plan.withColumn("position", F.get("copies", F.lit(0))["position"]).drop("copies")
-    return mix.range_sorted(out).select("doc_id", "size", "source_size", "target", "taken", "position")
+    names = ["position", *(f"position_{k}" for k in range(2, mix.CAP + 1))]  # of the first copy, the second, ...
+    out = plan.withColumns({name: F.get("copies", F.lit(k))["position"] for k, name in enumerate(names)}).drop("copies")
+    return mix.range_sorted(out).select("doc_id", "size", "source_size", "target", "taken", *names)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,11 +85,23 @@ QUERIES = {
     "op10_topk": op10_topk,
 }
 
+def _position_sql(share: str) -> str:
+    """The inverted schedules of the three kinds of sources at a share of the target."""
+    one, later = "1.0::DOUBLE", f"({share} * 3.0::DOUBLE - 1.75::DOUBLE)"
+    return f"""CASE WHEN {share} IS NULL THEN NULL
+            WHEN kind = 0 THEN least({one}, {share})
+            WHEN kind = 1 THEN least({one}, 2.0::DOUBLE * ({share} * 2.0::DOUBLE) / ({one} + sqrt(greatest(0.0::DOUBLE, {one} + 4.0::DOUBLE * ({share} * 2.0::DOUBLE)))))
+            WHEN {share} * 3.0::DOUBLE <= 1.75::DOUBLE
+              THEN least({one}, 2.0::DOUBLE * ({share} * 3.0::DOUBLE) / (4.0::DOUBLE + sqrt(greatest(0.0::DOUBLE, 16.0::DOUBLE + -4.0::DOUBLE * ({share} * 3.0::DOUBLE)))))
+            ELSE least({one}, 0.5::DOUBLE + 2.0::DOUBLE * {later} / (3.0::DOUBLE + sqrt(greatest(0.0::DOUBLE, 9.0::DOUBLE + -4.0::DOUBLE * {later}))))
+       END"""
+
+
 ORACLE = {
     "op1_mix": rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {WORDS_SQL})) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS ord
+         md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS ord
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind
@@ -117,15 +130,9 @@ t AS (
   SELECT *, least(size, greatest(0, goal - start)) AS c0, least(size, greatest(0, goal - source_size - start)) AS c1,
          least(size, greatest(0, goal - 2 * source_size - start)) AS c2
   FROM q
-), v AS (SELECT *, CASE WHEN c0 > 0 THEN (start + c0 / 2.0::DOUBLE) / target END AS share FROM c)
+), v AS (SELECT *, {", ".join(f"CASE WHEN c{k} > 0 THEN (start + {k} * source_size + c{k} / 2.0::DOUBLE) / target END AS share{k}" for k in range(3))} FROM c)
 SELECT doc_id, size, source_size, target, CAST(c0 + c1 + c2 AS BIGINT) AS taken,
-       CASE WHEN share IS NULL THEN NULL
-            WHEN kind = 0 THEN least(1.0::DOUBLE, share)
-            WHEN kind = 1 THEN least(1.0::DOUBLE, 2.0::DOUBLE * (share * 2.0::DOUBLE) / (1.0::DOUBLE + sqrt(greatest(0.0::DOUBLE, 1.0::DOUBLE + 4.0::DOUBLE * (share * 2.0::DOUBLE)))))
-            WHEN share * 3.0::DOUBLE <= 1.875::DOUBLE
-              THEN least(1.0::DOUBLE, 2.0::DOUBLE * (share * 3.0::DOUBLE) / (4.5::DOUBLE + sqrt(greatest(0.0::DOUBLE, 20.25::DOUBLE + -6.0::DOUBLE * (share * 3.0::DOUBLE)))))
-            ELSE least(1.0::DOUBLE, 0.5::DOUBLE + 2.0::DOUBLE * (share * 3.0::DOUBLE - 1.875::DOUBLE) / (3.0::DOUBLE + sqrt(greatest(0.0::DOUBLE, 9.0::DOUBLE + -6.0::DOUBLE * (share * 3.0::DOUBLE - 1.875::DOUBLE)))))
-       END AS position
+       {", ".join(f"{_position_sql(f'share{k}')} AS {name}" for k, name in enumerate(("position", "position_2", "position_3")))}
 FROM v
 """,
     "op2_exact_dedup": r"""

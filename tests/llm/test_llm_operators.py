@@ -17,7 +17,7 @@ from ledgerframe.llm.queries import ORACLE, QUERIES
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside; as columns of the input they must do no harm.
-CLASHES = ("id", "th", "size", "score", "kept", "bucket", "v", "node", "label", "rows", "copies", "position", "rejected", "sha", "rid", "maybe", "words")
+CLASHES = ("id", "th", "size", "score", "kept", "bucket", "v", "node", "label", "rows", "copies", "position", "rejected", "sha", "rid", "maybe", "words", "__i", "__t", "__n", "__nth", "__copy", "__lower", "__lettered", "key", "at", "i", "s")
 
 
 def sentence(r, n):
@@ -129,6 +129,10 @@ def test_exact_dedup_and_its_rows(docs, rows, nothing):
     got = exact_dedup.exact_duplicates(docs).collect()
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"], bytes(r["sha"]).hex()) for r in got) == want
     assert sum(r["kept"] for r in got) == len(groups)
+    parts = exact_dedup.exact_duplicates(docs, range_rows=13).collect()  # five ranges, a filter each
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], bytes(r["sha"]).hex()) for r in parts) == want
+    with pytest.raises(TypeError):
+        exact_dedup.deduplicated(docs.withColumn("doc_id", F.lit("a text")))
     kept = exact_dedup.deduplicated(docs)
     assert kept.columns == docs.columns and kept.count() == len(groups)
     assert exact_dedup.exact_duplicates(nothing).count() == 0 and exact_dedup.deduplicated(nothing).count() == 0
@@ -148,13 +152,37 @@ def test_bpe_is_what_the_library_gives(docs, rows, nothing):
 
 def test_bpe_tree_on_long_unsplit_text():
     r = random.Random(2)
-    small, t = bpe.Codec(bpe.vocabulary_path(), piece=48), bpe.load(bpe.vocabulary_path())
-    for alphabet in ("abcdeéß", "ab'sre!?1", "thecating", "漢字かなab", "A1!-_b2é,×÷", "\x1c\x85 'aé", "x"):
-        for _ in range(25):
-            text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 700)))
+    codec, t = bpe.Codec(bpe.vocabulary_path()), bpe.load(bpe.vocabulary_path())
+    for alphabet in ("abcdeéß", "ab'sre!?1", "thecating", "漢字かなab", "A1!-_b2é,×÷", "\x1c\x85 'aé", "x", "áë a", "İßÆ", "한국어 ", "😀👍🏽 a"):
+        for _ in range(12):
+            text = "".join(r.choice(alphabet) for _ in range(r.randint(1, 6000)))
             if r.random() < 0.2:
                 text = text[:90] + "<|endoftext|>" + text[90:]
-            assert [int(x) for x in next(small.encode([text]))[0].split()] == t.encode(text, add_special_tokens=False).ids
+            want = t.encode(text, add_special_tokens=False).ids
+            assert codec.tree([codec.piece(x) for x in bpe.halves(text, r.choice((48, 700)))]).ids.tolist() == want
+            assert [int(x) for x in codec.encode([text])[0][0].split()] == want
+
+
+def test_bpe_query_on_giant_runs(spark):
+    r = random.Random(4)
+    texts = ["".join(r.choice(a) for _ in range(1_000_000)) for a in ("abcdefghé", "漢字仮名交じり文한국어", "абвгдеёжз ,.", "ก็ข้าคำ")]
+    texts += [texts[0], "a" * 200_000, "word " * 20_000 + "<|endoftext|>" * 5000, "short", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.lit("clash"))
+    t = bpe.load(bpe.vocabulary_path())
+    for row in bpe.digests(df).collect():
+        ids = t.encode(texts[row["doc_id"]] or "", add_special_tokens=False).ids
+        assert row["n_tokens"] == len(ids) and row["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe.digests(df).count() == len(texts)
+
+
+def test_bpe_cache_is_bounded_in_bytes():
+    r, codec = random.Random(6), bpe.Codec(bpe.vocabulary_path(), cache_bytes=200_000)
+    t = codec.tokenizer
+    for _ in range(30):
+        text = " ".join("".join(r.choice("漢字仮名交じり文") for _ in range(r.choice((3, 50, 4000)))) for _ in range(20))
+        assert [int(x) for x in codec.encode([text])[0][0].split()] == t.encode(text, add_special_tokens=False).ids
+        assert codec.held < 300_000 and all(len(w) <= bpe.CACHED_RUN for w in codec.ids)
 
 
 # ---------------------------------------------------------------- language ID
