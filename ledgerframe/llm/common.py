@@ -157,9 +157,12 @@ MAX_FILTER_BITS = 1 << 28
 def without_others(rows: DataFrame, wanted: DataFrame, column: str = "h") -> DataFrame:
     """``rows`` whose ``column`` (a long hash) may be one of ``wanted``'s: none of those is lost, some others stay.
 
-    Saves shuffling rows that a join with ``wanted`` would drop; the join still decides.
+    Saves shuffling rows that a join with ``wanted`` would drop; the join still decides. With more
+    wanted rows than half the bits such a bitmap tells little, and all rows go to the join.
     """
     n = wanted.count()
+    if n > MAX_FILTER_BITS // 2:
+        return rows
     bits = min(MAX_FILTER_BITS, max(1 << 16, next_pow2(16 * n)))
     width = block_width(bits, n)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,6 +27,10 @@ def components(links: DataFrame) -> DataFrame:
         new = near.join(jump, "near").select("node", "old", F.least("near", "far").alias("label"))
         new = cut(new, "labels")
         changed = not new.filter("label <> old").isEmpty()
-        labels = new.drop("old")
+        discard(near, labels)
+        labels = new
         if not changed:
+            discard(edges)
+            labels = new.drop("old")
+            labels.scratch = new.scratch
             return labels

@@ -1,15 +1,16 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-A document is the sequence of its distinct five-word shingles in the order of their first occurrence;
-later occurrences count neither in the sketches nor in the similarity, so a text and the same text
-written many times are alike. A sketch takes the shingles of smallest hash and keeps them
-in text order; documents that agree in one sketch are candidates, which favours shared order and
-so edit similarity. Candidates are verified by aligning the same sequences: matches must rise in both texts and stay inside the band of offsets that a
+A document is the sequence of its five-word shingles, each labelled with how often it has occurred so
+far, so that every labelled shingle is there once. A sketch takes the ``SIZE`` labelled shingles of
+smallest hash and keeps them in text order; documents that agree in one of ``SKETCHES`` sketches are
+candidates, which favours shared order and so edit similarity. Candidates are verified by aligning the
+same labelled sequences: matches must rise in both texts and stay inside the band of offsets that a
 similarity of ``THRESHOLD`` allows; the similarity is matches / (shingles of both - matches).
 
-Texts of up to 40 distinct shingles have 24 sketches of three shingles, texts of 32 and more have 48 of
-five (a pair of similarity 0.8 always shares one of the two kinds). Such a pair differs in all of
-them with a probability of at most 5e-6, however often either text repeats its lines.
+Sketch and alignment see the same shingles, repeats included: a line written once more adds its
+shingles, and a text and the same text written twice are half alike. A pair of similarity 0.8 agrees
+in a sketch with probability 0.41 if its texts are long and in no sketch with 5e-8; the worst case,
+texts of five shingles and four, is missed with 8e-4.
 
 Groups of any size are handled without listing their pairs: equal word sequences become one node
 first; in each sketch bucket every node is aligned with the bucket's smallest node; links give
@@ -34,74 +35,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LARGEST, SKETCH, Words, as_long, block_width, cut, emit_positions, is_set, keep_rows, keyed, mix, next_pow2, repeated_positions, slices, span_hash
+from .common import Words, as_long, cut, discard, keep_rows, keyed, mix, slices, span_hash, without_others
 from .components import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: (shingles per sketch, sketches, least and most shingles of the texts that have them)
-KINDS = ((3, 24, 1, 40), (5, 48, 32, LARGEST))
-SKETCHES = sum(k[1] for k in KINDS)
+#: Labelled shingles per sketch, and sketches per document.
+SIZE = 4
+SKETCHES = 32
+#: A block holds about so many documents of a bucket, and shingles, whichever is reached first.
 BLOCK = 512
-MAX_BITS = 1 << 28
+BLOCK_SHINGLES = 1 << 22
 
 with np.errstate(over="ignore"):
     _MULTIPLIERS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 class Shingles:
-    """Shingle hashes of a slice of texts in text order.
-
-    ``wide`` are those that occur for the first time (64 bits), ``distinct`` the same in 32 bits and
-    ``cuts`` the bounds of each text.
-    """
+    """Hashes of the labelled shingles of a slice of texts in text order: ``wide`` in 64 bits,
+    ``short`` the same in 32, and ``cuts``, the bounds of each text."""
 
     def __init__(self, column: pa.Array):
         self.words = Words(column)
         hashes, first = self.words.hashes(), self.words.first
         counts = np.diff(first)
         n = np.where(counts >= SHINGLE, counts - SHINGLE + 1, (counts > 0).astype(np.int64))
-        cuts = np.concatenate([[0], np.cumsum(n)])
+        self.cuts = cuts = np.concatenate([[0], np.cumsum(n)])
         owner = np.repeat(np.arange(len(n)), n)
         start = np.arange(cuts[-1]) - cuts[owner] + first[owner]
         end = np.minimum(start + SHINGLE, first[owner + 1])
         plain = span_hash(hashes, start, end, 0)
-        by = np.lexsort((plain, owner))
+        by = np.lexsort((plain, owner))  # stable: equal shingles of a text stay in text order
         new = np.ones(len(by), bool)
         new[1:] = (plain[by][1:] != plain[by][:-1]) | (owner[by][1:] != owner[by][:-1])
-        first_time = np.zeros(len(by), bool)
-        first_time[by[new]] = True  # the sort is stable
-        self.wide = mix(plain[first_time])
-        self.distinct = (self.wide >> np.uint64(32)).astype(np.uint32)
-        self.cuts = np.searchsorted(owner[first_time], np.arange(len(n) + 1))
+        group = np.flatnonzero(new)
+        label = np.empty(len(by), np.uint64)
+        label[by] = np.arange(len(by)) - np.repeat(group, np.diff(np.append(group, len(by))))
+        with np.errstate(over="ignore"):
+            self.wide = mix(plain + label * np.uint64(0xD6E8FEB86659FD93))
+        self.short = (self.wide >> np.uint64(32)).astype(np.uint32)
         self.h1, self.h2 = (span_hash(hashes, first[:-1], first[1:], r) for r in (1, 2))
 
 
 def sketch(wide: np.ndarray) -> np.ndarray:
-    """The Order MinHash sketches of one text, 0 for those of a kind that it lacks."""
+    """The Order MinHash sketches of one text; 0 for a text without shingles."""
     n = len(wide)
     out = np.zeros(SKETCHES, np.uint64)
-    first = 0
-    for size, count, least_n, most_n in KINDS:
-        if least_n <= n <= most_n:
-            step = max(1, (1 << 20) // n)
-            for at in range(first, first + count, step):
-                m = _MULTIPLIERS[at : min(at + step, first + count), None]
-                with np.errstate(over="ignore"):
-                    if n > size:
-                        least = np.sort(np.argpartition(wide[None, :] * m, size - 1, axis=1)[:, :size], axis=1)
-                    else:
-                        least = np.broadcast_to(np.arange(n), (len(m), n))
-                    total = m[:, 0].copy()
-                    for k in range(least.shape[1]):
-                        total = mix(total * np.uint64(31) + wide[least[:, k]])
-                out[at : at + len(m)] = total | np.uint64(1)
-        first += count
+    step = max(1, (1 << 18) // max(1, n))
+    for at in range(0, SKETCHES if n else 0, step):
+        m = _MULTIPLIERS[at : at + step, None]
+        with np.errstate(over="ignore"):
+            if n > SIZE:
+                least = np.sort(np.argpartition(wide[None, :] * m, SIZE - 1, axis=1)[:, :SIZE], axis=1)
+            else:
+                least = np.broadcast_to(np.arange(n), (len(m), n))
+            total = m[:, 0].copy()
+            for k in range(least.shape[1]):
+                total = mix(total * np.uint64(31) + wide[least[:, k]])
+        out[at : at + len(m)] = total | np.uint64(1)
     return out
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Similarity of two sequences of distinct shingles by banded alignment; 0 where surely below ``threshold``."""
+    """Similarity of two sequences of labelled shingles by banded alignment; 0 where surely below ``threshold``."""
     n = len(a) + len(b)
     need = threshold / (1 + threshold) * n
     _, i, j = np.intersect1d(a, b, return_indices=True)
@@ -120,7 +116,7 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """One row per document: id, th, n (distinct shingles), h1, h2 (hash of all words), sketches."""
+    """One row per document: id, th, n (shingles), h1, h2 (hash of all words), sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -136,33 +132,17 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, grams (distinct shingles, 4 bytes each) of the rows of ``wanted`` (node, id, th).
-
-    A bitmap of bounded size keeps most other texts from being shuffled.
-    """
-    n = wanted.count()
-    bits = min(MAX_BITS, max(1 << 16, next_pow2(16 * n)))
-    width = block_width(bits, n)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield emit_positions(batch.column(0).to_numpy().view(np.uint64) & np.uint64(bits - 1), width)
-
-    shared = docs.sparkSession.sparkContext.broadcast(repeated_positions(wanted.select(F.xxhash64("id", "th").alias("h")).mapInArrow(mark, SKETCH), bits, width, 1))
+    """node, grams (labelled shingles, 4 bytes each) of the rows of ``wanted`` (node, id, th)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = is_set(shared.value, batch.column(3).to_numpy().view(np.uint64) & np.uint64(bits - 1))
-            if not hit.any():
-                continue
-            for part in slices(iter([batch.filter(pa.array(hit))])):
-                s = Shingles(part.column(2))
-                raw = s.distinct.tobytes()
-                cuts = (4 * s.cuts).tolist()
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())], ["id", "th", "grams"])
-
-    found = keyed(docs).withColumn("h", F.xxhash64("id", "th")).mapInArrow(run, "id long, th long, grams binary")
+        for part in slices(batches):
+            s = Shingles(part.column(2))
+            raw = s.short.tobytes()
+            cuts = (4 * s.cuts).tolist()
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())], ["id", "th", "grams"])
+
+    texts = without_others(keyed(docs).withColumn("h", F.xxhash64("id", "th")), wanted.select(F.xxhash64("id", "th").alias("h")))
+    found = texts.drop("h").mapInArrow(run, "id long, th long, grams binary")
     return cut(found.join(wanted, ["id", "th"]).select("node", "grams").dropDuplicates(["node"]), "near-shingles")
 
 
@@ -249,18 +229,22 @@ def _across(placed: DataFrame, every: DataFrame, grams: DataFrame) -> DataFrame:
     """Links between different components inside one bucket; ``placed``: v, node, n, head, label."""
     main = F.min(F.when(F.col("node") == F.col("head"), F.col("label"))).alias("main")
     others = F.when(F.col("node") != F.col("head"), F.col("label"))  # the head has met them all
-    mixed = placed.groupBy("v").agg(F.min(others).alias("low"), F.max(others).alias("high"), main, F.count(others).alias("size"))
-    mixed = cut(mixed.filter("low <> high").select("v", "main", "size"), "near-mixed")
+    mixed = placed.groupBy("v").agg(F.min(others).alias("low"), F.max(others).alias("high"), main)
+    mixed = cut(mixed.filter("low <> high").select("v", "main"), "near-mixed")
     rest = placed.filter("node <> head").join(mixed, "v")
-    rest = cut(rest.select("v", "node", "n", "label", "size", (F.col("label") != F.col("main")).alias("odd")), "near-rest")
-    odds = cut(rest.filter("odd").groupBy("v").agg(F.count("*").alias("odds")), "near-odds")
+    rest = cut(rest.select("v", "node", "n", "label", (F.col("label") != F.col("main")).alias("odd")), "near-rest")
+
+    def blocks(which):
+        count, shingles = F.count(F.when(which, 1)), F.sum(F.when(which, F.col("n")).otherwise(0))
+        return F.greatest(F.ceil(count / F.lit(BLOCK)), F.when(count > 0, F.ceil(shingles / F.lit(BLOCK_SHINGLES))).otherwise(0)).cast("int")
+
+    odds = cut(rest.groupBy("v").agg(blocks(F.col("odd")).alias("odds"), blocks(~F.col("odd")).alias("mains")), "near-odds")
     # Nodes of the head's component meet only the others; those meet everything.
-    blocks = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
-    dealt = rest.join(odds, "v").withColumn("mains", F.col("size") - F.col("odds"))
-    dealt = dealt.withColumn("nb", F.when(F.col("odd"), blocks("odds")).otherwise(blocks("mains"))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    dealt = rest.join(odds.filter("odds > 0"), "v")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("odd"), F.col("odds")).otherwise(F.col("mains"))).cast("int"))
 
     def upto(c):
-        return F.sequence(F.lit(0), blocks(c) - 1)
+        return F.sequence(F.lit(0), F.col(c) - 1)
 
     def meeting(kind, x, y):
         return F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
@@ -275,8 +259,9 @@ def _across(placed: DataFrame, every: DataFrame, grams: DataFrame) -> DataFrame:
     held = every.select(F.col("rid").alias("node"), "sketches").join(rest.select("node").distinct(), "node").join(grams, "node")
     held = cut(held, "near-held")
     full = dealt.join(held, "node")
-    links = full.groupBy("v", "kind", "x", "y").applyInArrow(_compare, "a long, b long")
-    return cut(links.distinct(), "near-across")
+    links = cut(full.groupBy("v", "kind", "x", "y").applyInArrow(_compare, "a long, b long").distinct(), "near-across")
+    discard(mixed, rest, odds, held)
+    return links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -293,19 +278,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = members.filter((F.col("node") != F.col("head")) & _similar_length("n", "head_n")).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     wanted = cut(every.join(members.select("node").distinct(), every["rid"] == F.col("node")).select("node", "id", "th"), "near-wanted")
     grams = _shingles_of(docs, wanted)
-    links = _verified(cut(stars, "near-stars"), grams)
+    stars = cut(stars, "near-stars")
+    links = _verified(stars, grams)
+    discard(stars, wanted)
     labels = components(links)
 
     placed = members.join(labels, "node", "left").select("v", "node", "n", "head", F.coalesce("label", "node").alias("label"))
-    more = _across(cut(placed, "near-placed"), every, grams)
+    placed = cut(placed, "near-placed")
+    more = _across(placed, every, grams)
     if not more.isEmpty():
         labels = components(links.union(more))
+    discard(placed, members, heads, grams, links, more)
 
     named = groups.join(labels, "node", "left").select("h1", "h2", "n", "id", "node", "rows", F.coalesce("label", "node").alias("label"))
     named = cut(named, "near-named")
     classes = cut(named.groupBy("label").agg(F.min(F.struct("id", "node")).alias("best"), F.sum("rows").alias("cluster_size")), "near-classes")
-    named = cut(named.join(classes, "label").select("h1", "h2", "n", "best", "cluster_size"), "near-classed")
-    rows = every.select("id", "th", "rid", "h1", "h2", "n").join(named, ["h1", "h2", "n"])
+    classed = cut(named.join(classes, "label").select("h1", "h2", "n", "best", "cluster_size"), "near-classed")
+    discard(labels, groups, named, classes)
+    rows = every.select("id", "th", "rid", "h1", "h2", "n").join(classed, ["h1", "h2", "n"])
     return rows.select("id", "th", F.col("best.id").alias("cluster_id"), "cluster_size", (F.col("rid") == F.col("best.node")).alias("kept"))
 
 
