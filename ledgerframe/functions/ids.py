@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from ..schema import METADATA, valid_user
+
 #: Fixed values of the 64-bit FNV-1a hash.
 FNV_OFFSET = 14695981039346656037
 FNV_PRIME = 1099511628211
@@ -51,6 +53,25 @@ def stamped(message_id: Column, correlation: Column | None = None, causation: Co
     )
 
 
+def metadata_json(metadata: Column) -> Column:
+    """Metadata as JSON, null fields left out; the user is a plain string."""
+    return F.to_json(metadata)
+
+
+def metadata_of(text: Column) -> Column:
+    """Metadata from JSON. Malformed text, JSON null and a user that is not a valid reference raise."""
+    m = F.from_json(text, METADATA, {"mode": "FAILFAST"})
+    user = F.try_parse_json(text)
+    plain = F.schema_of_variant(F.try_variant_get(user, "$.user", "variant"))
+    wrong = text.isNull() | m.isNull() | (m["user"].isNotNull() & (~valid_user(m["user"]) | (plain != "STRING")))
+    return F.when(wrong, F.raise_error(F.lit("not valid metadata")).cast(f"struct<{METADATA.replace(' string', ':string').replace(' map', ':map')}>")).otherwise(m)
+
+
+def valid_json(text: Column) -> Column:
+    """Whether a payload is JSON as the store takes it; null is not."""
+    return F.try_parse_json(text).isNotNull()
+
+
 @dataclass(frozen=True)
 class Correlation:
     correlation_id: str

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import ANY, EMPTY_STREAM, NO_STREAM, STREAM_EXISTS
+from .replay import replay
 
 
 def guard(expected: Column, last: Column) -> Column:
@@ -27,16 +28,25 @@ def guard(expected: Column, last: Column) -> Column:
     )
 
 
+def _batches(requests: DataFrame, log: DataFrame) -> DataFrame:
+    """One row per batch: size, ids and repeats (whether its stream holds any of its events).
+
+    Only the requests' own keys are looked up in the log, which is neither sorted nor made distinct.
+    """
+    keys = requests.filter("event_id is not null").select("stream_id", "event_id").distinct()
+    known = log.select("stream_id", "event_id").join(keys, ["stream_id", "event_id"], "left_semi").distinct().withColumn("known", F.lit(True))
+    marked = requests.join(known, ["stream_id", "event_id"], "left")
+    return marked.groupBy("batch_id", "stream_id", "expected_version").agg(F.count("event_id").alias("size"), F.collect_set("event_id").alias("ids"), F.coalesce(F.max("known"), F.lit(False)).alias("repeats"))
+
+
 def classify(requests: DataFrame, heads: DataFrame, log: DataFrame) -> DataFrame:
     """One row per batch: batch_id, stream_id, outcome, next_expected_version, last_global_position, deduplicated, actual_version.
 
     ``requests``: batch_id, stream_id, expected_version, seq, event_id (null in an empty batch's one
-    row); one batch per stream at most (``rounds`` deals with more). ``heads``: stream_id,
+    row); one batch per stream at most (``settle`` deals with more). ``heads``: stream_id,
     current_version, head_position. A write's last position is null until it is assigned.
     """
-    known = log.select("stream_id", "event_id").distinct().withColumn("known", F.lit(True))
-    marked = requests.join(known, ["stream_id", "event_id"], "left")
-    batches = marked.groupBy("batch_id", "stream_id", "expected_version").agg(F.count("event_id").alias("size"), F.coalesce(F.max("known"), F.lit(False)).alias("repeats"))
+    batches = _batches(requests, log)
     b = batches.join(heads.select("stream_id", "current_version", "head_position"), "stream_id", "left").fillna({"current_version": -1, "head_position": 0})
     outcome = (
         F.when(F.col("size") == 0, "noop")
@@ -57,6 +67,36 @@ def classify(requests: DataFrame, heads: DataFrame, log: DataFrame) -> DataFrame
     )
 
 
+SETTLED = "outcome string, next_expected_version long, last_global_position long, deduplicated boolean, actual_version long"
+
+
+def settle(requests: DataFrame, heads: DataFrame, log: DataFrame) -> DataFrame:
+    """``classify`` for any number of batches per stream, in the order of their ids: each sees what those before it leave.
+
+    One pass over sorted partitions; the state of a stream is its version and the event ids that it
+    would gain. A duplicate of what only these requests write has no position yet.
+    """
+    batches = _batches(requests, log).join(heads.select("stream_id", "current_version", "head_position"), "stream_id", "left").fillna({"current_version": -1, "head_position": 0})
+
+    def step(state, r):
+        version, position, gained = state or (r["current_version"], r["head_position"], set())
+        expected, ids, after = r["expected_version"], r["ids"], version
+        if not r["size"]:
+            outcome = "noop"
+        elif r["repeats"] or not gained.isdisjoint(ids):
+            outcome = "duplicate"
+        elif {ANY: True, NO_STREAM: version == -1, EMPTY_STREAM: version == -1, STREAM_EXISTS: version >= 0}.get(expected, expected == version):
+            outcome, after, position = "appended", version + r["size"], None
+            gained.update(ids)
+        else:
+            outcome = "conflict"
+        held = outcome != "conflict"
+        out = {"outcome": outcome, "next_expected_version": after if held else None, "last_global_position": position if held else None, "deduplicated": outcome == "duplicate", "actual_version": version}
+        return (after, position, gained), out
+
+    return replay(batches, ["stream_id"], ["batch_id"], step, SETTLED).select("batch_id", "stream_id", "outcome", "next_expected_version", "last_global_position", "deduplicated", "actual_version")
+
+
 def assign(requests: DataFrame, results: DataFrame, base: int) -> DataFrame:
     """The accepted requests with version and global position, positions following ``base`` without a global sort in one task.
 
@@ -67,17 +107,24 @@ def assign(requests: DataFrame, results: DataFrame, base: int) -> DataFrame:
     in_batch = Window.partitionBy("batch_id", "stream_id").orderBy("seq")
     first_tenant = F.first("tenant_id").over(in_batch) if "tenant_id" in requests.columns else F.lit(None).cast("string")
     versioned = accepted.withColumn("version", (F.col("actual_version") + F.row_number().over(in_batch)).cast("long")).withColumn("tenant_id", first_tenant)
-    return number(versioned, ["batch_id", "seq"], base).withColumnRenamed("number", "global_position").drop("actual_version", "expected_version", "batch_id", "seq")
+    return number(versioned, ["batch_id", "stream_id", "seq"], base).withColumnRenamed("number", "global_position").drop("actual_version", "expected_version", "batch_id", "seq")
 
 
 def number(df: DataFrame, order: list[str], base: int) -> DataFrame:
     """``df`` with ``number``: base + 1, base + 2, ... in the order of ``order``.
 
-    The dealt rows are checkpointed where the session names a folder for it, so that a lost executor
-    can't bring back other partitions than those that were counted.
+    Dealt rows are written to the checkpoint folder before they are counted, so that a lost executor
+    can't bring back other partitions than those that were. Where no folder is set, a local session
+    needs none (it ends with its only executor) and a cluster is refused.
     """
+    context = df.sparkSession.sparkContext
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ranged.persist()
+    folder = context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    ranged = ranged.checkpoint() if folder else ranged.cache()
     counts = ranged.groupBy("__part").count().orderBy("__part").collect()  # one row per partition
     start, offsets = base, []
     for r in counts:
@@ -88,13 +135,6 @@ def number(df: DataFrame, order: list[str], base: int) -> DataFrame:
     return ranged.withColumn("number", (offset + within).cast("long")).drop("__part")
 
 
-def rounds(requests: DataFrame) -> DataFrame:
-    """``requests`` with ``round``: the batches of one stream by id, since each sees what the one before wrote."""
-    first = requests.select("stream_id", "batch_id").distinct()
-    nth = F.row_number().over(Window.partitionBy("stream_id").orderBy("batch_id"))
-    return requests.join(first.withColumn("round", nth), ["stream_id", "batch_id"])
-
-
 def deduplicated(log: DataFrame) -> DataFrame:
     """The first delivery of each (stream, event): partial aggregation instead of a sort."""
     rest = [c for c in log.columns if c not in ("stream_id", "event_id", "global_position")]

@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def fold(log: DataFrame, zero: Column, merge: Callable[[Column, Column], Column], columns: list[str], order: str = "version") -> DataFrame:
-    """stream_id, version, state: every stream folded in version order, on the JVM.
+def fold(log: DataFrame, zero: Column, merge: Callable[[Column, Column], Column], columns: list[str], order: str = "version", key: str = "stream_id") -> DataFrame:
+    """stream (``key``), version, state: every stream folded in version order, on the JVM.
 
     ``merge(state, event)`` must be total: an event type it does not know leaves the state as it
     is, and still advances the version. One stream's events are gathered in one row; streams longer
     than memory allows start from a snapshot (``fold_tail``) or use a commutative fold.
     """
     events = F.array_sort(F.collect_list(F.struct(order, *columns)))
-    return log.groupBy("stream_id").agg(events.alias("events")).select(
-        "stream_id", (F.size("events") - 1).cast("long").alias("version"), F.aggregate("events", zero, merge).alias("state")
+    return log.groupBy(key).agg(events.alias("events")).select(
+        key, (F.size("events") - 1).cast("long").alias("version"), F.aggregate("events", zero, merge).alias("state")
     )
 
 
@@ -29,15 +29,17 @@ def counter_step(event_type: Column) -> Column:
 
 def counters(log: DataFrame) -> DataFrame:
     """stream_id, version, counter, ignored, last_type, last_position: a commutative fold, so one partial aggregation."""
-    last = F.max(F.struct("version", "event_type", "global_position"))
+    last = F.max(F.struct("global_position", "event_type"))
+    version = F.max("version") if "version" in log.columns else F.count("*") - 1  # of a whole log: no holes
     return (
         log.groupBy("stream_id")
         .agg(
             F.sum(counter_step(F.col("event_type"))).alias("counter"),
             F.sum(F.when(~F.col("event_type").isin("click", "view"), 1).otherwise(0).cast("long")).alias("ignored"),
             last.alias("last"),
+            version.alias("version"),
         )
-        .select("stream_id", F.col("last.version").alias("version"), "counter", "ignored", F.col("last.event_type").alias("last_type"), F.col("last.global_position").alias("last_position"))
+        .select("stream_id", "version", "counter", "ignored", F.col("last.event_type").alias("last_type"), F.col("last.global_position").alias("last_position"))
     )
 
 
@@ -63,14 +65,38 @@ def order_step(state: Column, event: Column) -> Column:
     )
 
 
-def order_states(log: DataFrame) -> DataFrame:
+def order_states(log: DataFrame, order: str = "version", key: str = "stream_id") -> DataFrame:
     zero = F.struct(F.lit(False).alias("placed"), F.lit(False).alias("cancelled"), F.lit(0).cast("bigint").alias("lines"), F.lit(0.0).alias("quantity")).cast(ORDER_STATE)
-    return fold(log, zero, order_step, ["event_type", "quantity"]).select("stream_id", "version", "state.*")
+    return fold(log, zero, order_step, ["event_type", "quantity"], order, key).select(key, "version", "state.*")
 
 
 # ---------------------------------------------------------------- snapshots
 
 
+def captured(states: DataFrame) -> DataFrame:
+    """Snapshots (stream_id, version, schema_version, state) of folded states (stream_id, version and state columns), as JSON."""
+    rest = [c for c in states.columns if c not in ("stream_id", "version", "schema_version")]
+    schema_version = F.col("schema_version") if "schema_version" in states.columns else F.lit(1)
+    return states.select("stream_id", "version", schema_version.alias("schema_version"), F.to_json(F.struct(*rest)).alias("state"))
+
+
+def restored(fresh: DataFrame, snapshots: DataFrame, ddl: str) -> DataFrame:
+    """``fresh`` (stream_id, version) with version and state columns (``ddl``) of its snapshot; without one it stays as it is.
+
+    Only a stream nothing was applied to (version -1) can be restored; another raises.
+    """
+    s = snapshots.select("stream_id", F.col("version").alias("at"), F.from_json("state", ddl).alias("state"))
+    joined = fresh.join(s, "stream_id", "left")
+    wrong = F.raise_error(F.concat(F.lit("restored over version "), F.col("version").cast("string"), F.lit(" of "), F.col("stream_id"))).cast("long")
+    version = F.when(F.col("at").isNull(), F.col("version")).when(F.col("version") == -1, F.col("at")).otherwise(wrong)
+    return joined.select("stream_id", version.alias("version"), "state.*")
+
+
+def deleted_snapshots(snapshots: DataFrame, streams: DataFrame) -> DataFrame:
+    """``snapshots`` without those of some streams (stream_id); deleting what is not there changes nothing."""
+    return snapshots.join(streams.select("stream_id").distinct(), "stream_id", "left_anti")
+
+
 def snapshots_every(log: DataFrame, n: int, schema_version: int = 1) -> DataFrame:
     """A snapshot (stream_id, version, schema_version, state) at every n-th event: the every-N policy."""
     return running_counter(log).filter((F.col("version") + 1) % n == 0).select("stream_id", "version", F.lit(schema_version).alias("schema_version"), F.col("counter").alias("state"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import HousekeepingOptions, tenant_key
 
+log = logging.getLogger("ledgerframe")
+
 
 def from_events(events: DataFrame, message_id: Column, order: str = "global_position") -> DataFrame:
     """Outbox rows for events, in their order; id is the event's position, which keeps that order."""
@@ -18,6 +22,41 @@ def from_events(events: DataFrame, message_id: Column, order: str = "global_posi
     )
 
 
+class Collector:
+    """Messages collected while a command runs, in their order; draining hands them over and empties it."""
+
+    def __init__(self) -> None:
+        self._held: list[DataFrame | dict] = []
+
+    def collect(self, message: DataFrame | dict) -> None:
+        """One message (message_id, event_type, payload, and metadata and tenant_id if there), or a table of them with ``seq``."""
+        needed = {"message_id", "event_type", "payload"}
+        if missing := needed - set(message.columns if isinstance(message, DataFrame) else message):
+            raise ValueError(f"a message lacks {sorted(missing)}")
+        self._held.append(message)
+
+    def drain(self, spark: SparkSession) -> DataFrame | None:
+        """All messages with ``seq``, their order; None if there are none."""
+        held, self._held, out = self._held, [], None
+        for k, m in enumerate(held):
+            df = m if isinstance(m, DataFrame) else spark.createDataFrame([tuple(m.get(c) for c in MESSAGE)], MESSAGE_DDL)
+            seq = F.col("seq") if "seq" in df.columns else F.lit(0)
+            df = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in MESSAGE], F.struct(F.lit(k).alias("k"), seq.cast("long").alias("n")).alias("seq"))
+            out = df if out is None else out.unionByName(df)
+        return out
+
+
+MESSAGE = ("message_id", "event_type", "payload", "metadata", "tenant_id")
+MESSAGE_DDL = ", ".join(f"{c} string" for c in MESSAGE)
+
+
+def normalised(messages: DataFrame, created_at: Column) -> DataFrame:
+    """Messages as outbox rows without their id: no tenant is the empty one, nothing is published."""
+    return messages.withColumns(
+        {"tenant_id": tenant_key(F.col("tenant_id")), "created_at": created_at.cast("timestamp_ntz"), "published_at": F.lit(None).cast("timestamp_ntz")}
+    )
+
+
 def pending(outbox: DataFrame, batch_size: int) -> DataFrame:
     """The next unpublished rows by id."""
     return outbox.filter("published_at is null").orderBy("id").limit(batch_size)
@@ -72,3 +111,31 @@ def sweep(tables: dict[str, DataFrame], now, options: HousekeepingOptions = Hous
         gone = t.filter(expired_rows(k, now, options)).agg(F.count("*").alias("purged")).select(F.lit(k).alias("kind"), "purged")
         report = gone if report is None else report.unionByName(gone)
     return kept, report
+
+
+class Housekeeper:
+    """Sweeps at an interval while it holds the lease; a sweep that fails is logged and tried again at the next tick."""
+
+    def __init__(self, leases, sweep: Callable[[], None], options: HousekeepingOptions = HousekeepingOptions(), sleep: Callable[[float], None] = time.sleep):
+        self.leases, self.sweep, self.options, self.sleep = leases, sweep, options, sleep
+        self.stopped = False
+
+    def tick(self) -> bool:
+        """One sweep; False if another housekeeper is at it or the sweep failed."""
+        lease = self.leases.try_acquire("housekeeping")
+        if lease is None:
+            return False
+        with lease:
+            try:
+                self.sweep()
+                return True
+            except Exception:
+                log.exception("housekeeping failed")
+                return False
+
+    def run(self) -> None:
+        """Ticks until ``stopped``; an interval of zero or less turns housekeeping off."""
+        wait = self.options.interval.total_seconds()
+        while wait > 0 and not self.stopped:
+            self.tick()
+            self.sleep(wait)

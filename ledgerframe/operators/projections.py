@@ -61,11 +61,19 @@ def above_watermark(events: DataFrame, watermarks: DataFrame) -> DataFrame:
     return fresh.dropDuplicates(["projection", "global_position"])
 
 
-def drain_schedule(events: DataFrame, batch_size: int) -> DataFrame:
-    """projection, batch, events, first_position, checkpoint: the batches that draining to the mark takes."""
-    w = Window.partitionBy("projection").orderBy("global_position")
-    batch = F.floor((F.row_number().over(w) - 1) / F.lit(batch_size)).cast("long")
-    return events.withColumn("batch", batch).groupBy("projection", "batch").agg(
+def drain_schedule(events: DataFrame, batch_size: int, width: int = 1_000_000) -> DataFrame:
+    """projection, batch, events, first_position, checkpoint: the batches that draining to the mark takes.
+
+    Events are numbered inside ranges of ``width`` positions, from the count of the ranges before (one row
+    per projection and range): no task sorts the whole history of one projection.
+    """
+    e = events.select("projection", "global_position", F.floor(F.col("global_position") / F.lit(width)).alias("range"))
+    ranges = Window.partitionBy("projection").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = e.groupBy("projection", "range").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(ranges), F.lit(0))).drop("n")
+    inside = Window.partitionBy("projection", "range").orderBy("global_position")
+    numbered = e.withColumn("nth", F.row_number().over(inside) - 1).join(before, ["projection", "range"])
+    batch = F.floor((F.col("before") + F.col("nth")) / F.lit(batch_size)).cast("long")
+    return numbered.withColumn("batch", batch).groupBy("projection", "batch").agg(
         F.count("*").alias("events"), F.min("global_position").alias("first_position"), F.max("global_position").alias("checkpoint")
     )
 
@@ -101,9 +109,10 @@ def dead_letters(events: DataFrame, poisoned: Column, policy: ErrorPolicy, error
 
 def applied(events: DataFrame, poisoned: Column, policy: ErrorPolicy) -> DataFrame:
     """projection, applied, checkpoint: skipping moves past poison, pausing stops right before it."""
-    e = events.withColumn("bad", F.coalesce(poisoned, F.lit(False)))
-    stop = F.lit(None).cast("long") if policy.skip else F.min(F.when(F.col("bad"), F.col("global_position"))).over(Window.partitionBy("projection"))
-    e = e.withColumn("stop", stop).filter(F.col("stop").isNull() | (F.col("global_position") < F.col("stop")))
+    e = events.select("projection", "global_position", F.coalesce(poisoned, F.lit(False)).alias("bad"))
+    if not policy.skip:  # a pause is one position per projection, found by a partial aggregation
+        stops = e.filter("bad").groupBy("projection").agg(F.min("global_position").alias("stop"))
+        e = e.join(stops, "projection", "left").filter(F.col("stop").isNull() | (F.col("global_position") < F.col("stop")))
     return e.groupBy("projection").agg(F.sum(F.when(F.col("bad"), 0).otherwise(1)).cast("long").alias("applied"), F.max("global_position").alias("checkpoint"))
 
 
@@ -116,7 +125,8 @@ def gaps(log: DataFrame, width: int = 1_000_000) -> DataFrame:
     """Missing positions as intervals (after, upto], over positions 1 to the last.
 
     Positions are dealt into ranges of ``width``; neighbours are compared inside a range, and the
-    ends of ranges against the range before (one row each), so that no task holds the whole log.
+    ends of ranges against the range before (one row each, a million positions a row: the one window
+    without a partition), so that no task holds the whole log.
     """
     p = log.select("global_position").withColumn("range", F.floor(F.col("global_position") / F.lit(width)))
     inside = Window.partitionBy("range").orderBy("global_position")
@@ -130,3 +140,13 @@ def gaps(log: DataFrame, width: int = 1_000_000) -> DataFrame:
 def gap_verdict(checkpoint: Column, mark: Column, exists_above: Column, waited: Column, timeout: Column) -> Column:
     """no_gap, wait or skip for an empty batch below the mark; what is above the checkpoint is a tail, not a hole."""
     return F.when(checkpoint >= mark, "no_gap").when(exists_above, "no_gap").when(F.coalesce(waited, F.lit(0)) >= timeout, "skip").otherwise("wait")
+
+
+def skip_gaps(ticks: DataFrame, timeout: Column) -> DataFrame:
+    """What each tick over an empty batch does: verdict, the checkpoint after it, and the interval (gap_from, gap_upto] it gave up.
+
+    ``ticks``: checkpoint, mark, above, waited. Only a permanent gap moves the checkpoint, to the mark.
+    """
+    t = ticks.withColumn("verdict", gap_verdict(F.col("checkpoint"), F.col("mark"), F.col("above"), F.col("waited"), timeout))
+    skips = F.col("verdict") == "skip"
+    return t.withColumns({"gap_from": F.when(skips, F.col("checkpoint")), "gap_upto": F.when(skips, F.col("mark")), "checkpoint": F.when(skips, F.col("mark")).otherwise(F.col("checkpoint"))})

@@ -1,4 +1,8 @@
-"""Bounded reads of one stream, of all streams and of the whole log. Bounds become pushed-down filters."""
+"""Bounded reads of one stream, of all streams and of the whole log.
+
+Bounds are plain comparisons on the log's columns. They reach the Parquet scan where those are stored (as in
+``EventLog``); logs derived from other tables take the bounds themselves and put them on the stored columns.
+"""
 
 from __future__ import annotations
 
@@ -51,10 +55,14 @@ def catchup_batch(log: DataFrame, after: int, max_count: int, types: Iterable[st
 
 
 def heads(log: DataFrame) -> DataFrame:
-    """stream_id, version, position and type of each stream's last event (partial aggregation, one shuffle)."""
-    last = F.max(F.struct("version", "global_position", "event_type")).alias("last")
-    return log.groupBy("stream_id").agg(last).select(
-        "stream_id", F.col("last.version").alias("current_version"), F.col("last.global_position").alias("head_position"), F.col("last.event_type").alias("head_type")
+    """stream_id, version, position and type of each stream's last event (partial aggregation, one shuffle).
+
+    A whole log without versions has them by counting: versions start at 0 and have no holes.
+    """
+    last = F.max(F.struct("global_position", "event_type")).alias("last")
+    version = F.max("version") if "version" in log.columns else F.count("*") - 1
+    return log.groupBy("stream_id").agg(last, version.alias("current_version")).select(
+        "stream_id", "current_version", F.col("last.global_position").alias("head_position"), F.col("last.event_type").alias("head_type")
     )
 
 
@@ -65,7 +73,7 @@ def heads_of(streams: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def safe_high_water_mark(log: DataFrame) -> DataFrame:
-    """One row: the last position, 0 for an empty log (answered from file statistics where pushed down)."""
+    """One row: the last position, 0 for an empty log (reads that one column)."""
     return log.agg(F.coalesce(F.max("global_position"), F.lit(0).cast("long")).alias("high_water_mark"))
 
 
@@ -76,8 +84,9 @@ def exists_above(log: DataFrame, position: int) -> DataFrame:
 
 def streams(log: DataFrame) -> DataFrame:
     """The stream registry: id, category, tenant of the first event, current version."""
-    first = F.min_by("tenant_id", "version")
-    return log.groupBy("stream_id").agg(F.min("category").alias("category"), first.alias("tenant_id"), F.max("version").alias("current_version"))
+    first = F.min_by("tenant_id", "global_position")
+    version = F.max("version") if "version" in log.columns else F.count("*") - 1
+    return log.groupBy("stream_id").agg(F.min("category").alias("category"), first.alias("tenant_id"), version.alias("current_version"))
 
 
 def category(log: DataFrame, name: str) -> DataFrame:

@@ -9,11 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType, _parse_datatype_string
 from pyspark.sql.window import Window
 
+from ..schema import tenant_key
+
 State = dict | None
 
 
@@ -21,22 +25,25 @@ def replay(requests: DataFrame, keys: list[str], order: list[str], step: Callabl
     """``requests`` with the columns of ``out`` that ``step(state, request) -> (state, columns)`` gives each."""
     names = requests.columns
     added = [c.strip().split(" ")[0] for c in out.split(",")]
+    target = StructType([*requests.schema.fields, *_parse_datatype_string(out).fields])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for batch in batches:
-            found = []
-            for row in batch.to_dict("records"):
+            found = [[] for _ in added]
+            for values in zip(*[c.to_pylist() for c in batch.columns]):
+                row = dict(zip(names, values))
                 now = tuple(row[k] for k in keys)
                 if now != key:
                     key, state = now, None
                 state, columns = step(state, row)
-                found.append([columns[c] for c in added])
-            yield pd.concat([batch, pd.DataFrame(found, columns=added, index=batch.index)], axis=1)
+                for held, c in zip(found, added):
+                    held.append(columns[c])
+            made = [pa.array(x, t) for x, t in zip(found, types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*names, *added])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields), out])
-    sorted_ = requests.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return sorted_.select(*names).mapInPandas(run, schema)
+    types = [to_arrow_type(f.dataType) for f in _parse_datatype_string(out).fields]
+    return requests.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, target)
 
 
 def register(retention: timedelta) -> Callable:
@@ -54,6 +61,29 @@ def register(retention: timedelta) -> Callable:
 IDEMPOTENCY_OUT = "outcome string, registered boolean"
 
 
+def results(retention: timedelta) -> Callable:
+    """Idempotency with results: ordered register, save and get of one (tenant, key).
+
+    register: true if the key is new or has expired, which clears its result. save: for a held key,
+    expired or not; without one nothing happens. get: the result, null if there is none.
+    """
+
+    def step(state: State, r: dict):
+        now, done = r["at"], False
+        if r["op"] == "register":
+            done = state is None or state["expires_at"] <= now
+            if done:
+                state = {"expires_at": now + retention, "result": None}
+        elif r["op"] == "save" and state is not None:
+            done, state = True, {**state, "result": r["value"]}
+        return state, {"done": done, "result": state["result"] if state else None}
+
+    return step
+
+
+RESULTS_OUT = "done boolean, result string"
+
+
 def reservation(state: State, r: dict):
     """Reserve, confirm and release of one (tenant, scope, value).
 
@@ -76,32 +106,57 @@ def reservation(state: State, r: dict):
 RESERVATION_OUT = "done boolean, held_by string, confirmed boolean"
 
 
-def checkpoint_saves(saves: DataFrame, fencing: bool = True) -> DataFrame:
-    """Classifies checkpoint saves (projection, seq, owner, position): applied, fenced or backward.
+def checkpoint_saves(saves: DataFrame, fencing: bool = True, width: int = 1_000_000) -> DataFrame:
+    """Classifies checkpoint saves (projection, seq, owner, position, and tenant_id if there): applied, fenced or backward.
 
-    A save applies if it moves forward, or stays where it is for the same owner. The stored position
-    is thus the running maximum, and its owner the one who first reached it: windows suffice.
+    A save applies if it moves forward, or stays where it is for the same owner or where nobody owns the
+    checkpoint. The stored position is thus the running maximum, and its owner the first one named at it:
+    windows suffice. They run inside ranges of ``width`` sequence numbers; what earlier ranges leave is one
+    row per checkpoint and range, so that no task sorts the whole history of one projection.
     """
-    before = Window.partitionBy("projection").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    s = saves.withColumn("held", F.max(F.struct("position", (-F.col("seq")).alias("s"), "owner")).over(before))
+    keys = [c for c in ("projection", "tenant_id") if c in saves.columns]
+    same_key = [tenant_key(F.col(c)) if c == "tenant_id" else F.col(c) for c in keys]
+    state = F.struct("position", F.col("owner").isNotNull().alias("named"), (-F.col("seq")).alias("s"), "owner")
+    s = saves.withColumns({"__range": F.floor(F.col("seq") / F.lit(width)), "__key": F.struct(*same_key)})
+    leaves = s.groupBy("__key", "__range").agg(F.max(state).alias("left"))
+    ranges = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = leaves.withColumn("__earlier", F.max("left").over(ranges)).drop("left")
+    inside = Window.partitionBy("__key", "__range").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("__held", F.max(state).over(inside)).join(earlier, ["__key", "__range"]).withColumn("held", F.greatest("__held", "__earlier"))
     stored, holder = F.col("held.position"), F.col("held.owner")
-    same = (F.col("owner") == holder) if fencing else F.lit(True)
+    same = holder.isNull() | F.coalesce(F.col("owner") == holder, F.lit(False)) if fencing else F.lit(True)
     outcome = F.when(stored.isNull() | (F.col("position") > stored) | ((F.col("position") == stored) & same), "applied").when(same, "backward").otherwise("fenced")
     applied = F.col("outcome") == "applied"
+    takes = applied & (stored.isNull() | (F.col("position") > stored) | holder.isNull())
     return s.withColumn("outcome", outcome).select(
-        "projection", "seq", "owner", "position", "outcome", F.when(applied, F.greatest("position", stored)).otherwise(stored).alias("stored_position"), F.when(applied & (stored.isNull() | (F.col("position") > stored)), F.col("owner")).otherwise(holder).alias("stored_owner")
+        *keys, "seq", "owner", "position", "outcome", F.when(applied, F.greatest("position", stored)).otherwise(stored).alias("stored_position"), F.when(takes, F.col("owner")).otherwise(holder).alias("stored_owner")
     )
 
 
+def dropped(classified: DataFrame) -> DataFrame:
+    """Who lost leadership: per checkpoint and owner the first fenced save, and how many saves came after it.
+
+    A fenced owner halts and forgets the checkpoint it has loaded; its later saves are not attempted.
+    """
+    keys = [c for c in ("projection", "tenant_id") if c in classified.columns]
+    first = classified.filter("outcome = 'fenced'").groupBy(*keys, "owner").agg(F.min("seq").alias("halted_at"))
+    first = first.select(*[F.col(c).alias(f"__{c}") for c in (*keys, "owner")], "halted_at")
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*keys, "owner")]
+    both = classified.join(first, on)
+    return both.groupBy(*keys, "owner", "halted_at").agg(F.sum((F.col("seq") > F.col("halted_at")).cast("long")).alias("saves_dropped"))
+
+
 def stored_checkpoints(classified: DataFrame) -> DataFrame:
     """The checkpoint each projection is left with."""
+    keys = [c for c in ("projection", "tenant_id") if c in classified.columns]
     last = F.max_by(F.struct("stored_position", "stored_owner"), "seq").alias("s")
-    return classified.groupBy("projection").agg(last).select("projection", F.col("s.stored_position").alias("position"), F.col("s.stored_owner").alias("owner"))
+    return classified.groupBy(*[tenant_key(F.col(c)).alias(c) if c == "tenant_id" else F.col(c) for c in keys]).agg(last).select(*keys, F.col("s.stored_position").alias("position"), F.col("s.stored_owner").alias("owner"))
 
 
 def load_checkpoints(projections: DataFrame, stored: DataFrame) -> DataFrame:
     """``projections`` with their position, 0 for those that never saved."""
-    return projections.join(stored.select("projection", "position"), "projection", "left").fillna({"position": 0})
+    keys = [c for c in ("projection", "tenant_id") if c in projections.columns]
+    return projections.join(stored.select(*keys, "position", "owner"), keys, "left").fillna({"position": 0})
 
 
 def save_results(entries: DataFrame, results: DataFrame) -> DataFrame:
@@ -109,3 +164,9 @@ def save_results(entries: DataFrame, results: DataFrame) -> DataFrame:
     r = results.select("tenant_id", "idempotency_key", F.col("result").alias("saved"))
     joined = entries.join(r, ["tenant_id", "idempotency_key"], "left")
     return joined.select("tenant_id", "idempotency_key", F.coalesce("saved", "result").alias("result"), "expires_at")
+
+
+def saved_result(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The stored result of each wanted (tenant_id, idempotency_key), null if the key is unknown or has none yet."""
+    held = entries.select("tenant_id", "idempotency_key", "result")
+    return wanted.withColumn("tenant_id", tenant_key(F.col("tenant_id"))).join(held, ["tenant_id", "idempotency_key"], "left")

@@ -32,14 +32,23 @@ class Upcasters:
             if key in self.by_key:
                 raise ValueError(f"two upcasters for {key}")
             self.by_key[key] = u
-        self.depth = max((self._depth(k, ()) for k in self.by_key), default=0)
+        self._known: dict[tuple[str, int], tuple[int, int]] = {}
+        self.depth = max((self._walk(k, ())[0] for k in self.by_key), default=0)
+        most = (len(self.by_key) + 1) * 64
+        for key in self.by_key:
+            if self._walk(key, ())[1] > most:
+                raise UpcasterCycle(f"{key[0]}:{key[1]} takes more than {most} steps")
 
-    def _depth(self, key: tuple[str, int], path: tuple) -> int:
+    def _walk(self, key: tuple[str, int], path: tuple) -> tuple[int, int]:
+        """Steps of the longest chain from ``key``, and events touched by walking all of its outputs; each key is walked once."""
         if key in path:
             raise UpcasterCycle(" -> ".join(f"{t}:{v}" for t, v in (*path, key)))
         if key not in self.by_key:
-            return 0
-        return 1 + max((self._depth((t, v), (*path, key)) for t, v, _ in self.by_key[key].targets), default=0)
+            return 0, 1
+        if key not in self._known:
+            below = [self._walk((t, v), (*path, key)) for t, v, _ in self.by_key[key].targets]
+            self._known[key] = (1 + max((d for d, _ in below), default=0), 1 + sum(w for _, w in below))
+        return self._known[key]
 
     def apply(self, log: DataFrame) -> DataFrame:
         """``log`` with event_type, schema_version and payload brought up to date, and ``ordinal``.

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import ids
-from ..operators import append, folds, outbox, projections, reads, replay, upcast
-from ..schema import HousekeepingOptions, tenant_key
+from ..operators import aggregates, append, folds, leases, outbox, projections, reads, replay, upcast
+from ..schema import HousekeepingOptions, pending_migrations, tenant_key
 from ..sources import logs
+from ..sources.event_log import EventLog, Transaction
 from ..sources.logs import table, user_log
 from ..streaming import live
 
@@ -26,6 +27,25 @@ L1 = """l AS (
 )"""
 
 
+def _fnv_sql(basis: int, text: str) -> str:
+    """FNV-1a in 64 bits of an ASCII text, folded in 128-bit integers."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS HUGEINT))"
+    return f"list_reduce(list_prepend(CAST({basis} AS HUGEINT), {codes}), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)"
+
+
+def _uuid_sql(low: str, high: str) -> str:
+    """The id whose first eight bytes are ``low`` and last eight ``high``, each with its least byte first."""
+
+    def part(x: str, shift: int, digits: int) -> str:
+        return f"format('{{:0{digits}x}}', CAST(({x} // {1 << shift}) % {1 << (4 * digits)} AS BIGINT))"
+
+    tail = [part(high, 8 * k, 2) for k in range(8)]
+    return " || '-' || ".join([part(low, 0, 8), part(low, 32, 4), part(low, 48, 4), " || ".join(tail[:2]), " || ".join(tail[2:])])
+
+
+ID_SQL = f"""k AS (SELECT *, {_fnv_sql(ids.FNV_OFFSET, 'name')} AS low, {_fnv_sql(ids.FNV_PRIME, 'name')} AS high FROM named)"""
+
+
 def query(sql: str | None = None, log: bool = True):
     """Register a query under its function's name; ``log``: its SQL reads the user log as ``l``."""
 
@@ -48,13 +68,13 @@ EVENT = ("stream_id", "version", "global_position", "event_type", "payload")
 
 @query("SELECT stream_id, version, global_position, event_type, payload FROM l WHERE stream_id = 'user-7' AND version BETWEEN 3 AND 10")
 def stream_read_forward(spark: SparkSession, d: str) -> DataFrame:
-    return reads.read_stream(user_log(spark, d), "user-7", 3, 10).select(*EVENT)
+    return reads.read_stream(user_log(spark, d, user=7), "user-7", 3, 10).select(*EVENT)
 
 
 @query("""SELECT stream_id, version, global_position, event_type, row_number() OVER (ORDER BY version DESC) AS place
 FROM l WHERE stream_id = 'user-7' AND version BETWEEN 3 AND 10""")
 def stream_read_backward(spark: SparkSession, d: str) -> DataFrame:
-    found = reads.read_stream(user_log(spark, d), "user-7", 3, 10, forwards=False)
+    found = reads.read_stream(user_log(spark, d, user=7), "user-7", 3, 10, forwards=False)
     place = F.row_number().over(Window.partitionBy("stream_id").orderBy(F.col("version").desc())).cast("long")
     return found.select("stream_id", "version", "global_position", "event_type", place.alias("place"))
 
@@ -67,7 +87,7 @@ def stream_point_in_time(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT global_position, stream_id, event_type, payload FROM l WHERE global_position > 100 AND global_position <= 300")
 def all_read_after_upto(spark: SparkSession, d: str) -> DataFrame:
-    return reads.read_all(user_log(spark, d, versions=False), 100, 300).select("global_position", "stream_id", "event_type", "payload")
+    return reads.read_all(user_log(spark, d, versions=False, after=100, upto=300), 100, 300).select("global_position", "stream_id", "event_type", "payload")
 
 
 @query("SELECT global_position, stream_id, event_type FROM l ORDER BY global_position DESC LIMIT 50")
@@ -78,7 +98,7 @@ def all_read_backward_limit(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT global_position, stream_id, event_type FROM l
 WHERE global_position > 200 AND event_type IN ('purchase', 'signup') ORDER BY global_position LIMIT 100""")
 def catchup_batch_typed(spark: SparkSession, d: str) -> DataFrame:
-    return reads.catchup_batch(user_log(spark, d, versions=False), 200, 100, {"purchase", "signup"}).select("global_position", "stream_id", "event_type")
+    return reads.catchup_batch(user_log(spark, d, versions=False, after=200, types=("purchase", "signup")), 200, 100, {"purchase", "signup"}).select("global_position", "stream_id", "event_type")
 
 
 @query("SELECT CAST(0 AS BIGINT) AS events", log=False)
@@ -98,7 +118,7 @@ def catchup_safe_hwm(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT stream_id, max(version) AS current_version, max(global_position) AS head_position, arg_max(event_type, version) AS head_type
 FROM l GROUP BY stream_id""")
 def stream_heads(spark: SparkSession, d: str) -> DataFrame:
-    return reads.heads(user_log(spark, d))
+    return reads.heads(user_log(spark, d, versions=False))
 
 
 @query("""WITH w AS (SELECT 'user-' || v AS stream_id FROM (VALUES (0), (3), (999999)) t(v))
@@ -106,12 +126,12 @@ SELECT w.stream_id, coalesce(max(version), -1) AS current_version, coalesce(max(
 FROM w LEFT JOIN l USING (stream_id) GROUP BY w.stream_id""")
 def stream_heads_wanted(spark: SparkSession, d: str) -> DataFrame:
     wanted = spark.createDataFrame([("user-0",), ("user-3",), ("user-999999",)], "stream_id string")
-    return reads.heads_of(wanted, user_log(spark, d)).select("stream_id", "current_version", "head_position")
+    return reads.heads_of(wanted, user_log(spark, d, versions=False)).select("stream_id", "current_version", "head_position")
 
 
 @query("SELECT stream_id, min(category) AS category, arg_min(tenant_id, version) AS tenant_id, max(version) AS current_version FROM l GROUP BY stream_id")
 def stream_registry(spark: SparkSession, d: str) -> DataFrame:
-    return reads.streams(user_log(spark, d))
+    return reads.streams(user_log(spark, d, versions=False))
 
 
 @query("SELECT max(global_position) AS high_water_mark FROM l")
@@ -122,11 +142,19 @@ def safe_high_water_mark(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT 'inside' AS probe, (SELECT count(*) FROM l WHERE global_position > 500) > 0 AS found
 UNION ALL SELECT 'beyond', (SELECT count(*) FROM l WHERE global_position > 1000000000) > 0""")
 def existence_peek(spark: SparkSession, d: str) -> DataFrame:
-    log = user_log(spark, d, versions=False)
-    probe = lambda name, at: reads.exists_above(log, at).select(F.lit(name).alias("probe"), "found")
+    probe = lambda name, at: reads.exists_above(user_log(spark, d, versions=False, after=at), at).select(F.lit(name).alias("probe"), "found")
     return probe("inside", 500).unionByName(probe("beyond", 1_000_000_000))
 
 
+@query("""SELECT stream_id, event_type, count(*) AS events FROM (
+  SELECT category, stream_id, event_type FROM l UNION ALL SELECT 'conv', 'conv-' || conv_id, role FROM conversations)
+WHERE category = 'conv' GROUP BY stream_id, event_type""")
+def category_scan(spark: SparkSession, d: str) -> DataFrame:
+    users = user_log(spark, d, versions=False).select("category", "stream_id", "event_type")
+    both = users.unionByName(logs.conversation_log(spark, d).select("category", "stream_id", "event_type"))
+    return reads.category(both, "conv").groupBy("stream_id", "event_type").agg(F.count("*").alias("events"))
+
+
 @query("""SELECT category, count(*) AS events, count(DISTINCT stream_id) AS streams FROM (
   SELECT category, stream_id FROM l
   UNION ALL SELECT 'conv', 'conv-' || conv_id FROM conversations) GROUP BY category""")
@@ -139,7 +167,7 @@ def category_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT stream_id, global_position, event_type, value FROM l WHERE tenant_id = 't2' AND global_position > 50")
 def tenant_scan(spark: SparkSession, d: str) -> DataFrame:
-    return reads.tenant(user_log(spark, d, versions=False), "t2").filter("global_position > 50").select("stream_id", "global_position", "event_type", "value")
+    return reads.tenant(user_log(spark, d, versions=False, after=50), "t2").select("stream_id", "global_position", "event_type", "value")
 
 
 @query("SELECT CASE WHEN user_id % 3 = 0 THEN '' ELSE tenant_id END AS tenant_id, count(*) AS events FROM l GROUP BY 1")
@@ -161,7 +189,7 @@ def log_totals(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT stream_id, max(version) AS last FROM l GROUP BY stream_id UNION ALL SELECT 'user-none', -1) h
 CROSS JOIN (SELECT CAST(v AS BIGINT) AS expected FROM (VALUES (-3), (-2), (-1), (0), (1), (5)) t(v)) e""")
 def append_guard_matrix(spark: SparkSession, d: str) -> DataFrame:
-    last = reads.heads(user_log(spark, d)).select("stream_id", F.col("current_version").alias("actual_version"))
+    last = reads.heads(user_log(spark, d, versions=False)).select("stream_id", F.col("current_version").alias("actual_version"))
     last = last.unionByName(spark.createDataFrame([("user-none", -1)], "stream_id string, actual_version long"))
     asked = last.withColumn("expected_version", F.explode(F.array(*[F.lit(v).cast("long") for v in (-3, -2, -1, 0, 1, 5)])))
     return asked.select("stream_id", "expected_version", "actual_version", append.guard(F.col("expected_version"), F.col("actual_version")).alias("accepted"))
@@ -191,15 +219,16 @@ o AS (
 
 
 def _requests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    log = user_log(spark, d)
-    at = F.broadcast(log.agg((F.max("global_position") / 2).cast("long").alias("at")))
-    stored = log.join(at).filter(F.col("global_position") <= F.col("at")).drop("at")
-    heads = reads.heads(stored)
-    last = F.coalesce("current_version", F.lit(-1).cast("long"))
+    log = user_log(spark, d, versions=False)
+    half = log.agg(F.max("global_position")).first()[0] // 2
+    stored = user_log(spark, d, versions=False, upto=half)
+    heads = reads.heads(stored)  # counted, without a window
+    # A stream's version needs its events in order: one window, which the heads' shuffle is on, too.
+    last = F.coalesce(F.max(F.when(F.col("global_position") <= half, F.col("version"))).over(Window.partitionBy("stream_id")), F.lit(-1).cast("long"))
     u = F.col("user_id")
-    asked = log.join(heads.select("stream_id", "current_version"), "stream_id", "left")
-    asked = asked.filter(F.col("version").between(last + F.when(u % 5 == 0, 0).otherwise(1), last + 2))
-    expected = F.when(u % 4 == 0, F.lit(-2)).when(u % 4 == 1, last).when(u % 4 == 2, F.lit(-3)).otherwise(F.lit(1))
+    asked = logs.with_versions(log).withColumn("last", last)
+    asked = asked.filter(F.col("version").between(F.col("last") + F.when(u % 5 == 0, 0).otherwise(1), F.col("last") + 2))
+    expected = F.when(u % 4 == 0, F.lit(-2)).when(u % 4 == 1, F.col("last")).when(u % 4 == 2, F.lit(-3)).otherwise(F.lit(1))
     requests = asked.select(
         F.concat(F.lit("b-"), "stream_id").alias("batch_id"), "stream_id", expected.cast("long").alias("expected_version"), F.col("version").cast("int").alias("seq"), "event_id", "event_type", "schema_version", "payload", "tenant_id"
     )
@@ -234,6 +263,114 @@ def log_dedup_event_id(spark: SparkSession, d: str) -> DataFrame:
     return append.deduplicated(log.select("stream_id", "event_id", "global_position", "event_type"))
 
 
+# ---------------------------------------------------------------- the stored log
+
+
+def _new_log(spark: SparkSession) -> EventLog:
+    """An empty log in the folder that driver and executors share; the session removes it when it ends."""
+    import atexit
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="ledgerframe-")
+    log = EventLog(spark, f"{folder.rstrip('/')}/log-{uuid.uuid4().hex}")
+    log.init()
+
+    def remove():
+        try:
+            log.files.delete("")
+        except Exception:  # the session is gone, and with it what would read the log
+            pass
+
+    atexit.register(remove)
+    return log
+
+
+def _batch(events: DataFrame, name: str, expected: int) -> DataFrame:
+    return events.select(
+        F.concat(F.lit(f"{name}-"), "stream_id").alias("batch_id"), "stream_id", F.lit(expected).cast("long").alias("expected_version"), F.col("version").cast("int").alias("seq"),
+        "event_id", "event_type", "schema_version", "payload", "tenant_id",
+    )
+
+
+def _transaction(spark: SparkSession, d: str) -> Transaction:
+    """Two appends of each stream, the second of which expects what the first leaves."""
+    e = user_log(spark, d)
+    t = Transaction(_new_log(spark))
+    t.append(_batch(e.filter("version < 5"), "a", -1))
+    t.append(_batch(e.filter("version between 5 and 9"), "b", 4))
+    return t
+
+
+@query("SELECT stream_id, CAST(least(max(version), 9) AS BIGINT) AS current_version FROM l GROUP BY stream_id UNION ALL SELECT 'user-none', -1")
+def transaction_heads(spark: SparkSession, d: str) -> DataFrame:
+    streams = user_log(spark, d, versions=False).select("stream_id").distinct().unionByName(spark.createDataFrame([("user-none",)], "stream_id string"))
+    return _transaction(spark, d).heads(streams)
+
+
+@query("""SELECT stream_id, version, row_number() OVER (ORDER BY version >= 5, stream_id, version) AS global_position, event_id, event_type, category, payload, tenant_id
+FROM l WHERE version < 10""")
+def transaction_commit(spark: SparkSession, d: str) -> DataFrame:
+    t = _transaction(spark, d)
+    t.commit(F.lit(NOW))
+    return t.log.read().select("stream_id", "version", "global_position", "event_id", "event_type", "category", "payload", "tenant_id")
+
+
+@query("""WITH b AS (SELECT *, version // 3 AS nth FROM l WHERE version < 9), s AS (SELECT stream_id, nth, count(*) AS size, max(version) AS last FROM b GROUP BY stream_id, nth)
+SELECT nth || '-' || stream_id AS batch_id, stream_id, 'appended' AS outcome, CAST(last AS BIGINT) AS next_expected_version, nth * 3 - 1 AS actual_version FROM s WHERE nth < 2
+UNION ALL SELECT nth || '-' || stream_id, stream_id, 'conflict', NULL, 5 FROM s WHERE nth = 2
+UNION ALL SELECT DISTINCT '3-' || stream_id, stream_id, 'duplicate', least(5, max(version) OVER (PARTITION BY stream_id)), least(5, max(version) OVER (PARTITION BY stream_id)) FROM l""")
+def append_many_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Four batches a stream in one commit: new, following, refused, and one that comes again."""
+    e = user_log(spark, d).filter("version < 9").withColumn("nth", F.floor(F.col("version") / 3))
+    again = e.filter("version < 3").withColumn("nth", F.lit(3))
+    e = e.withColumn("nth", F.col("nth").cast("int")).unionByName(again)
+    expected = F.when(F.col("nth") == 0, -1).when(F.col("nth") == 1, 2).when(F.col("nth") == 2, 99).otherwise(-2)
+    asked = e.select(F.concat(F.col("nth").cast("string"), F.lit("-"), "stream_id").alias("batch_id"), "stream_id", expected.cast("long").alias("expected_version"), F.col("version").cast("int").alias("seq"), "event_id", "event_type", "schema_version", "payload", "tenant_id")
+    return _new_log(spark).append(asked, F.lit(NOW)).select("batch_id", "stream_id", "outcome", "next_expected_version", "actual_version")
+
+
+@query("""SELECT row_number() OVER (ORDER BY global_position) AS id, md5('m' || event_id) AS message_id, event_type, payload, tenant_id, global_position % 2 = 0 AS published
+FROM l WHERE event_type = 'purchase'""")
+def outbox_flush(spark: SparkSession, d: str) -> DataFrame:
+    """Messages collected beside the events of one commit, half of which are published afterwards."""
+    e = user_log(spark, d).filter("event_type = 'purchase'")
+    collector, log = outbox.Collector(), _new_log(spark)
+    collector.collect(e.select(_message().alias("message_id"), "event_type", "payload", "tenant_id", F.col("global_position").alias("seq")))
+    with Transaction(log) as t:
+        t.append(_batch(e, "a", -1))
+        t.flush(collector)
+        t.commit(F.lit(NOW))
+    rows = log.outbox()
+    out = e.select(_message().alias("message_id"), "global_position").filter("global_position % 2 = 0")
+    log.mark_published(rows.join(out, "message_id", "left_semi"), F.lit(NOW))
+    return log.outbox().select("id", "message_id", "event_type", "payload", "tenant_id", F.col("published_at").isNotNull().alias("published"))
+
+
+@query("""SELECT * FROM (SELECT stream_id, max(version) AS read_version, CAST(count(*) AS INTEGER) AS seen FROM l GROUP BY stream_id)""")
+def fetch_for_writing(spark: SparkSession, d: str) -> DataFrame:
+    log = user_log(spark, d, versions=False)
+    return log.groupBy("stream_id").agg((F.count("*") - 1).alias("read_version"), F.count("*").cast("int").alias("seen"))
+
+
+@query(f"""WITH h AS (SELECT stream_id, max(version) AS last FROM l GROUP BY stream_id), n AS (SELECT * FROM (VALUES (0, 'checked'), (1, 'closed')) t(seq, event_type)),
+named AS (SELECT stream_id, last, seq, event_type, md5('cmd') || ':' || stream_id || ':' || seq AS name FROM h, n WHERE seq = 0 OR last % 2 = 0), {ID_SQL}
+SELECT stream_id, CAST(last + 1 + seq AS BIGINT) AS version, event_type, {_uuid_sql('low', 'high')} AS event_id FROM k""")
+def aggregate_save(spark: SparkSession, d: str) -> DataFrame:
+    """Every stream checked, those of even version closed as well: read versions, deterministic ids, guards and versions."""
+    stored = user_log(spark, d, versions=False)
+    heads = reads.heads(stored)
+    done = F.array(F.struct(F.lit(0).alias("seq"), F.lit("checked").alias("event_type")), F.struct(F.lit(1).alias("seq"), F.lit("closed").alias("event_type")))
+    decided = heads.select("stream_id", F.col("current_version").alias("read_version"), F.inline(done)).filter("seq = 0 or read_version % 2 = 0")
+    requests = aggregates.save_requests(decided.withColumn("payload", F.lit("{}")), F.md5(F.lit("cmd")))
+    return append.assign(requests, append.classify(requests, heads, stored), 0).select("stream_id", "version", "event_type", "event_id")
+
+
 # ---------------------------------------------------------------- folds and snapshots
 
 STEP_SQL = "CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN -1 ELSE 0 END"
@@ -243,7 +380,7 @@ STEP_SQL = "CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN -1 ELSE 0 END"
        CAST(sum(CASE WHEN event_type IN ('click', 'view') THEN 0 ELSE 1 END) AS BIGINT) AS ignored,
        arg_max(event_type, version) AS last_type, max(global_position) AS last_position FROM l GROUP BY stream_id""")
 def fold_counter(spark: SparkSession, d: str) -> DataFrame:
-    return folds.counters(user_log(spark, d))
+    return folds.counters(user_log(spark, d, versions=False))
 
 
 @query("""SELECT 'order-' || o_orderkey AS stream_id, true AS placed, o_orderstatus = 'P' AS cancelled, count(l_orderkey) AS lines,
@@ -251,14 +388,15 @@ def fold_counter(spark: SparkSession, d: str) -> DataFrame:
        count(l_orderkey) + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS version
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus""", log=False)
 def fold_order_state(spark: SparkSession, d: str) -> DataFrame:
-    return folds.order_states(logs.order_log(spark, d))
+    states = folds.order_states(logs.order_log(spark, d), "place", "o_orderkey")
+    return states.select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("stream_id"), "version", "placed", "cancelled", "lines", "quantity")
 
 
 @query(f"""SELECT stream_id, max(version) AS version, CAST(sum({STEP_SQL}) AS BIGINT) AS counter FROM l, (SELECT max(event_id) // 2 AS n FROM events)
 WHERE global_position <= n GROUP BY stream_id""")
 def fold_as_of_position(spark: SparkSession, d: str) -> DataFrame:
     half = table(spark, d, "events").agg((F.max("event_id") / 2).cast("long")).first()[0]
-    return folds.counters(reads.as_of(user_log(spark, d), position=half)).select("stream_id", "version", "counter")
+    return folds.counters(user_log(spark, d, versions=False, upto=half)).select("stream_id", "version", "counter")
 
 
 RUNNING_SQL = f"running AS (SELECT *, CAST(sum({STEP_SQL}) OVER (PARTITION BY stream_id ORDER BY version) AS BIGINT) AS counter FROM l)"
@@ -297,6 +435,25 @@ def snapshot_save(spark: SparkSession, d: str) -> DataFrame:
     return folds.save_snapshots(stored, running.filter("version % 7 = 0"))
 
 
+@query(f"""WITH {RUNNING_SQL} SELECT stream_id, max(version) AS version, 1 AS schema_version, arg_max(counter, version) AS state
+FROM running WHERE (version + 1) % 10 = 0 AND user_id % 3 <> 0 GROUP BY stream_id""")
+def snapshot_delete(spark: SparkSession, d: str) -> DataFrame:
+    log = user_log(spark, d)
+    gone = user_log(spark, d, versions=False).filter("user_id % 3 = 0").select("stream_id").unionByName(spark.createDataFrame([("user-none",)], "stream_id string"))
+    return folds.deleted_snapshots(folds.latest(folds.snapshots_every(log, 10)), gone)
+
+
+@query(f"""SELECT stream_id, CAST(CASE WHEN user_id % 2 = 0 THEN max(version) ELSE -1 END AS BIGINT) AS version,
+       CAST(CASE WHEN user_id % 2 = 0 THEN sum({STEP_SQL}) END AS BIGINT) AS counter, CASE WHEN user_id % 2 = 0 THEN arg_max(event_type, version) END AS last_type FROM l GROUP BY stream_id, user_id""")
+def snapshot_restore(spark: SparkSession, d: str) -> DataFrame:
+    """Every stream's state captured as JSON, and restored into fresh aggregates where a snapshot was kept."""
+    log = user_log(spark, d, versions=False)
+    states = folds.counters(log).select("stream_id", "version", "counter", "last_type")
+    kept = folds.captured(states).filter(F.substring_index("stream_id", "-", -1).cast("long") % 2 == 0)
+    fresh = states.select("stream_id", F.lit(-1).cast("long").alias("version"))
+    return folds.restored(fresh, kept, "counter long, last_type string")
+
+
 @query("SELECT 'conv-' || conv_id AS stream_id, max(turn) AS version, arg_max(role, turn) AS last_type, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS user_turns FROM conversations GROUP BY conv_id", log=False)
 def fold_conversation(spark: SparkSession, d: str) -> DataFrame:
     log = logs.conversation_log(spark, d)
@@ -383,6 +540,18 @@ def gap_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", verdict.alias("verdict"))
 
 
+@query("""WITH t AS (SELECT event_id, (event_id * 7) % 50 AS checkpoint, (event_id * 3) % 60 AS mark, event_id % 2 = 0 AS above, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 21 END AS waited FROM events),
+v AS (SELECT *, NOT above AND checkpoint < mark AND coalesce(waited, 0) >= 10 AS skips FROM t)
+SELECT event_id, CASE WHEN skips THEN mark ELSE checkpoint END AS checkpoint, CASE WHEN skips THEN checkpoint END AS gap_from, CASE WHEN skips THEN mark END AS gap_upto,
+       CAST(sum(CASE WHEN skips THEN 1 ELSE 0 END) OVER () AS BIGINT) AS gaps_skipped FROM v""", log=False)
+def gap_skip(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    ticks = table(spark, d, "events").select("event_id", ((e * 7) % 50).alias("checkpoint"), ((e * 3) % 60).alias("mark"), (e % 2 == 0).alias("above"), F.when(e % 5 != 0, e % 21).alias("waited"))
+    done = projections.skip_gaps(ticks, F.lit(10))
+    counter = F.broadcast(done.agg(F.count("gap_upto").alias("gaps_skipped")))  # one row
+    return done.join(counter).select("event_id", "checkpoint", "gap_from", "gap_upto", "gaps_skipped")
+
+
 K_SQL = "CAST(json_extract_string(payload, '$.k') AS BIGINT)"
 POISON_SQL = f"{K_SQL} % 10 = 3"
 ERROR_SQL = f"'ValueError: bad k ' || {K_SQL}"
@@ -492,12 +661,38 @@ def causation_chain(spark: SparkSession, d: str) -> DataFrame:
     return log.select("event_id", ids.stamped(_message(), _message("root"), _message("cause")).alias("m")).select("event_id", "m.*")
 
 
-@query()
+@query(f"""WITH named AS (SELECT stream_id, version, md5('m' || event_id) || ':' || stream_id || ':' || version AS name FROM l), {ID_SQL}
+SELECT stream_id, version, {_uuid_sql('low', 'high')} AS new_id FROM k""")
 def deterministic_event_id(spark: SparkSession, d: str) -> DataFrame:
     log = user_log(spark, d)
     return log.select("stream_id", "version", ids.deterministic_event_id(_message(), F.col("stream_id"), F.col("version").cast("int")).alias("new_id"))
 
 
+@query("""SELECT event_id, '{"message_id":"' || md5('m' || event_id) || '","correlation_id":"' || md5('m' || event_id) || '"' || CASE WHEN user_id % 3 = 0 THEN '' ELSE ',"user":"u' || user_id || '"' END || ',"tenant_id":"' || tenant_id || '"}' AS metadata,
+       md5('m' || event_id) AS message_id, CASE WHEN user_id % 3 <> 0 THEN 'u' || user_id END AS user, tenant_id FROM l""")
+def metadata_codec(spark: SparkSession, d: str) -> DataFrame:
+    user = F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    none = F.lit(None).cast("string")
+    m = F.struct(_message().alias("message_id"), _message().alias("correlation_id"), none.alias("causation_id"), user.alias("user"), F.col("tenant_id"), none.alias("trace_parent"))
+    coded = user_log(spark, d, versions=False).select("event_id", ids.metadata_json(m).alias("metadata"))
+    back = coded.withColumn("m", ids.metadata_of(F.col("metadata")))
+    return back.select("event_id", "metadata", "m.message_id", "m.user", "m.tenant_id")
+
+
+@query("""SELECT global_position, json_valid(CASE WHEN global_position % 7 = 0 THEN payload[:-2] WHEN global_position % 7 = 1 THEN '' ELSE payload END) AS valid FROM l""")
+def json_validate(spark: SparkSession, d: str) -> DataFrame:
+    p, at = F.col("payload"), F.col("global_position") % 7
+    text = F.when(at == 0, F.left(p, F.length(p) - 1)).when(at == 1, "").otherwise(p)
+    return user_log(spark, d, versions=False).select("global_position", ids.valid_json(text).alias("valid"))
+
+
+@query("""SELECT n_regionkey AS store, n_nationkey AS version, n_name AS name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS place
+FROM nation WHERE n_nationkey % 4 <> 1""", log=False)
+def migrations(spark: SparkSession, d: str) -> DataFrame:
+    steps = table(spark, d, "nation").select(F.col("n_regionkey").alias("store"), F.col("n_nationkey").alias("version"), F.col("n_name").alias("name"))
+    return pending_migrations(steps, steps.filter("version % 4 = 1")).select("store", "version", "name", F.col("place").cast("long").alias("place"))
+
+
 # ---------------------------------------------------------------- keyed state
 
 
@@ -516,6 +711,45 @@ def idempotency_register(spark: SparkSession, d: str) -> DataFrame:
     return done.groupBy("tenant_id", "k", "outcome").agg(F.count("*").alias("requests"))
 
 
+@query(f"""WITH r AS (SELECT tenant_id, {K_SQL} AS k, created_at AS moment, 'r' || event_id AS value, row_number() OVER (PARTITION BY tenant_id, {K_SQL} ORDER BY global_position) AS n,
+  CASE WHEN event_type IN ('view', 'click') THEN 'register' WHEN event_type = 'purchase' THEN 'save' ELSE 'get' END AS op, global_position FROM l),
+s AS (
+  SELECT tenant_id, k, n, global_position, op, op = 'register' AS done, CASE WHEN op = 'register' THEN moment + INTERVAL 1 DAY END AS expires_at, CAST(NULL AS VARCHAR) AS result FROM r WHERE n = 1
+  UNION ALL
+  SELECT r.tenant_id, r.k, r.n, r.global_position, r.op,
+         CASE r.op WHEN 'register' THEN s.expires_at IS NULL OR s.expires_at <= r.moment WHEN 'save' THEN s.expires_at IS NOT NULL ELSE false END,
+         CASE WHEN r.op = 'register' AND (s.expires_at IS NULL OR s.expires_at <= r.moment) THEN r.moment + INTERVAL 1 DAY ELSE s.expires_at END,
+         CASE WHEN r.op = 'register' AND (s.expires_at IS NULL OR s.expires_at <= r.moment) THEN NULL WHEN r.op = 'save' AND s.expires_at IS NOT NULL THEN r.value ELSE s.result END
+  FROM s JOIN r ON r.tenant_id = s.tenant_id AND r.k = s.k AND r.n = s.n + 1
+) SELECT tenant_id, k, global_position, op, done, result FROM s""")
+def idempotency_result(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("event_type")
+    op = F.when(kind.isin("view", "click"), "register").when(kind == "purchase", "save").otherwise("get")
+    asked = user_log(spark, d, versions=False).select("tenant_id", _k().alias("k"), "global_position", op.alias("op"), F.concat(F.lit("r"), "event_id").alias("value"), F.col("created_at").alias("at"))
+    done = replay.replay(asked, ["tenant_id", "k"], ["global_position"], replay.results(timedelta(days=1)), replay.RESULTS_OUT)
+    return done.select("tenant_id", "k", "global_position", "op", "done", "result")
+
+
+@query(f"""WITH r AS (SELECT {K_SQL} AS k, 'o' || (user_id % 3) AS owner, created_at AS moment, row_number() OVER (PARTITION BY {K_SQL} ORDER BY global_position) AS n,
+  CASE WHEN event_type IN ('view', 'click') THEN 'acquire' WHEN event_type = 'purchase' THEN 'release' ELSE 'renew' END AS op, global_position FROM l),
+s AS (
+  SELECT k, n, global_position, op, owner, op = 'acquire' AS done, CASE WHEN op = 'acquire' THEN owner END AS holder, CASE WHEN op = 'acquire' THEN moment + INTERVAL 6 HOUR END AS until FROM r WHERE n = 1
+  UNION ALL
+  SELECT r.k, r.n, r.global_position, r.op, r.owner, x.done,
+         CASE WHEN x.done THEN CASE WHEN r.op <> 'release' THEN r.owner END WHEN x.held THEN s.holder END,
+         CASE WHEN x.done THEN CASE WHEN r.op <> 'release' THEN r.moment + INTERVAL 6 HOUR END WHEN x.held THEN s.until END
+  FROM s JOIN r ON r.k = s.k AND r.n = s.n + 1,
+  LATERAL (SELECT coalesce(s.until > r.moment, false) AS held, CASE WHEN r.op = 'acquire' THEN NOT coalesce(s.until > r.moment, false) ELSE coalesce(s.until > r.moment AND s.holder = r.owner, false) END AS done) x
+) SELECT k, global_position, op, owner, done, holder FROM s""")
+def lease_schedule(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("event_type")
+    op = F.when(kind.isin("view", "click"), "acquire").when(kind == "purchase", "release").otherwise("renew")
+    owner = F.concat(F.lit("o"), (F.col("user_id") % 3).cast("string"))
+    asked = user_log(spark, d, versions=False).select(_k().alias("k"), "global_position", op.alias("op"), owner.alias("owner"), F.col("created_at").alias("at"))
+    done = replay.replay(asked, ["k"], ["global_position"], leases.lease_step(timedelta(hours=6)), leases.LEASE_OUT)
+    return done.select("k", "global_position", "op", "owner", "done", "holder")
+
+
 @query(f"""WITH r AS (
   SELECT {K_SQL} AS k, 'u' || (user_id % 3) AS owner, created_at AS moment, row_number() OVER (PARTITION BY {K_SQL} ORDER BY global_position) AS n,
          CASE WHEN event_type IN ('view', 'click') THEN 'reserve' WHEN event_type = 'error' THEN 'release' WHEN event_type = 'purchase' AND value > 90 THEN 'confirm' ELSE 'look' END AS op
@@ -555,34 +789,45 @@ def _reservation_or_look(state, r):
 
 def _saves(spark: SparkSession, d: str) -> DataFrame:
     e = user_log(spark, d, versions=False)
-    owner = F.concat(F.lit("o"), (F.col("user_id") % 2).cast("string"))
+    owner = F.when(F.col("user_id") % 5 != 0, F.concat(F.lit("o"), (F.col("user_id") % 2).cast("string")))
+    tenant = F.when(F.col("user_id") % 7 < 3, "").when(F.col("user_id") % 7 > 4, "t")
     position = (F.floor(F.col("global_position") / F.lit(200)) * 10 + F.col("user_id") % 3).cast("long")
-    return e.select(F.concat(F.lit("p"), _k().cast("string")).alias("projection"), F.col("global_position").alias("seq"), owner.alias("owner"), position.alias("position"))
+    return e.select(F.concat(F.lit("p"), _k().cast("string")).alias("projection"), tenant.alias("tenant_id"), F.col("global_position").alias("seq"), owner.alias("owner"), position.alias("position"))
 
 
-SAVES_SQL = f"""r AS (SELECT 'p' || {K_SQL} AS projection, global_position AS seq, 'o' || (user_id % 2) AS owner, (global_position // 200) * 10 + user_id % 3 AS position,
-  row_number() OVER (PARTITION BY {K_SQL} ORDER BY global_position) AS n FROM l),
+APPLIES = "(r.owner = s.so OR s.so IS NULL OR s.sp < r.position) AND s.sp <= r.position"
+SAVES_SQL = f"""r AS (SELECT 'p' || {K_SQL} AS projection, CASE WHEN user_id % 7 < 3 THEN '' WHEN user_id % 7 > 4 THEN 't' END AS tenant_id, CASE WHEN user_id % 7 > 4 THEN 't' ELSE '' END AS tk, global_position AS seq,
+  CASE WHEN user_id % 5 <> 0 THEN 'o' || (user_id % 2) END AS owner, (global_position // 200) * 10 + user_id % 3 AS position,
+  row_number() OVER (PARTITION BY {K_SQL}, user_id % 7 > 4 ORDER BY global_position) AS n FROM l),
 s AS (
-  SELECT projection, n, seq, owner, position, 'applied' AS outcome, position AS sp, owner AS so FROM r WHERE n = 1
+  SELECT projection, tenant_id, tk, n, seq, owner, position, 'applied' AS outcome, position AS sp, owner AS so FROM r WHERE n = 1
   UNION ALL
-  SELECT r.projection, r.n, r.seq, r.owner, r.position,
-         CASE WHEN (r.owner = s.so OR s.sp < r.position) AND s.sp <= r.position THEN 'applied' WHEN r.owner <> s.so THEN 'fenced' ELSE 'backward' END,
-         CASE WHEN (r.owner = s.so OR s.sp < r.position) AND s.sp <= r.position THEN r.position ELSE s.sp END,
-         CASE WHEN (r.owner = s.so OR s.sp < r.position) AND s.sp <= r.position THEN r.owner ELSE s.so END
-  FROM s JOIN r ON r.projection = s.projection AND r.n = s.n + 1
+  SELECT r.projection, r.tenant_id, r.tk, r.n, r.seq, r.owner, r.position,
+         CASE WHEN {APPLIES} THEN 'applied' WHEN s.so IS NULL OR r.owner IS NOT DISTINCT FROM s.so THEN 'backward' ELSE 'fenced' END,
+         CASE WHEN {APPLIES} THEN r.position ELSE s.sp END,
+         CASE WHEN {APPLIES} THEN r.owner ELSE s.so END
+  FROM s JOIN r ON r.projection = s.projection AND r.tk = s.tk AND r.n = s.n + 1
 )"""
 
 
-@query(f"WITH {SAVES_SQL} SELECT projection, seq, owner, position, outcome, sp AS stored_position, so AS stored_owner FROM s")
+@query(f"WITH {SAVES_SQL} SELECT projection, tenant_id, seq, owner, position, outcome, sp AS stored_position, so AS stored_owner FROM s")
 def checkpoint_cas(spark: SparkSession, d: str) -> DataFrame:
-    return replay.checkpoint_saves(_saves(spark, d))
+    return replay.checkpoint_saves(_saves(spark, d), width=300)
 
 
-@query(f"WITH {SAVES_SQL} SELECT projection, arg_max(sp, n) AS position, arg_max(so, n) AS owner FROM s GROUP BY projection UNION ALL SELECT 'never', 0, NULL")
+@query(f"WITH {SAVES_SQL} SELECT projection, tk AS tenant_id, arg_max(sp, n) AS position, arg_max({{'so': so}}, n).so AS owner FROM s GROUP BY projection, tk UNION ALL SELECT 'never', '', 0, NULL")
 def checkpoint_load(spark: SparkSession, d: str) -> DataFrame:
     stored = replay.stored_checkpoints(replay.checkpoint_saves(_saves(spark, d)))
-    names = stored.select("projection").unionByName(spark.createDataFrame([("never",)], "projection string"))
-    return replay.load_checkpoints(names, stored).join(stored.select("projection", "owner"), "projection", "left")
+    names = stored.select("projection", "tenant_id").unionByName(spark.createDataFrame([("never", "")], "projection string, tenant_id string"))
+    return replay.load_checkpoints(names, stored)
+
+
+@query(f"""WITH {SAVES_SQL}, f AS (SELECT projection, tk, owner, min(seq) AS halted_at FROM s WHERE outcome = 'fenced' GROUP BY projection, tk, owner)
+SELECT f.projection, f.tk AS tenant_id, f.owner, f.halted_at, CAST(sum(CASE WHEN s.seq > f.halted_at THEN 1 ELSE 0 END) AS BIGINT) AS saves_dropped
+FROM f JOIN s ON s.projection = f.projection AND s.tk = f.tk AND s.owner IS NOT DISTINCT FROM f.owner GROUP BY ALL""")
+def fence_drop(spark: SparkSession, d: str) -> DataFrame:
+    saves = replay.checkpoint_saves(_saves(spark, d)).withColumn("tenant_id", tenant_key(F.col("tenant_id")))
+    return replay.dropped(saves)
 
 
 # ---------------------------------------------------------------- outbox and housekeeping

@@ -3,29 +3,24 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, fields
 from datetime import timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: What an append expects of its stream; 1 and more is an exact last version.
 ANY, NO_STREAM, EMPTY_STREAM, STREAM_EXISTS = -2, -1, 0, -3
 
-# Table schemas, as DDL.
-METADATA = "struct<message_id:string,correlation_id:string,causation_id:string,timestamp:timestamp,user:string,tenant_id:string,trace_parent:string,trace_state:string,extensions:map<string,string>>"
+# Table schemas, as DDL: of metadata as it is coded, and of the stored log and outbox.
+METADATA = "message_id string, correlation_id string, causation_id string, user string, tenant_id string, trace_parent string, extensions map<string,string>"
 EVENT_LOG = (
     "global_position long, stream_id string, category string, version long, event_id string, event_type string, "
-    f"schema_version int, payload string, tenant_id string, metadata {METADATA}, created_at timestamp"
+    "schema_version int, payload string, tenant_id string, metadata string, created_at timestamp_ntz"
 )
-APPEND_REQUEST = "batch_id string, stream_id string, expected_version long, seq int, event_id string, event_type string, schema_version int, payload string, tenant_id string"
-APPEND_RESULT = "batch_id string, stream_id string, outcome string, next_expected_version long, last_global_position long, deduplicated boolean, actual_version long"
-SNAPSHOTS = "stream_id string, version long, schema_version int, state string, taken_at timestamp"
-CHECKPOINTS = "projection string, tenant_id string, position long, owner string, updated_at timestamp"
-OUTBOX = "id long, message_id string, event_type string, payload string, metadata string, tenant_id string, created_at timestamp, published_at timestamp"
-RESERVATIONS = "tenant_id string, scope string, value string, owner string, expires_at timestamp, confirmed boolean"
-IDEMPOTENCY = "tenant_id string, idempotency_key string, result binary, expires_at timestamp"
-DEAD_LETTERS = "projection string, tenant_id string, global_position long, event_id string, error string, attempts int, first_failed_at timestamp"
+OUTBOX = "id long, message_id string, event_type string, payload string, metadata string, tenant_id string, created_at timestamp_ntz, published_at timestamp_ntz"
 
 MAX_USER = 128
 MAX_ERROR = 4096
@@ -89,3 +84,22 @@ def validated(options):
     if wrong:
         raise ValueError("; ".join(wrong))
     return options
+
+
+def migrations_to_run(steps: dict[int, str], done: Iterable[int]) -> list[tuple[int, str]]:
+    """The steps (version -> name) that a store still lacks, in the order of their versions.
+
+    Versions start at 1; a store that has steps unknown here was made by a later release and is refused.
+    """
+    done = set(done)
+    if any(v < 1 for v in steps):
+        raise ValueError("versions start at 1")
+    if unknown := sorted(done - set(steps)):
+        raise ValueError(f"the store has unknown migrations: {unknown}")
+    return [(v, steps[v]) for v in sorted(steps) if v not in done]
+
+
+def pending_migrations(steps: DataFrame, done: DataFrame) -> DataFrame:
+    """``migrations_to_run`` for many stores at once: steps (store, version, name), done (store, version), with ``place`` in order."""
+    rest = steps.join(done.select("store", "version").distinct(), ["store", "version"], "left_anti")
+    return rest.withColumn("place", F.row_number().over(Window.partitionBy("store").orderBy("version")))

@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..schema import category_of
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def user_log(spark: SparkSession, folder: str, versions: bool = True) -> DataFrame:
+def user_log(spark: SparkSession, folder: str, versions: bool = True, after: int | None = None, upto: int | None = None, user: int | None = None, types: Iterable[str] | None = None) -> DataFrame:
     """One stream per user; the event id gives the position, so that no global sort is needed.
 
-    Without ``versions`` the log needs no shuffle at all, for reads that go by position.
+    Without ``versions`` the log needs no shuffle at all, for reads that go by position. The bounds
+    (after < position <= upto, one user, some types) are put on the stored columns and reach the scan;
+    versions count a user's events from the first, so that only the bound on the user goes with them.
     """
+    if versions and not (after is None and upto is None and types is None):
+        raise ValueError("versions need all events of a stream")
     e = table(spark, folder, "events")
+    if after is not None:
+        e = e.filter(F.col("event_id") > after - 1)
+    if upto is not None:
+        e = e.filter(F.col("event_id") <= upto - 1)
+    if user is not None:
+        e = e.filter(F.col("user_id") == user)
+    if types is not None:
+        e = e.filter(F.col("event_type").isin(list(types)))
     log = e.select(
         (F.col("event_id") + 1).alias("global_position"),
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("stream_id"),
@@ -44,22 +56,20 @@ def with_versions(log: DataFrame) -> DataFrame:
 def order_log(spark: SparkSession, folder: str) -> DataFrame:
     """One stream per order: placed, its lines in the order of all their columns, cancelled when pending.
 
-    Positions are not needed by the folds over it; ``version`` orders each stream.
+    ``place`` orders each stream, and ``o_orderkey`` is its key; a fold that sorts by place needs one
+    shuffle, on that number.
     """
     orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
-    stream = lambda key: F.concat(F.lit("order-"), F.col(key).cast("string")).alias("stream_id")
-    nothing = F.lit(None).cast("double")
-    placed = orders.select(stream("o_orderkey"), F.lit(0).alias("step"), F.lit(0).alias("line"), F.lit("OrderPlaced").alias("event_type"), nothing.alias("quantity"))
-    w = Window.partitionBy("l_orderkey").orderBy(*sorted(lines.columns))
-    added = lines.select(
-        stream("l_orderkey"), F.lit(1).alias("step"), F.row_number().over(w).alias("line"), F.lit("OrderLineAdded").alias("event_type"), F.col("l_quantity").alias("quantity")
-    )
-    cancelled = orders.filter("o_orderstatus = 'P'").select(
-        stream("o_orderkey"), F.lit(2).alias("step"), F.lit(0).alias("line"), F.lit("OrderCancelled").alias("event_type"), nothing.alias("quantity")
-    )
-    log = placed.unionByName(added).unionByName(cancelled)
-    v = Window.partitionBy("stream_id").orderBy("step", "line")
-    return log.withColumn("version", (F.row_number().over(v) - 1).cast("long")).drop("step", "line").withColumn("category", category_of(F.col("stream_id")))
+    row = F.struct(*sorted(lines.columns))
+    nothing, none = F.lit(None).cast("double"), F.lit(None).cast(lines.select(row.alias("r")).schema["r"].dataType)
+
+    def place(step: int, line):
+        return F.struct(F.lit(step).alias("step"), line.alias("line")).alias("place")
+
+    placed = orders.select("o_orderkey", place(0, none), F.lit("OrderPlaced").alias("event_type"), nothing.alias("quantity"))
+    added = lines.select(F.col("l_orderkey").alias("o_orderkey"), place(1, row), F.lit("OrderLineAdded").alias("event_type"), F.col("l_quantity").alias("quantity"))
+    cancelled = orders.filter("o_orderstatus = 'P'").select("o_orderkey", place(2, none), F.lit("OrderCancelled").alias("event_type"), nothing.alias("quantity"))
+    return placed.unionByName(added).unionByName(cancelled)
 
 
 def conversation_log(spark: SparkSession, folder: str) -> DataFrame:

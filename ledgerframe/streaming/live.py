@@ -31,13 +31,17 @@ def first_deliveries(stream: DataFrame, lag: str, time: str = "created_at") -> D
 
 
 def project(stream: DataFrame, types: list[str] | None, apply: Callable[[DataFrame, int], None], checkpoint: str, drain: bool = True, poll: str = "200 milliseconds") -> StreamingQuery:
-    """Run ``apply(batch, batch_id)`` per micro-batch on events of the given types.
+    """Run ``apply(batch, batch_id)`` per micro-batch on events of the given types, sorted by position.
 
     ``drain`` stops at the mark reached at the start, otherwise polls. A batch that is delivered
     again after a restart has its old id: ``apply`` must be idempotent by it.
     """
     wanted = stream if types is None else stream.filter(F.col("event_type").isin(types) if types else F.lit(False))
-    writer = wanted.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+    def ordered(batch: DataFrame, n: int) -> None:
+        apply(batch.orderBy("global_position") if "global_position" in batch.columns else batch, n)
+
+    writer = wanted.writeStream.foreachBatch(ordered).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=poll)).start()
 
 
@@ -67,13 +71,13 @@ def counts_by_type(stream: DataFrame, checkpoint: str, name: str) -> StreamingQu
     return counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def registrations(stream: DataFrame, key: str, time: str, retention_seconds: int) -> DataFrame:
+def registrations(stream: DataFrame, key: str, time: str, retention_seconds: int, forget: bool = False) -> DataFrame:
     """Idempotency as a stateful stream: key, at and outcome (new, active, expired) of every request.
 
-    State is one expiry per key; it goes when its time is up in event time.
+    State is one expiry per key. No watermark is involved, so that a late request is judged and never
+    dropped. With ``forget`` a key's state goes when nobody has asked for twice its retention of processing
+    time: for queries that keep running, since one that drains would wait for that.
     """
-    from datetime import datetime
-
     import pandas as pd
 
     def step(k, batches, state):
@@ -81,18 +85,24 @@ def registrations(stream: DataFrame, key: str, time: str, retention_seconds: int
             state.remove()
             return
         expires = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(time)
-        out = []
-        for at in rows[time]:
-            ms = int(at.timestamp() * 1000) if isinstance(at, (datetime, pd.Timestamp)) else int(at)
-            if expires is None or expires <= ms:
-                out.append((k[0], at, "new" if expires is None else "expired"))
-                expires = ms + 1000 * retention_seconds
-            else:
-                out.append((k[0], at, "active"))
-        state.update((expires,))
-        if state.getCurrentWatermarkMs() < expires:
-            state.setTimeoutTimestamp(expires)
-        yield pd.DataFrame(out, columns=["key", "at", "outcome"])
-
-    return stream.groupBy(F.col(key)).applyInPandasWithState(step, "key string, at timestamp, outcome string", "expires long", "append", "EventTimeTimeout")
+        for batch in batches:  # chunk by chunk: a key's requests are never gathered
+            out = []
+            for at in batch[time].sort_values():
+                ms = int(at.timestamp() * 1000)
+                if expires is None or expires <= ms:
+                    out.append((k[0], at, "new" if expires is None else "expired"))
+                    expires = ms + 1000 * retention_seconds
+                else:
+                    out.append((k[0], at, "active"))
+            yield pd.DataFrame(out, columns=["key", "at", "outcome"])
+        if expires is not None:
+            state.update((expires,))
+            if forget:
+                state.setTimeoutDuration(2000 * retention_seconds)
+
+    return stream.groupBy(F.col(key)).applyInPandasWithState(step, "key string, at timestamp, outcome string", "expires long", "append", "ProcessingTimeTimeout" if forget else "NoTimeout")
+
+
+def limited(spark: SparkSession, folder: str, schema: StructType, options, pattern: str | None = None) -> tuple[DataFrame, str]:
+    """A tail read that takes a bounded number of files a batch, and the poll interval, as ``ProjectionOptions`` say."""
+    return tail(spark, folder, schema, pattern, max(1, options.pending_threshold // options.batch_size)), f"{int(options.poll_interval.total_seconds() * 1000)} milliseconds"

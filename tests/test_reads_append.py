@@ -127,6 +127,92 @@ def test_transaction_commits_once_or_not_at_all(spark, stored):
         t.commit(now())
 
 
+def test_transaction_takes_several_appends_of_a_stream(spark, stored):
+    asked = spark.createDataFrame([("s",)], "stream_id string")
+    with Transaction(stored) as t:
+        t.append(request(spark, ("z", "s", NO_STREAM, ["a", "b"])))
+        t.append(request(spark, ("a", "s", 1, ["c"])))
+        assert t.heads(asked).first()["current_version"] == 2
+        assert outcomes(t.commit(now())) == {"z": ("appended", 1, 2), "a": ("appended", 2, 3)}
+    assert len(stored.commits()) == 1
+    with Transaction(stored) as t, pytest.raises(CommitConflict):  # the second does not hold, so the first is not written
+        t.append(request(spark, ("1", "s", 2, ["d"])))
+        t.append(request(spark, ("2", "s", 2, ["e"])))
+        t.commit(now())
+    assert stored.read().count() == 3 and len(stored.commits()) == 1
+
+
+def test_outbox_rows_and_events_are_one_commit(spark, stored):
+    from ledgerframe.operators.outbox import Collector
+
+    c = Collector()
+    c.collect({"message_id": "m1", "event_type": "t", "payload": "{}"})
+    with Transaction(stored) as t, pytest.raises(CommitConflict):
+        t.append(request(spark, ("1", "s", 7, ["a"])))
+        t.flush(c)
+        t.commit(now())
+    assert stored.outbox().count() == 0 and stored.commits() == []
+    for k in (1, 2):  # the same message a second time is refused
+        c.collect({"message_id": "m1", "event_type": "t", "payload": "{}"})
+        with Transaction(stored) as t:
+            t.append(request(spark, (str(k), "s", ANY, [f"e{k}"])))
+            t.flush(c)
+            if k == 1:
+                t.commit(now())
+            else:
+                with pytest.raises(CommitConflict):
+                    t.commit(now())
+    assert [(r["id"], r["tenant_id"], r["published_at"]) for r in stored.outbox().collect()] == [(1, "", None)]
+    stored.mark_published(stored.outbox(), now())
+    assert stored.outbox().first()["published_at"] is not None and stored.read().count() == 1
+    with Transaction(stored) as t, pytest.raises(TypeError):
+        t.flush("no collector")
+
+
+def test_a_writer_that_dies_leaves_no_commit(spark, stored, tmp_path):
+    stored.append(request(spark, ("1", "s", NO_STREAM, ["a"])), now())
+    (tmp_path / "log" / "commits" / ".half.draft").write_text('{"n": 2')
+    assert stored.read().count() == 1
+    assert not stored.files.create("commits/000000000001.json", {"n": 1})  # never overwritten
+    assert stored.commits()[0]["events"] == 1
+    stored.append(request(spark, ("2", "s", ANY, ["b"])), now())
+    assert stored.read().count() == 2
+
+
+def test_commit_lists_shorten_opening(spark, stored):
+    for n in range(1, 4):
+        stored.files.create(f"commits/{n:012d}.json", {"n": n, "data": None, "outbox": None, "events": 0, "last_position": 0, "last_outbox": 0})
+    stored.files.create("commits/upto-000000000002.json", {"commits": stored.commits()[:2]})
+    stored.files.delete("commits/000000000001.json")  # what a list holds is not read again
+    assert [c["n"] for c in stored.commits()] == [1, 2, 3]
+
+
+def test_repository(spark, stored):
+    from ledgerframe.operators.aggregates import Repository
+
+    books = Repository(stored, lambda: 0, lambda state, kind, payload: state + (kind == "up"))
+    assert books.load("c-1") is None
+    a, read = books.fetch_for_writing("c-1")
+    assert read == -1
+    for kind in ("up", "up", "odd"):
+        a.raise_event(kind, "{}")
+    assert books.save(a, read, "m1", now())["outcome"] == "appended" and a.uncommitted == []
+    b, read = books.fetch_for_writing("c-1")
+    assert (b.state, b.version, read) == (2, 2, 2)
+    for kind in ("up", "up", "odd"):
+        a.raise_event(kind, "{}")
+    assert books.save(a, 2, "m1", now())["deduplicated"] and a.uncommitted == []  # the answer was lost, the ids are the same
+    b.raise_event("up", "{}")
+    with pytest.raises(CommitConflict):
+        books.save(b, 1, "m2", now())
+    assert books.save(b, 2, "m2", now())["next_expected_version"] == 3
+    assert books.save(b, 3, "m3", now())["outcome"] == "noop"
+    warm = Repository(stored, lambda: 0, books.step, snapshots={"c-1": (2, 1, 100), "c-2": (5, 9, 1)})
+    assert warm.load("c-1").state == 101 and warm.load("c-2") is None
+    with pytest.raises(RuntimeError):
+        b.restore(0, 5)
+
+
 def test_random_appends_follow_a_plain_model(spark, stored):
     r = random.Random(3)
     model, position = {}, 0

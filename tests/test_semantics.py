@@ -54,6 +54,10 @@ def test_checkpoint_fencing(spark):
     saves = spark.createDataFrame(rows, "projection string, seq long, owner string, position long")
     assert [r["outcome"] for r in replay.checkpoint_saves(saves).orderBy("seq").collect()] == ["applied", "fenced", "applied", "backward", "fenced", "applied", "fenced"]
     assert [r["outcome"] for r in replay.checkpoint_saves(saves, fencing=False).orderBy("seq").collect()] == ["applied"] * 3 + ["backward"] * 2 + ["applied"] * 2
+    for width in (2, 3):  # ranges change nothing
+        assert replay.checkpoint_saves(saves, width=width).orderBy("seq").collect() == replay.checkpoint_saves(saves).orderBy("seq").collect()
+    unowned = spark.createDataFrame([("p", 1, None, 5), ("p", 2, None, 5), ("p", 3, "a", 4), ("p", 4, "a", 5), ("p", 5, None, 5), ("p", 6, "b", 5)], "projection string, seq long, owner string, position long")
+    assert [(r["outcome"], r["stored_owner"]) for r in replay.checkpoint_saves(unowned, width=2).orderBy("seq").collect()] == [("applied", None), ("applied", None), ("backward", None), ("applied", "a"), ("fenced", "a"), ("fenced", "a")]
     last = replay.stored_checkpoints(replay.checkpoint_saves(saves)).first()
     assert (last["position"], last["owner"]) == (6, "b")
 
@@ -213,7 +217,8 @@ def test_streamed_dedup_and_registration(spark, tmp_path):
 def test_one_lease_per_projection_and_tenant(spark, tmp_path):
     from ledgerframe.operators.leases import Leases
 
-    leases = Leases(spark, str(tmp_path / "leases"))
+    now = [0.0]
+    leases = Leases(spark, str(tmp_path / "leases"), timedelta(seconds=10), lambda: now[0])
     first = leases.try_acquire("p")
     assert first.is_held() and leases.try_acquire("p", "") is None
     other = leases.try_acquire("p", "t/1")
@@ -224,6 +229,85 @@ def test_one_lease_per_projection_and_tenant(spark, tmp_path):
     assert again.is_held() and not first.is_held()
     first.release()
     assert again.is_held()
+    now[0] = 9.0
+    assert again.renew() and other.renew()
+    now[0] = 18.0
+    assert again.is_held() and leases.try_acquire("p") is None
+    now[0] = 30.0  # its holder died
+    after = leases.try_acquire("p")
+    assert after.is_held() and not again.is_held() and not again.renew()
+
+
+def test_housekeeper_is_single_and_survives_failures(spark, tmp_path):
+    from ledgerframe.operators.leases import Leases
+
+    leases, ran = Leases(spark, str(tmp_path / "leases")), []
+
+    def sweep():
+        ran.append(leases.try_acquire("housekeeping"))  # another one finds it taken
+        if len(ran) == 1:
+            raise RuntimeError("no disk")
+        keeper.stopped = len(ran) == 3
+
+    keeper = outbox.Housekeeper(leases, sweep, sleep=lambda s: None)
+    keeper.run()
+    assert ran == [None] * 3
+    off = outbox.Housekeeper(leases, sweep, HousekeepingOptions(interval=timedelta(0)))
+    off.run()
+    assert len(ran) == 3
+
+
+def test_collector_hands_over_in_order_and_is_empty_then(spark):
+    c = outbox.Collector()
+    assert c.drain(spark) is None
+    c.collect({"message_id": "b", "event_type": "t", "payload": "{}"})
+    c.collect(spark.createDataFrame([("c", "t", "{}", 2), ("a", "t", "{}", 1)], "message_id string, event_type string, payload string, seq int"))
+    with pytest.raises(ValueError):
+        c.collect({"message_id": "x"})
+    assert [r["message_id"] for r in c.drain(spark).orderBy("seq").collect()] == ["b", "a", "c"]
+    assert c.drain(spark) is None
+
+
+def test_metadata_is_checked_when_it_is_read(spark):
+    read = lambda text: spark.createDataFrame([(text,)], "m string").select(ids.metadata_of(F.col("m")).alias("m")).first()["m"]
+    assert read('{"message_id": "a", "user": "u1", "extensions": {"k": "v"}}').extensions == {"k": "v"}
+    for wrong in ("{", "null", '{"user": 7}', '{"user": "a@b"}', '{"user": {"value": "u"}}', None):
+        with pytest.raises(Exception):  # noqa: B017
+            read(wrong)
+
+
+def test_restore_needs_a_fresh_aggregate(spark):
+    snapshots = folds.captured(spark.createDataFrame([("s", 4, 9)], "stream_id string, version long, counter long"))
+    fresh = spark.createDataFrame([("s", -1), ("t", -1)], "stream_id string, version long")
+    assert {tuple(r) for r in folds.restored(fresh, snapshots, "counter long").collect()} == {("s", 4, 9), ("t", -1, None)}
+    with pytest.raises(Exception, match="restored over version 2"):
+        folds.restored(fresh.withColumn("version", F.lit(2).cast("long")), snapshots, "counter long").collect()
+
+
+def test_migrations_run_once_in_order():
+    from ledgerframe.schema import migrations_to_run
+
+    steps = {3: "c", 1: "a", 2: "b"}
+    assert migrations_to_run(steps, []) == [(1, "a"), (2, "b"), (3, "c")]
+    assert migrations_to_run(steps, [1, 2]) == [(3, "c")]
+    with pytest.raises(ValueError):
+        migrations_to_run(steps, [4])
+    with pytest.raises(ValueError):
+        migrations_to_run({0: "x"}, [])
+
+
+def test_diamonds_of_upcasters_are_walked_once_and_bounded():
+    def layers(n):
+        return [upcast.Upcaster(f"L{k}", 1, ((f"L{k + 1}", 1, one("a")), (f"L{k + 1}", 1, one("b")))) for k in range(n)]
+
+    assert upcast.Upcasters(layers(4)).depth == 4
+    with pytest.raises(upcast.UpcasterCycle, match="steps"):
+        upcast.Upcasters(layers(60))
+
+
+def test_a_fold_of_many_events_never_throws(spark):
+    log = spark.range(100_000).select(F.lit("s").alias("stream_id"), F.col("id").alias("version"), F.when(F.col("id") % 3 == 0, "OrderLineAdded").otherwise("x").alias("event_type"), F.lit(1.0).alias("quantity"))
+    assert folds.order_states(log).first()["version"] == 99_999
 
 
 def test_relay_marks_what_it_published(spark):
