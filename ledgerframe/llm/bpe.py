@@ -44,7 +44,7 @@ EDGE = 2048
 #: Characters on either side of a cut that the first window takes.
 REACH = 256
 #: Bytes that a worker process keeps of runs it has met, and the longest run that is kept.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 96 << 20
 CACHED_RUN = 256
 _ENTRY = 400
 #: Characters of long text that one task is dealt.
@@ -117,12 +117,30 @@ class Codec:
         self.runs = _PIECES if self.by_pieces else _RUN
 
     def _forget(self) -> None:
+        """Half the cache starts anew; what it held stays at hand until the half fills up again, and is kept if met."""
+        self.older = getattr(self, "ids", {}), getattr(self, "decoded", {})
         #: Of each run met: its ids as text joined by blanks, its decoded text; and runs without any id.
         self.ids: dict[str, str] = {}
         self.decoded: dict[str, str] = {}
         self.void: set[str] = set()
         self.held = 0
 
+    def _keep(self, w: str, joined: str, decoded: str) -> None:
+        self.ids[w], self.decoded[w] = joined, decoded
+        self.held += _ENTRY + 4 * len(w) + len(joined) + 4 * len(decoded)
+        if not joined:
+            self.void.add(w)
+
+    def _missing(self, words: set[str]) -> set[str]:
+        """Those of ``words`` that have to be encoded."""
+        if self.held > self.cache_bytes // 2:
+            self._forget()
+        missing = words.difference(self.ids)
+        ids, decoded = self.older
+        for w in missing.intersection(ids):
+            self._keep(w, ids[w], decoded[w])
+        return missing.difference(ids)
+
     def _has_word_form(self) -> bool:
         form = json.loads(self.tokenizer.to_str())
         kinds = [n.get("type") for n in (form.get("normalizer") or {}).get("normalizers", [])]
@@ -155,18 +173,12 @@ class Codec:
             found += [e.ids for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)]
         decoded = self.tokenizer.decode_batch(found, skip_special_tokens=False) if self.joins else [""] * len(found)
         for w, ids, d in zip(done, found, decoded):
-            self.ids[w] = joined = " ".join(map(str, ids))
-            self.decoded[w] = d
-            self.held += _ENTRY + 4 * len(w) + len(joined) + 4 * len(d)
-            if not ids:
-                self.void.add(w)
+            self._keep(w, " ".join(map(str, ids)), d)
 
     def encode(self, texts: list[str | None]) -> list[tuple[str, str]]:
         """The ids as text joined by blanks, and the decoded text, of each of a slice of texts."""
-        if self.held > self.cache_bytes:
-            self._forget()
         parts = [self.runs.findall(text or "") for text in texts]
-        missing = set().union(*parts).difference(self.ids) if parts else set()
+        missing = self._missing(set().union(*parts))
         if missing:
             self._learn(list(missing))
         out = []
@@ -191,10 +203,8 @@ class Codec:
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of ``text`` and their places: those of the run for a cached one, of the token itself in a longer one."""
-        if self.held > self.cache_bytes:
-            self._forget()
         spans = [(m.group(), m.start(), m.end()) for m in self.runs.finditer(text)]
-        missing = {w for w, _, _ in spans if len(w) <= CACHED_RUN}.difference(self.ids)
+        missing = self._missing({w for w, _, _ in spans if len(w) <= CACHED_RUN})
         if missing:
             self._learn(list(missing))
         ids, places = [], []

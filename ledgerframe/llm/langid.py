@@ -35,7 +35,7 @@ ROUNDS = 8
 SAMPLE_TEXTS = 8000
 SAMPLE_PER_LANGUAGE = 1000
 REJECT = 0.5
-SLICE_TEXTS = 256
+SLICE_TEXTS = 64
 
 _KEEP = np.zeros(256, bool)
 _KEEP[ord("a") : ord("z") + 1] = True
@@ -123,6 +123,25 @@ def _clusters(x: np.ndarray) -> np.ndarray:
     return centroids
 
 
+def _shares(df: DataFrame, values: dict[str, float]) -> DataFrame:
+    """A small table (lang, share) to be broadcast; one row a language."""
+    return F.broadcast(df.sparkSession.createDataFrame(list(values.items()), "lang string, share double"))
+
+
+def _vectors(sample: DataFrame) -> DataFrame:
+    """lang, h (a hash of the text) and the gram counts of each text: at most ``BINS`` of 6 bytes, however long the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _small(batches):
+            counts = gram_counts(part.column(2))
+            held = [np.flatnonzero(row) for row in counts]
+            bins = pa.array([h.astype(np.uint16).tobytes() for h in held], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), bins, pa.array([row[h].tobytes() for row, h in zip(counts, held)], pa.binary())], ["lang", "h", "bins", "counts"])
+
+    lower = F.lower(F.col("text"))
+    return sample.select("lang", F.xxhash64(lower).alias("h"), lower.alias("text")).mapInArrow(run, "lang string, h long, bins binary, counts binary")
+
+
 def fit(labelled: DataFrame) -> Model | None:
     """A model from the rows of ``labelled`` (doc_id, text, lang) whose lang and text are usable."""
     usable = labelled.filter(F.col("lang").isNotNull() & text_or_empty().rlike(r"\p{L}")).select("doc_id", "text", "lang")
@@ -134,15 +153,19 @@ def fit(labelled: DataFrame) -> Model | None:
     df, texts = document_frequencies(usable)
     idf = (np.log((1 + texts) / (1 + df)) + 1).astype(np.float32)
     slot = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(4)), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, each / sizes[k]))])
-    sample = usable.filter(slot < share[F.col("lang")]).withColumn("text", F.lower(F.col("text"))).select("lang", "text", F.xxhash64("text").alias("h"))
-    rows = sorted(sample.collect(), key=lambda r: (r["lang"], r["h"]))
+    share = _shares(usable, {k: min(1.0, each / sizes[k]) for k in languages})
+    sample = usable.join(share, "lang").withColumn("slot", slot)
+    # A tiny language that the hash left out entirely gives the text of its smallest slot.
+    least = usable.withColumn("slot", slot).groupBy("lang").agg(F.min("slot").alias("least"))
+    sample = sample.join(F.broadcast(least), "lang").filter((F.col("slot") < F.col("share")) | (F.col("slot") == F.col("least")))
+    rows = sorted(_vectors(sample).collect(), key=lambda r: (r["lang"], r["h"], bytes(r["bins"])))
     centroids, owners, cosines = [], [], []
     for k, lang in enumerate(languages):
-        mine = [r["text"] for r in rows if r["lang"] == lang]
-        if not mine:  # a tiny language that the hash left out entirely: take its texts as they are
-            mine = [r["text"] for r in usable.filter(F.col("lang") == lang).select(F.lower("text").alias("text")).limit(each).collect()]
-        x = np.concatenate([weigh(gram_counts(pa.array(mine[a : a + SLICE_TEXTS])), idf) for a in range(0, len(mine), SLICE_TEXTS)])
+        mine = [r for r in rows if r["lang"] == lang]
+        x = np.zeros((len(mine), BINS), np.float32)
+        for row, r in zip(x, mine):
+            row[np.frombuffer(r["bins"], np.uint16)] = np.frombuffer(r["counts"], np.float32)
+        x = weigh(x, idf)
         c = _clusters(x)
         centroids.append(c)
         owners += [k] * len(c)

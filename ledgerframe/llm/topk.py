@@ -1,12 +1,14 @@
 """Exact top-k search by inner product: one KD-tree per shard, searched best box first.
 
-Vectors are dealt into shards by a hash of their id; each shard's tree splits the widest side of
-its box at the median down to small leaves and keeps the tight box of every leaf; inner boxes are
-not kept, so the search ranks all leaves and prunes no subtree at once. A box bounds the
-inner product with a query from above (each side gives the larger of its two end products), so
-leaves are visited in the order of their bounds until the bound falls below the query's kth score.
-That kth score starts from the query block searched against itself and travels from tree to tree
-of a task. Queries come in blocks of bounded size, one pass over the index each.
+Vectors are dealt into shards by a hash of their id; each shard's tree splits the widest side of a
+box at the median down to small leaves and keeps the tight box of every node. A box bounds the
+inner product with a query from above (each side gives the larger of its two end products). The
+search of a tree starts at its root: the open node of the largest bound is taken next, an inner one
+is replaced by its children, a leaf's vectors are scored, and the search ends when the largest open
+bound falls below the query's kth score; subtrees below it are never looked at. All queries of a block
+take such a step at once. The kth score starts from the query block compared with itself, by tasks
+that share its rows, and travels from tree to tree of a task. Queries come in blocks of bounded size,
+one pass over the index each.
 
 Defined results: rows without id, null vectors and vectors holding null or non-finite components
 take no part. Vectors are compared only with vectors of their own length (a zero-length one scores
@@ -46,26 +48,33 @@ def quantised(vectors: DataFrame, scale: int = 1024, id_col: str = "vec_id", vec
 
 
 def build(ids: np.ndarray, v: np.ndarray) -> dict:
-    """A KD-tree: rows in leaf order, leaf bounds, and the tight box of every leaf."""
-    order, leaves = [], []
-    stack = [np.arange(len(ids))]
-    while stack:
-        rows = stack.pop()
-        lo, hi = (v[rows].min(axis=0), v[rows].max(axis=0)) if v.shape[1] else (v[0], v[0])
-        side = int(np.argmax(hi - lo)) if v.shape[1] else 0
-        if len(rows) <= LEAF_ROWS or not v.shape[1] or hi[side] == lo[side]:
-            # a box of equal vectors can't be split; its rows are cut into leaves by id
+    """A KD-tree as arrays: rows in leaf order; of each node its tight box, children (-1 for a leaf) and rows (of a leaf).
+
+    The root is node 0. A box of equal vectors can't be split by a side; its rows are halved by id.
+    """
+    lo, hi, children, span, order, done = [], [], [], [], [], 0
+    todo = [(np.arange(len(ids)), -1, 0)]
+    while todo:
+        rows, parent, which = todo.pop()
+        node = len(lo)
+        if parent >= 0:
+            children[parent][which] = node
+        lo.append(v[rows].min(axis=0))
+        hi.append(v[rows].max(axis=0))
+        children.append([-1, -1])
+        span.append((0, 0))
+        if len(rows) <= LEAF_ROWS:
             rows = rows[np.argsort(ids[rows], kind="stable")]
-            for at in range(0, len(rows), LEAF_ROWS):
-                order.append(rows[at : at + LEAF_ROWS])
-                leaves.append((lo, hi))
+            order.append(rows)
+            span[node] = (done, done + len(rows))
+            done += len(rows)
             continue
         half = len(rows) // 2
-        by = np.argpartition(v[rows, side], half)
-        stack += [rows[by[:half]], rows[by[half:]]]
+        side = int(np.argmax(hi[node] - lo[node])) if v.shape[1] else -1
+        by = np.argpartition(v[rows, side], half) if side >= 0 and hi[node][side] > lo[node][side] else np.argsort(ids[rows], kind="stable")
+        todo += [(rows[by[half:]], node, 1), (rows[by[:half]], node, 0)]
     perm = np.concatenate(order)
-    ends = np.cumsum([len(x) for x in order])
-    return {"ids": ids[perm], "v": v[perm], "ends": ends, "lo": np.array([x[0] for x in leaves]), "hi": np.array([x[1] for x in leaves])}
+    return {"ids": ids[perm], "v": v[perm], "lo": np.array(lo), "hi": np.array(hi), "children": np.array(children), "span": np.array(span)}
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -98,23 +107,34 @@ class Best:
         self.scores[rows], self.ids[rows] = np.take_along_axis(s, by, 1), np.take_along_axis(i, by, 1)
 
 
-def search(tree: dict, q: np.ndarray, best: Best) -> None:
-    """Best-first over the leaves of one tree for all queries at once, a leaf a query a round."""
+def search(tree: dict, q: np.ndarray, best: Best) -> int:
+    """Best-first from the root of one tree for all queries, one node a query a step; how many nodes were opened."""
     up, down = np.maximum(q, 0), np.minimum(q, 0)
-    bound = products(up, tree["hi"]) + products(down, tree["lo"])
-    visit = np.argsort(-bound.astype(np.float64), axis=1, kind="stable")
-    starts = np.concatenate([[0], tree["ends"][:-1]])
-    alive = np.arange(len(q))
-    for r in range(visit.shape[1]):
-        leaf = visit[alive, r]
-        open_ = bound[alive, leaf] >= best.kth(alive)
-        alive, leaf = alive[open_], leaf[open_]
-        if not len(alive):
-            return
-        for one in np.unique(leaf):
-            rows = alive[leaf == one]
-            a, b = starts[one], tree["ends"][one]
-            best.offer(rows, products(q[rows], tree["v"][a:b]), tree["ids"][a:b])
+    children, span = tree["children"], tree["span"]
+
+    def bounds(rows, node):
+        return (products(up[rows], tree["hi"][node : node + 1]) + products(down[rows], tree["lo"][node : node + 1]))[:, 0]
+
+    alive, opened = np.arange(len(q)), 0
+    queue = np.full((len(q), len(children)), LOWEST, np.int64)  # the bounds of each query's open nodes
+    queue[:, 0] = bounds(alive, 0)
+    while len(alive):
+        node = queue[alive].argmax(axis=1)
+        top = queue[alive, node]
+        going = (top > LOWEST) & (top >= best.kth(alive))
+        alive, node = alive[going], node[going]
+        queue[alive, node] = LOWEST
+        opened += len(alive)
+        for one in np.unique(node):
+            rows = alive[node == one]
+            if children[one, 0] >= 0:
+                for child in children[one]:
+                    bound = bounds(rows, child)
+                    queue[rows, child] = np.where(bound >= best.kth(rows), bound, LOWEST)  # what can't reach the kth score is cut off
+            else:
+                a, b = span[one]
+                best.offer(rows, products(q[rows], tree["v"][a:b]), tree["ids"][a:b])
+    return opened
 
 
 def index(vectors: DataFrame) -> DataFrame:
@@ -162,19 +182,13 @@ def _search_block(trees: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     for dim, rows in by_dim.items():
         ids = np.array(sorted(i for i in rows if owner[i] == dim), np.int64)
         v = np.array([rows[i] for i in ids.tolist()], np.int64).reshape(len(ids), dim)
-        floor = np.full(len(ids), LOWEST, np.int64)
-        if len(ids) > k:  # the block against itself gives a first kth score
-            seed = Best(ids, k, floor)
-            for at in range(0, len(ids), 512):
-                rows_ = np.arange(at, min(len(ids), at + 512))
-                for c in range(0, len(ids), 512):
-                    seed.offer(rows_, products(v[rows_], v[c : c + 512]), ids[c : c + 512])
-            floor = seed.scores[:, -1]
-        block[dim] = (ids, v, floor)
-    shared = queries.sparkSession.sparkContext.broadcast(block)
+        block[dim] = (ids, v)
+    context = queries.sparkSession.sparkContext
+    shared = context.broadcast(block)
+    first = context.broadcast(_first_scores(queries, shared, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {dim: Best(ids, k, floor) for dim, (ids, v, floor) in shared.value.items()}
+        best = {dim: Best(ids, k, np.array([first.value.get(i, LOWEST) for i in ids.tolist()], np.int64)) for dim, (ids, _) in shared.value.items()}
         for batch in batches:
             for dim, blob in zip(batch.column(0).to_pylist(), batch.column(2)):
                 if dim in best:
@@ -184,3 +198,24 @@ def _search_block(trees: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"query_id": b.query_ids[row], "id": b.ids[row, at], "score": b.scores[row, at]})
 
     return trees.mapInArrow(run, "query_id long, id long, score long")
+
+
+def _first_scores(queries: DataFrame, shared, k: int) -> dict[int, int]:
+    """A first kth score of each query of a block from the block itself; the block's parts are dealt to tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in range(batch.num_rows):
+                dim, at, to = (batch.column(c)[part].as_py() for c in range(3))
+                ids, v = shared.value[dim]
+                mine, seed = np.arange(to - at), Best(ids[at:to], k, np.full(to - at, LOWEST, np.int64))
+                for c in range(0, len(ids), 512):
+                    seed.offer(mine, products(v[at:to], v[c : c + 512]), ids[c : c + 512])
+                yield pa.RecordBatch.from_pydict({"id": ids[at:to], "kth": seed.scores[:, -1]})
+
+    parts = [(dim, at, min(len(ids), at + 512)) for dim, (ids, _) in shared.value.items() if len(ids) > k for at in range(0, len(ids), 512)]
+    if not parts:
+        return {}
+    spark = queries.sparkSession
+    dealt = spark.createDataFrame(parts, "dim int, low int, high int").repartition(min(len(parts), 2 * spark.sparkContext.defaultParallelism))
+    return {r["id"]: r["kth"] for r in dealt.mapInArrow(run, "id long, kth long").collect()}

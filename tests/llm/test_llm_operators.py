@@ -200,6 +200,33 @@ def test_language_id_on_held_out_text(spark, folder):
     assert {r["doc_id"]: (r["lang_pred"] == "und", r["rejected"]) for r in langid.predict(odd, model).collect()} == {1: (False, True), 2: (True, True), 3: (True, True), 4: (True, True)}
 
 
+def test_language_id_is_the_nearest_centroid(docs, rows):
+    """Grams, weights and cosines again, by plain loops."""
+    model = langid.fit(docs)
+
+    def vector(text):
+        data = "".join(chr(b) if 97 <= b <= 122 or b >= 128 else " " for b in text.lower().encode())
+        data = re.sub(" +", " ", data).encode("latin-1")
+        counts = Counter()
+        for n in range(1, 5):
+            for k in range(len(data) - n + 1):
+                code = int.from_bytes(data[k : k + n], "big")
+                counts[((code * 2654435761 + n * 40503) % (1 << 32)) >> 19] += 1
+        x = {b: np.log1p(c) * model.idf[b] for b, c in counts.items()}
+        norm = np.sqrt(sum(v * v for v in x.values()))
+        return {b: v / norm for b, v in x.items()}
+
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    for doc_id, text, *_ in rows:
+        if doc_id is None or len(text or "") > 3000 or not re.search(r"[^\W\d_]", text or ""):
+            continue
+        x = vector(text)
+        cosines = [sum(v * c[b] for b, v in x.items()) for c in model.centroids]
+        assert got[doc_id]["score"] == pytest.approx(min(1.0, max(cosines)), abs=1e-4)
+        near = {model.languages[model.language_of[k]] for k, c in enumerate(cosines) if c > max(cosines) - 1e-4}
+        assert got[doc_id]["lang_pred"] in near
+
+
 def test_language_id_edges(docs, rows, nothing):
     got = langid.annotated(docs, langid.fit(docs), "__")
     assert got.columns == [*docs.columns, "__lang_pred", "__score", "__rejected"] and got.count() == len(rows)
@@ -540,6 +567,31 @@ def test_toxicity_on_held_out_labels(spark):
     assert caught > 0.85 and blamed < 0.015
 
 
+def test_toxicity_chain_by_plain_loops(spark, docs, rows):
+    """Features, sums and the chain again, one text and one word at a time."""
+    r = random.Random(2)
+    labels = spark.createDataFrame([(k, r.randint(0, 1), k % 2) for k in range(1, 60)], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit(docs, labels, {"low": "quality = 0", "toxic": "toxic = 1"})
+
+    def hashed(data, which):
+        one = common.span_hash(np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1), np.array([0]), np.array([len(data)]), which)
+        return int(one[0] >> np.uint64(46))
+
+    got = {x["doc_id"]: x for x in toxicity.predict(docs, chain).collect()}
+    for doc_id, text, *_ in rows:
+        if doc_id is None or len(text or "") > 3000:
+            continue
+        data, bins = (text or "").lower().encode(), set()
+        for word in re.findall(rb"[a-z\x80-\xff]+", data):
+            bins |= {hashed(word, 0)} | {hashed(word[:k], 1) for k in toxicity.PREFIXES if len(word) >= k}
+        bins |= {hashed(x, 0) for x in re.findall(rb"[!-/:-@\[-`{-~]+", data)}
+        made = []
+        for m in chain.models:
+            z = m.constant + sum(float(m.weights[b]) for b in bins) + sum(w * p for w, p in zip(m.extra, made))
+            made.append(1 / (1 + np.exp(-z)))
+        assert (got[doc_id]["p_low"], got[doc_id]["p_toxic"]) == pytest.approx(tuple(made), abs=1e-5)
+
+
 def test_toxicity_edges(spark, docs, rows, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     chain = toxicity.fit(docs, none, {"low": "quality = 0", "toxic": "toxic = 1"})
@@ -577,6 +629,23 @@ def test_top_k_matches_brute_force(spark):
     assert topk.top_k(topk.quantised(df.limit(0)), F.col("id") % 100 == 0, 10).count() == 0
 
 
+def test_kd_tree_prunes_subtrees():
+    r = np.random.default_rng(5)
+    v = np.concatenate([r.integers(-1000, 1000, (4000, 3)), np.tile([7, 7, 7], (500, 1))]).astype(np.int64)
+    tree = topk.build(np.arange(len(v)), v)
+    for node, (a, b) in enumerate(tree["children"]):
+        for child in (a, b) if a >= 0 else ():
+            assert (tree["lo"][node] <= tree["lo"][child]).all() and (tree["hi"][child] <= tree["hi"][node]).all()
+    q = v[::100]
+    best = topk.Best(np.arange(0, len(v), 100), 10, np.full(len(q), topk.LOWEST))
+    opened = topk.search(tree, q, best)
+    assert opened < len(q) * len(tree["children"]) / 3
+    for k, i in enumerate(range(0, len(v), 100)):
+        scores = v @ q[k]
+        want = sorted((-s, j) for j, s in enumerate(scores.tolist()) if j != i)[:10]
+        assert list(zip(best.ids[k].tolist(), best.scores[k].tolist())) == [(j, -s) for s, j in want]
+
+
 def test_products_beyond_doubles():
     a = np.array([[1 << 40, 3]], np.int64)
     assert topk.products(a, np.array([[1 << 20, 1]], np.int64))[0, 0] == (1 << 60) + 3
