@@ -65,9 +65,26 @@ def order_step(state: Column, event: Column) -> Column:
     )
 
 
-def order_states(log: DataFrame, order: str = "version", key: str = "stream_id") -> DataFrame:
+def order_states(log: DataFrame) -> DataFrame:
     zero = F.struct(F.lit(False).alias("placed"), F.lit(False).alias("cancelled"), F.lit(0).cast("bigint").alias("lines"), F.lit(0.0).alias("quantity")).cast(ORDER_STATE)
-    return fold(log, zero, order_step, ["event_type", "quantity"], order, key).select(key, "version", "state.*")
+    return fold(log, zero, order_step, ["event_type", "quantity"]).select("stream_id", "version", "state.*")
+
+
+def order_sums(log: DataFrame, key: str = "stream_id") -> DataFrame:
+    """What ``order_states`` gives where each stream is placed first and cancelled last, as one partial aggregation.
+
+    Between those two ends an order's steps commute: lines are counted and their quantities summed, with
+    no stream gathered in one row and nothing sorted.
+    """
+    kind = F.col("event_type")
+    adds = kind == "OrderLineAdded"
+    return log.groupBy(key).agg(
+        (F.count("*") - 1).alias("version"),
+        F.max(kind == "OrderPlaced").alias("placed"),
+        F.max(kind == "OrderCancelled").alias("cancelled"),
+        F.sum(adds.cast("bigint")).alias("lines"),
+        F.sum(F.when(adds, F.coalesce("quantity", F.lit(0.0))).otherwise(F.lit(0.0))).alias("quantity"),
+    )
 
 
 # ---------------------------------------------------------------- snapshots

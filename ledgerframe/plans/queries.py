@@ -388,7 +388,7 @@ def fold_counter(spark: SparkSession, d: str) -> DataFrame:
        count(l_orderkey) + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS version
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus""", log=False)
 def fold_order_state(spark: SparkSession, d: str) -> DataFrame:
-    states = folds.order_states(logs.order_log(spark, d), "place", "o_orderkey")
+    states = folds.order_sums(logs.order_log(spark, d), "o_orderkey")
     return states.select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("stream_id"), "version", "placed", "cancelled", "lines", "quantity")
 
 
@@ -399,6 +399,15 @@ def fold_as_of_position(spark: SparkSession, d: str) -> DataFrame:
     return folds.counters(user_log(spark, d, versions=False, upto=half)).select("stream_id", "version", "counter")
 
 
+@query("""SELECT 'order-' || o_orderkey AS stream_id, true AS placed, true AS cancelled, count(l_orderkey) AS lines,
+       CAST(coalesce(sum(CAST(l_quantity AS DECIMAL(18, 2))), 0) AS DOUBLE) AS quantity, count(l_orderkey) + 1 AS version
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' GROUP BY o_orderkey""", log=False)
+def fold_cancelled_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The general fold, in the order of versions, over the orders that end with a cancellation."""
+    log = logs.order_log(spark, d).join(table(spark, d, "orders").filter("o_orderstatus = 'P'").select("o_orderkey"), "o_orderkey", "left_semi")
+    return folds.order_states(logs.with_places(log))
+
+
 RUNNING_SQL = f"running AS (SELECT *, CAST(sum({STEP_SQL}) OVER (PARTITION BY stream_id ORDER BY version) AS BIGINT) AS counter FROM l)"
 
 

@@ -54,22 +54,20 @@ def with_versions(log: DataFrame) -> DataFrame:
 
 
 def order_log(spark: SparkSession, folder: str) -> DataFrame:
-    """One stream per order: placed, its lines in the order of all their columns, cancelled when pending.
-
-    ``place`` orders each stream, and ``o_orderkey`` is its key; a fold that sorts by place needs one
-    shuffle, on that number.
-    """
+    """One stream per order: placed, its lines, cancelled when pending; ``o_orderkey`` is its key, ``step`` and ``line`` order it."""
     orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
-    row = F.struct(*sorted(lines.columns))
-    nothing, none = F.lit(None).cast("double"), F.lit(None).cast(lines.select(row.alias("r")).schema["r"].dataType)
+    nothing = F.lit(None).cast("double")
+    line = F.to_json(F.struct(*sorted(lines.columns)))
+    placed = orders.select("o_orderkey", F.lit(0).alias("step"), F.lit("").alias("line"), F.lit("OrderPlaced").alias("event_type"), nothing.alias("quantity"))
+    added = lines.select(F.col("l_orderkey").alias("o_orderkey"), F.lit(1).alias("step"), line.alias("line"), F.lit("OrderLineAdded").alias("event_type"), F.col("l_quantity").alias("quantity"))
+    cancelled = orders.filter("o_orderstatus = 'P'").select("o_orderkey", F.lit(2).alias("step"), F.lit("").alias("line"), F.lit("OrderCancelled").alias("event_type"), nothing.alias("quantity"))
+    return placed.unionByName(added).unionByName(cancelled)
 
-    def place(step: int, line):
-        return F.struct(F.lit(step).alias("step"), line.alias("line")).alias("place")
 
-    placed = orders.select("o_orderkey", place(0, none), F.lit("OrderPlaced").alias("event_type"), nothing.alias("quantity"))
-    added = lines.select(F.col("l_orderkey").alias("o_orderkey"), place(1, row), F.lit("OrderLineAdded").alias("event_type"), F.col("l_quantity").alias("quantity"))
-    cancelled = orders.filter("o_orderstatus = 'P'").select("o_orderkey", place(2, none), F.lit("OrderCancelled").alias("event_type"), nothing.alias("quantity"))
-    return placed.unionByName(added).unionByName(cancelled)
+def with_places(log: DataFrame) -> DataFrame:
+    """An order log with stream ids, and versions in the order of its steps and lines."""
+    w = Window.partitionBy("o_orderkey").orderBy("step", "line")
+    return log.select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("stream_id"), (F.row_number().over(w) - 1).cast("long").alias("version"), "event_type", "quantity")
 
 
 def conversation_log(spark: SparkSession, folder: str) -> DataFrame:
