@@ -9,8 +9,9 @@ probabilities go in.
 A text's features are its distinct words (runs of letters of the lower-cased text), word
 beginnings of ``PREFIXES`` bytes and runs of signs, hashed into ``BINS`` bins and weighted by the inverse document
 frequency. Frequencies, and the choice of the bins that tell the two values of a category apart
-(by a significant chi-square, in ``LEAST_TEXTS`` texts at least; the best ``FEATURES`` per category), cover
-all labelled texts.
+(in ``LEAST_TEXTS`` texts at least, by a chi-square of ``SIGNIFICANT``), cover all labelled texts. A model
+that predicts a fold chooses its bins from the sampled texts of the other folds alone, so that neither
+its weights nor its features have seen the fold's labels.
 The models are fitted on a bounded sample: about ``SAMPLE`` labelled texts of each value of each
 category at most, chosen by a hash of the id. The threshold is the probability one half.
 
@@ -36,10 +37,8 @@ FOLDS = 3
 SAMPLE = 2500
 LEAST_TEXTS = 3
 PREFIXES = (4, 5, 6)
-FEATURES = 1024
-#: Chi-square at one per cent over all bins (Bonferroni); with fewer than FEW such bins the best FEW are taken.
-SIGNIFICANT = 30.3
-FEW = 32
+#: Chi-square from which a bin counts as a feature of a category.
+SIGNIFICANT = 20.0
 STEPS = 150
 
 #: Bytes that belong to words: letters of the lower-cased text; all others separate.
@@ -105,6 +104,8 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _fit(bins, starts, idf, extra, y) -> Linear:
     """Logistic regression by Adagrad over all texts at once, with a light ridge; both values weigh the same."""
     n = len(y)
+    used = idf[bins] > 0
+    starts, bins = np.concatenate([[0], np.cumsum(used)])[starts], bins[used]
     owner = np.repeat(np.arange(n), np.diff(starts))
     value = idf[bins]
     used, at = np.unique(bins, return_inverse=True)
@@ -141,6 +142,23 @@ def _chi_square(given: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.where(spread > 0, n * (a * n - x * y) ** 2 / np.maximum(spread, 1.0), 0.0)
 
 
+def _telling(counts: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray) -> np.ndarray:
+    """``weight`` of the bins that tell the values of some category apart, 0 for all others."""
+    told = np.zeros(len(weight), bool)
+    for given, ones in counts:
+        told |= _chi_square(given, ones) >= SIGNIFICANT
+    return np.where(told, weight, 0).astype(np.float32)
+
+
+def _counted(bins, starts, y, keep) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the kept texts with a value of ``y`` hold each bin, and how many of value 1; last, all of those."""
+    out = []
+    for which in (keep & ~np.isnan(y), keep & (y == 1)):
+        held, _ = _rows(bins, starts, which)
+        out.append(np.append(np.bincount(held, minlength=BINS), which.sum()).astype(np.float64))
+    return out[0], out[1]
+
+
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str]) -> Chain:
     """A chain from labelled texts; ``categories`` maps each category, in order, to a 0/1 SQL expression over labels."""
     names = list(categories)
@@ -178,13 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str]) -> Chain
     counts[:, rows["bin"].to_numpy(np.int64)] = rows[columns].to_numpy(np.float64).T
     df, n = counts[0, :BINS], counts[0, BINS]
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    chosen = np.zeros(BINS, bool)
-    for k in range(len(names)):
-        score = np.where(df >= LEAST_TEXTS, _chi_square(counts[1 + 2 * k], counts[2 + 2 * k]), 0.0)
-        best = np.argsort(-score, kind="stable")[:FEATURES]
-        surely = best[score[best] >= SIGNIFICANT]
-        chosen[surely if len(surely) >= FEW else best[:FEW][score[best[:FEW]] > 0]] = True
-    idf = np.where(chosen, idf / max(1.0, float(idf.max())), 0).astype(np.float32)
+    usual = df >= LEAST_TEXTS
+    weight = np.where(usual, idf / max(1.0, float(idf.max())), 0).astype(np.float32)
+    idf = _telling([(counts[1 + 2 * k], counts[2 + 2 * k]) for k in range(len(names))], weight)
     chain = Chain(names, idf)
 
     cells = {(c, v): known.filter(F.col(c) == v).count() for c in names for v in (0, 1)}
@@ -199,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str]) -> Chain
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             bins, starts = word_bins(part.column(0))
-            kept = [x[idf[x] > 0].tobytes() for x in (bins[a:b] for a, b in zip(starts, starts[1:]))]
+            kept = [x[weight[x] > 0].tobytes() for x in (bins[a:b] for a, b in zip(starts, starts[1:]))]
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(kept, pa.binary())], [*part.schema.names[1:], "bins"])
 
     schema = f"id string, {', '.join(f'{c} int' for c in names)}, fold int, bins binary"
@@ -222,7 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str]) -> Chain
             for k in range(FOLDS):
                 inside, out = given & (fold != k), fold == k
                 if inside.any() and out.any():
-                    m = _fit(*_rows(bins, starts, inside), idf, earlier[inside], y[inside])
+                    seen = _telling([_counted(bins, starts, got[n].to_numpy(np.float64, na_value=np.nan), fold != k) for n in names], weight)
+                    m = _fit(*_rows(bins, starts, inside), seen, earlier[inside], y[inside])
                     b, s = _rows(bins, starts, out)
                     held[out] = _sigmoid(_sums(m.weights[b], s) + earlier[out] @ m.extra + m.constant)
             earlier = np.column_stack([earlier, held])
