@@ -51,7 +51,8 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # Documents have no paths: each lies in a folder of its own, so that none lends its licence to another.
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("text"))
     found = licenses.scanned(docs.select(F.col("doc_id").alias("key"), path.alias("path"), "text"))
     return found.select(F.col("key").alias("doc_id"), "path", "license", "score", "how", "from_dir")
 
