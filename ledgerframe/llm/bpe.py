@@ -29,6 +29,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +41,13 @@ from .common import cut, slices
 PIECE = 32768
 FAN = 8
 AGREE = 8
-EDGE = 2048
+EDGE = 256
 #: Characters on either side of a cut that the first window takes.
-REACH = 256
+REACH = 128
 #: Bytes that a worker process keeps of runs it has met, and the longest run that is kept.
 CACHE_BYTES = 96 << 20
 CACHED_RUN = 256
-_ENTRY = 400
+_ENTRY = 120
 #: Characters of long text that one task is dealt.
 DEALT = 1 << 20
 
@@ -56,7 +57,7 @@ _SIGNS = re.escape("!\"#$%&()*+,-./:;=?@[\\]^_`{}~")
 _SAFE = f"{_LETTERS}0-9{_SIGNS}"
 #: A run with any other character stays whole; other runs fall into letters, single digits and signs.
 _PIECES = re.compile(rf"[{_SAFE}]*+[^{_SAFE} \t\n\r][^ \t\n\r]*+|[{_LETTERS}]++|[0-9]|[{_SIGNS}]++")
-_PLAIN = re.compile(rf"[{_LETTERS}]++|[0-9]|[{_SIGNS}]++")
+_UNSAFE = re.compile(rf"[^{_SAFE}]")
 #: Fixed value: the split that makes the pieces above exact.
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -98,10 +99,6 @@ class Piece:
     head: np.ndarray
     tail: np.ndarray
 
-    @classmethod
-    def of(cls, text: str, ids: np.ndarray, places: np.ndarray) -> Piece:
-        return cls(text, ids, places[:EDGE], places[-EDGE:] - len(text))
-
 
 class Codec:
     """Encodes and decodes texts; keeps the ids of short runs it has met."""
@@ -127,7 +124,7 @@ class Codec:
 
     def _keep(self, w: str, joined: str, decoded: str) -> None:
         self.ids[w], self.decoded[w] = joined, decoded
-        self.held += _ENTRY + 4 * len(w) + len(joined) + 4 * len(decoded)
+        self.held += _ENTRY + getsizeof(w) + getsizeof(joined) + getsizeof(decoded)
         if not joined:
             self.void.add(w)
 
@@ -137,9 +134,10 @@ class Codec:
             self._forget()
         missing = words.difference(self.ids)
         ids, decoded = self.older
-        for w in missing.intersection(ids):
+        known = [w for w in missing if w in ids]
+        for w in known:
             self._keep(w, ids[w], decoded[w])
-        return missing.difference(ids)
+        return missing.difference(known)
 
     def _has_word_form(self) -> bool:
         form = json.loads(self.tokenizer.to_str())
@@ -157,23 +155,19 @@ class Codec:
     # ---- runs and their cache
 
     def _learn(self, words: list[str]) -> None:
-        tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        rest, done, found = [], [], []
+        tokenize, letters, unsafe = self.tokenizer.model.tokenize, self.letters, _UNSAFE.search
+        rest = []
         for w in words:
-            if self.by_pieces and len(w) <= CACHED_RUN and _PLAIN.fullmatch(w):
+            if self.by_pieces and len(w) <= CACHED_RUN and not unsafe(w):
                 low = w.lower()
                 if not low.isascii():
                     low = low.encode().decode("latin-1").translate(letters)
-                done.append(w)
-                found.append([t.id for t in tokenize(low)])
+                made = tokenize(low)
+                self._keep(w, " ".join([str(t.id) for t in made]), " ".join([t.value for t in made]))
             else:
                 rest.append(w)
-        if rest:
-            done += rest
-            found += [e.ids for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)]
-        decoded = self.tokenizer.decode_batch(found, skip_special_tokens=False) if self.joins else [""] * len(found)
-        for w, ids, d in zip(done, found, decoded):
-            self._keep(w, " ".join(map(str, ids)), d)
+        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False) if rest else ()):
+            self._keep(w, " ".join(map(str, e.ids)), " ".join(e.tokens))
 
     def encode(self, texts: list[str | None]) -> list[tuple[str, str]]:
         """The ids as text joined by blanks, and the decoded text, of each of a slice of texts."""
@@ -192,7 +186,7 @@ class Codec:
                 out.append((joined, self.decode(np.fromstring(joined, np.int32, sep=" "))))
         for w in missing:
             if len(w) > CACHED_RUN:
-                self.held -= _ENTRY + 4 * len(w) + len(self.ids.pop(w)) + 4 * len(self.decoded.pop(w))
+                self.held -= _ENTRY + getsizeof(w) + getsizeof(self.ids.pop(w)) + getsizeof(self.decoded.pop(w))
                 self.void.discard(w)
         return out
 
@@ -201,26 +195,50 @@ class Codec:
 
     # ---- pieces of long texts
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of ``text`` and their places: those of the run for a cached one, of the token itself in a longer one."""
-        spans = [(m.group(), m.start(), m.end()) for m in self.runs.finditer(text)]
-        missing = self._missing({w for w, _, _ in spans if len(w) <= CACHED_RUN})
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of ``text``, and the places of its first and last ``EDGE`` tokens or of all of them: those of
+        the run for a cached one, of the token itself in a longer one."""
+        words = self.runs.findall(text)
+        distinct = set(words)
+        missing = self._missing({w for w in distinct if len(w) <= CACHED_RUN})
         if missing:
             self._learn(list(missing))
-        ids, places = [], []
-        for w, a, b in spans:
-            if len(w) <= CACHED_RUN:
-                mine = self.ids[w].split()
-                ids += map(int, mine)
-                places += [(a, b)] * len(mine)
-            else:
+        longer = {}
+        for w in distinct:
+            if len(w) > CACHED_RUN:
                 e = self.tokenizer.encode(w, add_special_tokens=False)
-                ids += e.ids
-                places += [(a + s, a + t) for s, t in e.offsets]
-        return np.array(ids, np.int32), np.array(places, np.int64).reshape(-1, 2)
+                longer[w] = " ".join(map(str, e.ids)), e.offsets
+        parts = [longer[w][0] if w in longer else self.ids[w] for w in words] if longer else list(map(self.ids.__getitem__, words))
+        if longer or self.void:
+            parts = [x for x in parts if x]
+        ids = np.fromstring(" ".join(parts), np.int32, sep=" ")
+
+        def places(start: int, most: float) -> np.ndarray:
+            """Places of the tokens from a character on, up to about ``most`` of them."""
+            found: list[tuple[int, int]] = []
+            for m in self.runs.finditer(text, start):
+                w, (a, b) = m.group(), m.span()
+                if w in longer:
+                    found += [(a + x, a + y) for x, y in longer[w][1]]
+                elif self.ids[w]:
+                    found += [(a, b)] * (self.ids[w].count(" ") + 1)
+                if len(found) >= most:
+                    break
+            return np.array(found, np.int64).reshape(-1, 2)
+
+        head, reach = places(0, EDGE)[:EDGE], 4 * EDGE
+        if len(ids) <= EDGE:
+            return ids, head, head
+        while True:  # runs end at white space, so that the last of them are found from any blank on
+            start = max(0, text.rfind(" ", 0, max(0, len(text) - reach)))
+            tail = places(start, float("inf"))
+            if len(tail) >= EDGE:
+                return ids, head, tail[-EDGE:]
+            reach *= 4
 
     def piece(self, text: str) -> Piece:
-        return Piece.of(text, *self.tokens(text))
+        ids, head, tail = self.tokens(text)
+        return Piece(text, ids, head, tail - len(text))
 
     def join(self, left: Piece, right: Piece) -> Piece:
         """The piece of both texts; its ids are those of the whole."""
@@ -228,10 +246,14 @@ class Codec:
         reach = REACH
         while True:
             a, b = max(0, mid - reach), min(total, mid + reach)
-            ids, places = self.tokens(left.text[a:] + right.text[: b - mid])
-            places = places + a
+            around = left.text[a:] + right.text[: b - mid]
+            ids, places, tail = self.tokens(around)
             if a == 0 and b == total:
-                return Piece.of(left.text + right.text, ids, places)
+                return Piece(around, ids, places, tail - total)
+            if len(ids) > len(places):  # a window beyond what places are kept of
+                reach = total
+                continue
+            places = places + a
             window = [(i, s, e) for i, (s, e) in zip(ids.tolist(), places.tolist())]
             k, m = len(left.tail), len(right.head)
             before = [(i, s + mid, e + mid) for i, (s, e) in zip(left.ids[len(left.ids) - k :].tolist(), left.tail.tolist())]
