@@ -51,16 +51,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: lineage ends there.
 
+    With ``by``, its last column, rows of one value lie in a folder of their own.
+
     Survives lost executors, and later passes prune columns of the stored table instead of
     recomputing. The table is removed by ``discard``, at the latest when the driver exits.
     """
-    return cut_all([df], name)
+    return cut_all([df], name, by)
 
 
-def cut_all(parts: Iterable[DataFrame], name: str) -> DataFrame:
+def cut_all(parts: Iterable[DataFrame], name: str, by: str | None = None) -> DataFrame:
     """The union of ``parts``, written one after the other into one table as ``cut`` does."""
     path = None
     for df in parts:
@@ -68,7 +70,8 @@ def cut_all(parts: Iterable[DataFrame], name: str) -> DataFrame:
         if path is None:
             path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
             atexit.register(_remove, spark, path)
-        df.write.option("compression", "zstd").mode("append").parquet(path)
+        out = df.write.option("compression", "zstd").mode("append")
+        (out.partitionBy(by) if by else out).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.scratch = path
     return out

@@ -11,6 +11,11 @@ of counters are merged by position, and a bitmap of the counters that reach two
 looks up every window; only windows estimated as repeated are grouped exactly, by a 128-bit hash
 of their words, and each group's smallest id decides. None is lost: an estimate is never too low.
 
+Beyond ``RANGE_KEYS`` keys, the stored keys are dealt once into ranges of their hash and each range
+has a sketch of its own, with as many counters a key, that its keys are looked up in: the share of
+unrepeated windows let through is the same at every size. Each document's keys that are estimated
+as repeated then go back to its text. A range is written and read once; one job follows another.
+
 Documents that repeat a whole earlier document are settled by a hash of the whole before that.
 
 Defined results: a null text has no words. Ids compare as numbers, a null id as larger than all
@@ -21,7 +26,7 @@ read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import numpy as np
@@ -29,15 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SKETCH, Words, as_long, block_width, cut, emit_positions, is_set, keyed, mix, next_pow2, repeated_positions, slices, span_hash
+from .common import SKETCH, Words, as_long, block_width, cut, cut_all, discard, emit_positions, is_set, keyed, mix, next_pow2, repeated_positions, slices, span_hash, without_others
 
 WINDOW = 50
 SEED = 25
 ROWS = 2
-#: Counters per sketch row: eight per key, 2**28 at most (a bitmap of 32 MB a row). Beyond 2**25
-#: keys the estimates grow looser and more windows reach the exact pass; none is lost.
+#: Counters per key in each row of a sketch, and keys of one sketch (a bitmap of 32 MB a row at most).
 COUNTERS_PER_KEY = 8
-MAX_COUNTERS = 1 << 28
+RANGE_KEYS = 1 << 25
 
 
 class Windows:
@@ -91,12 +95,11 @@ def _summaries(docs: DataFrame, window: int) -> DataFrame:
     return keyed(docs).mapInArrow(run, "id long, th long, n_words long, h1 long, h2 long, sha binary, keys binary")
 
 
-def _sketch(firsts: DataFrame) -> tuple[np.ndarray, int]:
-    """Bitmap of the counters that reach two over the keys of ``firsts``; and the counters per row."""
-    n = firsts.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0)) / 8).first()[0]
-    size = min(MAX_COUNTERS, max(1 << 15, next_pow2(int(COUNTERS_PER_KEY * n) + 1)))
+def _sketch(firsts: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """Bitmap of the counters that reach two over the keys of ``firsts``, about n; and the counters per row."""
+    size = max(1 << 15, next_pow2(COUNTERS_PER_KEY * n + 1))
     bits = ROWS * size
-    width = block_width(bits, ROWS * int(n))
+    width = block_width(bits, ROWS * n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +110,51 @@ def _sketch(firsts: DataFrame) -> tuple[np.ndarray, int]:
     return repeated_positions(firsts.select("keys").mapInArrow(run, SKETCH), bits, width), size
 
 
-def removals(docs: DataFrame, window: int = WINDOW, keep: str = "sha") -> DataFrame:
+def _estimate(bitmap: np.ndarray, size: int, key: np.ndarray) -> np.ndarray:
+    """Whether each key's estimated count is two or more."""
+    return is_set(bitmap, counters(key, size)).all(axis=1) if len(key) else np.zeros(0, bool)
+
+
+def _dealt(judged: DataFrame, ranges: int) -> DataFrame:
+    """id, th, and the keys of each document by range of their hash; rows of a range lie together."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for id_, th, held in zip(*(c.to_pylist() for c in batch.columns)):
+                key = np.frombuffer(held, np.uint64)
+                into = (mix(~key) >> np.uint64(32)) % np.uint64(ranges)
+                by = np.argsort(into, kind="stable")
+                parts, at = np.unique(into[by], return_index=True)
+                if len(parts):
+                    pieces = [x.tobytes() for x in np.split(key[by], at[1:])]
+                    yield pa.RecordBatch.from_pydict(
+                        {"id": [id_] * len(parts), "th": [th] * len(parts), "keys": pieces, "part": parts.astype(np.int64)},
+                        pa.schema([("id", pa.int64()), ("th", pa.int64()), ("keys", pa.binary()), ("part", pa.int64())]),
+                    )
+
+    rows = judged.select("id", "th", "keys").mapInArrow(deal, "id long, th long, keys binary, part long")
+    return cut(rows.repartition("part", F.pmod("th", F.lit(16))), "substring-dealt", "part")
+
+
+def _repeated_keys(dealt: DataFrame, ranges: int, n: int) -> Iterator[DataFrame]:
+    """id, th and the keys estimated as repeated, of each document that has any, range by range."""
+    for r in range(ranges):
+        mine = dealt.filter(F.col("part") == r).drop("part")
+        bitmap, size = _sketch(mine, -(-n // ranges))
+        shared = dealt.sparkSession.sparkContext.broadcast(bitmap)
+
+        def test(batches: Iterator[pa.RecordBatch], shared=shared, size=size) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+                hits = [x[_estimate(shared.value, size, x)].tobytes() for x in held]
+                found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.binary())], ["id", "th", "keys"])
+                yield found.filter(pa.array([len(x) > 0 for x in hits], pa.bool_()))
+
+        yield mine.mapInArrow(test, "id long, th long, keys binary")
+        shared.unpersist()
+
+
+def removals(docs: DataFrame, window: int = WINDOW, keep: str = "sha", range_keys: int = RANGE_KEYS) -> DataFrame:
     """One row per document: id, th, n_words, n_removed, kept_sha (of the words that stay).
 
     With ``keep="text"`` rows that lose words also carry those that stay, in ``kept``.
@@ -117,8 +164,10 @@ def removals(docs: DataFrame, window: int = WINDOW, keep: str = "sha") -> DataFr
     copies = cut(copies.filter("first < last").drop("last"), "substring-copies")
     judged = every.join(copies, ["h1", "h2", "n_words"], "left")
     judged = cut(judged.select("id", "th", "n_words", "sha", "keys", F.coalesce(F.col("id") > F.col("first"), F.lit(False)).alias("copy")), "substring-judged")
-    bitmap, size = _sketch(judged.filter("not copy"))
-    touched = _partial(docs, bitmap, size, window, keep)
+    own = judged.filter("not copy")
+    n = int(own.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0)) / 8).first()[0])
+    texts, estimated = _by_sketch(docs, own, n, window) if n <= range_keys else _by_ranges(docs, own, n, -(-n // range_keys))
+    touched = _partial(texts, estimated, window, keep)
     nothing = F.unhex(F.sha2(F.lit(""), 256))
     out = judged.join(touched, ["id", "th"], "left").select(
         "id",
@@ -131,24 +180,46 @@ def removals(docs: DataFrame, window: int = WINDOW, keep: str = "sha") -> DataFr
     return out
 
 
-def _partial(docs: DataFrame, bitmap: np.ndarray, size: int, window: int, keep: str) -> DataFrame:
-    """Documents that lose words to another's window: id, th, removed, kept_sha (and kept)."""
+def _by_sketch(docs: DataFrame, own: DataFrame, n: int, window: int) -> tuple[DataFrame, Callable]:
+    """Texts (id, th, text) with windows estimated as repeated, and which windows these are: one sketch, sent to the texts."""
+    bitmap, size = _sketch(own, n)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    def estimated(w: Windows) -> np.ndarray:
-        return is_set(shared.value, counters(w.key, size)).all(axis=1) if len(w.key) else np.zeros(0, bool)
-
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             w = Windows(part.column(2), window, window // 2)
-            found = np.unique(w.text[estimated(w)])
+            found = np.unique(w.text[_estimate(shared.value, size, w.key)])
             if len(found):
                 yield part.take(pa.array(found))
 
+    texts = cut(keyed(docs).mapInArrow(candidates, "id long, th long, text string"), "substring-candidates")
+    return texts, lambda w, part: _estimate(shared.value, size, w.key)
+
+
+def _by_ranges(docs: DataFrame, own: DataFrame, n: int, ranges: int) -> tuple[DataFrame, Callable]:
+    """As ``_by_sketch``, by a sketch per range of keys; the texts carry their repeated keys."""
+    dealt = _dealt(own, ranges)
+    found = cut_all(_repeated_keys(dealt, ranges, n), "substring-repeated")
+    discard(dealt)
+    hits = cut(found.groupBy("id", "th").agg(F.collect_set("keys").alias("keys")), "substring-hits")
+    rows = without_others(keyed(docs), hits.select("th"), "th")
+    texts = cut(rows.join(hits, ["id", "th"]).select("id", "th", "text", "keys"), "substring-candidates")
+    discard(found, hits)
+
+    def estimated(w: Windows, part: pa.RecordBatch) -> np.ndarray:
+        held = part.column(3).flatten().to_pylist()  # a key repeated for one text is so for all
+        return np.isin(w.key, np.frombuffer(b"".join(held), np.uint64))
+
+    return texts, estimated
+
+
+def _partial(texts: DataFrame, estimated: Callable, window: int, keep: str) -> DataFrame:
+    """Documents that lose words to another's window: id, th, removed, kept_sha (and kept)."""
+
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             w = Windows(part.column(2), window, window // 2)
-            which = np.flatnonzero(estimated(w))
+            which = np.flatnonzero(estimated(w, part))
             if not len(which):
                 continue
             a, b = w.hash128(which)
@@ -185,7 +256,6 @@ def _partial(docs: DataFrame, bitmap: np.ndarray, size: int, window: int, keep:
                 columns, names = [*columns, pa.array(kept, pa.string())], [*names, "kept"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    texts = cut(keyed(docs).mapInArrow(candidates, "id long, th long, text string"), "substring-candidates")
     found = texts.mapInArrow(occurrences, "id long, th long, a long, b long, at binary")
     firsts = found.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
     firsts = cut(firsts, "substring-firsts")  # both sides of the next join are plain exchanges: hot windows can be split

@@ -398,6 +398,8 @@ def test_substring_dedup_matches_brute_force(docs, rows, nothing):
     got = substring_dedup.removals(docs).collect()
     assert Counter((r["id"], r["n_words"], r["n_removed"], bytes(r["kept_sha"]).hex()) for r in got) == want
     assert any(k[2] for k in want)
+    ranged = substring_dedup.removals(docs, range_keys=40).collect()  # many ranges, a sketch each
+    assert Counter((r["id"], r["n_words"], r["n_removed"], bytes(r["kept_sha"]).hex()) for r in ranged) == want
     texts = {r["id"]: r["kept"] for r in substring_dedup.removals(docs, keep="text").collect() if r["n_removed"]}
     assert all(hashlib.sha256(texts[r["id"]].encode()).hexdigest() == bytes(r["kept_sha"]).hex() for r in got if r["n_removed"])
     assert substring_dedup.removals(nothing).count() == 0
