@@ -95,6 +95,13 @@ def _summaries(docs: DataFrame, window: int) -> DataFrame:
     return keyed(docs).mapInArrow(run, "id long, th long, n_words long, h1 long, h2 long, sha binary, keys binary")
 
 
+def _flat(keys: pa.Array) -> np.ndarray:
+    """All keys of a column that holds a list, the bytes of several, or one in each row."""
+    if pa.types.is_binary(keys.type):
+        return np.frombuffer(b"".join(keys.to_pylist()), np.uint64)
+    return (keys.flatten() if pa.types.is_list(keys.type) else keys).to_numpy(zero_copy_only=False).view(np.uint64)
+
+
 def _sketch(firsts: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """Bitmap of the counters that reach two over the keys of ``firsts``, about n; and the counters per row."""
     size = max(1 << 15, next_pow2(COUNTERS_PER_KEY * n + 1))
@@ -103,9 +110,9 @@ def _sketch(firsts: DataFrame, n: int) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = b"".join(x for x in batch.column(0).to_pylist() if x)
-            if held:
-                yield emit_positions(counters(np.frombuffer(held, np.uint64), size).ravel(), width)
+            key = _flat(batch.column(0))
+            if len(key):
+                yield emit_positions(counters(key, size).ravel(), width)
 
     return repeated_positions(firsts.select("keys").mapInArrow(run, SKETCH), bits, width), size
 
@@ -115,29 +122,22 @@ def _estimate(bitmap: np.ndarray, size: int, key: np.ndarray) -> np.ndarray:
     return is_set(bitmap, counters(key, size)).all(axis=1) if len(key) else np.zeros(0, bool)
 
 
-def _dealt(judged: DataFrame, ranges: int) -> DataFrame:
-    """id, th, and the keys of each document by range of their hash; rows of a range lie together."""
+def _dealt(own: DataFrame, ranges: int) -> DataFrame:
+    """id, th, key, and the range of its hash, of every key; the rows of a range lie together."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for id_, th, held in zip(*(c.to_pylist() for c in batch.columns)):
-                key = np.frombuffer(held, np.uint64)
-                into = (mix(~key) >> np.uint64(32)) % np.uint64(ranges)
-                by = np.argsort(into, kind="stable")
-                parts, at = np.unique(into[by], return_index=True)
-                if len(parts):
-                    pieces = [x.tobytes() for x in np.split(key[by], at[1:])]
-                    yield pa.RecordBatch.from_pydict(
-                        {"id": [id_] * len(parts), "th": [th] * len(parts), "keys": pieces, "part": parts.astype(np.int64)},
-                        pa.schema([("id", pa.int64()), ("th", pa.int64()), ("keys", pa.binary()), ("part", pa.int64())]),
-                    )
-
-    rows = judged.select("id", "th", "keys").mapInArrow(deal, "id long, th long, keys binary, part long")
+            key = _flat(batch.column(2))
+            each = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) // 8 for x in batch.column(2).to_pylist()]))
+            part = ((mix(~key) >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(each), batch.column(1).take(each), pa.array(as_long(key)), pa.array(part)], ["id", "th", "keys", "part"])
+
+    rows = own.select("id", "th", "keys").mapInArrow(deal, "id long, th long, keys long, part long")
     return cut(rows.repartition("part", F.pmod("th", F.lit(16))), "substring-dealt", "part")
 
 
 def _repeated_keys(dealt: DataFrame, ranges: int, n: int) -> Iterator[DataFrame]:
-    """id, th and the keys estimated as repeated, of each document that has any, range by range."""
+    """The rows of ``dealt`` whose key is estimated as repeated, range by range."""
     for r in range(ranges):
         mine = dealt.filter(F.col("part") == r).drop("part")
         bitmap, size = _sketch(mine, -(-n // ranges))
@@ -145,12 +145,9 @@ def _repeated_keys(dealt: DataFrame, ranges: int, n: int) -> Iterator[DataFrame]
 
         def test(batches: Iterator[pa.RecordBatch], shared=shared, size=size) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                held = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-                hits = [x[_estimate(shared.value, size, x)].tobytes() for x in held]
-                found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.binary())], ["id", "th", "keys"])
-                yield found.filter(pa.array([len(x) > 0 for x in hits], pa.bool_()))
+                yield batch.filter(pa.array(_estimate(shared.value, size, _flat(batch.column(2))), pa.bool_()))
 
-        yield mine.mapInArrow(test, "id long, th long, keys binary")
+        yield mine.mapInArrow(test, mine.schema)
         shared.unpersist()
 
 
@@ -207,8 +204,7 @@ def _by_ranges(docs: DataFrame, own: DataFrame, n: int, ranges: int) -> tuple[Da
     discard(found, hits)
 
     def estimated(w: Windows, part: pa.RecordBatch) -> np.ndarray:
-        held = part.column(3).flatten().to_pylist()  # a key repeated for one text is so for all
-        return np.isin(w.key, np.frombuffer(b"".join(held), np.uint64))
+        return np.isin(w.key, _flat(part.column(3)))  # a key repeated for one text is so for all
 
     return texts, estimated
 
