@@ -8,11 +8,11 @@ Pass 1 counts windows in a count-min sketch. Its key of a window is the smallest
 one, so that a text has about one key per 13 words and a key's count is never below the count of
 any of its windows. Each partition sends what it adds to the counters (saturating at two), blocks
 of counters are merged by position, and a bitmap of the counters that reach two comes back. Pass 2
-looks up every window; only windows estimated as repeated are grouped exactly, by a 128-bit hash
+looks up every key; only windows estimated as repeated are grouped exactly, by a 128-bit hash
 of their words, and each group's smallest id decides. None is lost: an estimate is never too low.
 
-Beyond ``RANGE_KEYS`` keys, the stored keys are dealt once into ranges of their hash and each range
-has a sketch of its own, with as many counters a key, that its keys are looked up in: the share of
+Keys are dealt into ranges of their hash of about ``RANGE_KEYS`` keys. Each has a sketch of its own,
+with the same number of counters a key, that the range's keys are looked up in: the share of
 unrepeated windows let through is the same at every size. Each document's keys that are estimated
 as repeated then go back to its text. A range is written and read once; one job follows another.
 
@@ -26,7 +26,7 @@ read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
@@ -162,9 +162,7 @@ def removals(docs: DataFrame, window: int = WINDOW, keep: str = "sha", range_key
     judged = every.join(copies, ["h1", "h2", "n_words"], "left")
     judged = cut(judged.select("id", "th", "n_words", "sha", "keys", F.coalesce(F.col("id") > F.col("first"), F.lit(False)).alias("copy")), "substring-judged")
     own = judged.filter("not copy")
-    n = int(own.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0)) / 8).first()[0])
-    texts, estimated = _by_sketch(docs, own, n, window) if n <= range_keys else _by_ranges(docs, own, n, -(-n // range_keys))
-    touched = _partial(texts, estimated, window, keep)
+    touched = _partial(_candidates(docs, own, range_keys), window, keep)
     nothing = F.unhex(F.sha2(F.lit(""), 256))
     out = judged.join(touched, ["id", "th"], "left").select(
         "id",
@@ -177,24 +175,10 @@ def removals(docs: DataFrame, window: int = WINDOW, keep: str = "sha", range_key
     return out
 
 
-def _by_sketch(docs: DataFrame, own: DataFrame, n: int, window: int) -> tuple[DataFrame, Callable]:
-    """Texts (id, th, text) with windows estimated as repeated, and which windows these are: one sketch, sent to the texts."""
-    bitmap, size = _sketch(own, n)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            w = Windows(part.column(2), window, window // 2)
-            found = np.unique(w.text[_estimate(shared.value, size, w.key)])
-            if len(found):
-                yield part.take(pa.array(found))
-
-    texts = cut(keyed(docs).mapInArrow(candidates, "id long, th long, text string"), "substring-candidates")
-    return texts, lambda w, part: _estimate(shared.value, size, w.key)
-
-
-def _by_ranges(docs: DataFrame, own: DataFrame, n: int, ranges: int) -> tuple[DataFrame, Callable]:
-    """As ``_by_sketch``, by a sketch per range of keys; the texts carry their repeated keys."""
+def _candidates(docs: DataFrame, own: DataFrame, range_keys: int) -> DataFrame:
+    """id, th, text of the documents with keys estimated as repeated, and these keys."""
+    n = int(own.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0)) / 8).first()[0])
+    ranges = max(1, -(-n // range_keys))
     dealt = _dealt(own, ranges)
     found = cut_all(_repeated_keys(dealt, ranges, n), "substring-repeated")
     discard(dealt)
@@ -202,20 +186,16 @@ def _by_ranges(docs: DataFrame, own: DataFrame, n: int, ranges: int) -> tuple[Da
     rows = without_others(keyed(docs), hits.select("th"), "th")
     texts = cut(rows.join(hits, ["id", "th"]).select("id", "th", "text", "keys"), "substring-candidates")
     discard(found, hits)
-
-    def estimated(w: Windows, part: pa.RecordBatch) -> np.ndarray:
-        return np.isin(w.key, _flat(part.column(3)))  # a key repeated for one text is so for all
-
-    return texts, estimated
+    return texts
 
 
-def _partial(texts: DataFrame, estimated: Callable, window: int, keep: str) -> DataFrame:
+def _partial(texts: DataFrame, window: int, keep: str) -> DataFrame:
     """Documents that lose words to another's window: id, th, removed, kept_sha (and kept)."""
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             w = Windows(part.column(2), window, window // 2)
-            which = np.flatnonzero(estimated(w, part))
+            which = np.flatnonzero(np.isin(w.key, _flat(part.column(3))))  # a key repeated for one text is so for all
             if not len(which):
                 continue
             a, b = w.hash128(which)
