@@ -122,6 +122,11 @@ class Codec:
         self.void: set[str] = set()
         self.held = 0
 
+    def release(self) -> None:
+        """Empties the cache: workers take turns, and memory kept by one that waits is lost to the others."""
+        self._forget()
+        self._forget()
+
     def _keep(self, w: str, joined: str, decoded: str) -> None:
         self.ids[w], self.decoded[w] = joined, decoded
         self.held += _ENTRY + getsizeof(w) + getsizeof(joined) + getsizeof(decoded)
@@ -324,7 +329,7 @@ _CODECS: dict[str, Codec] = {}
 
 
 def codec(path: str) -> Codec:
-    """One codec per worker process, so that its cache lasts over batches and tasks."""
+    """One codec per worker process, so that the vocabulary is read once; tasks empty its cache when they end."""
     if path not in _CODECS:
         _CODECS[path] = Codec(path)
     return _CODECS[path]
@@ -379,9 +384,12 @@ def _encode(docs: DataFrame, path: str, piece: int, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for part in slices(batches, 1 << 19):
-            columns = _columns(c.encode(part.column(1).to_pylist()), kind)
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns.values()], ["doc_id", *columns])
+        try:
+            for part in slices(batches, 1 << 19):
+                columns = _columns(c.encode(part.column(1).to_pylist()), kind)
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns.values()], ["doc_id", *columns])
+        finally:
+            c.release()
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     is_long = F.coalesce(F.length("text") > piece, F.lit(False))
@@ -413,8 +421,11 @@ def _long(texts: DataFrame, path: str, piece: int, kind: str, longest: int, char
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for part in slices(batches, 1 << 19):
-            yield record(part.column(0), part.column(1), [c.piece(t) for t in part.column(2).to_pylist()])
+        try:
+            for part in slices(batches, 1 << 19):
+                yield record(part.column(0), part.column(1), [c.piece(t) for t in part.column(2).to_pylist()])
+        finally:
+            c.release()
 
     def upward(table: pa.Table) -> pa.Table:
         rows = table.sort_by("at").to_pylist()
