@@ -13,7 +13,9 @@ template of the largest cosine, if it reaches ``LEAST_COSINE`` and the header ho
 identifying words (names and versions). "All rights reserved" counts only if no licence is found.
 
 A file is a licence file if its name says so or if its licence statements make up ``FILE_SHARE`` of
-its words (all of them, if the whole text was matched); it speaks for its directory. A file without
+its words (all of them, if the whole text was matched); it speaks for its directory. Where paths end
+in no names that people chose, as those of rows in a table, a short text with a licence line is no
+licence file: without ``statements`` only a name or a matched full text makes one. A file without
 licence of its own takes that of the nearest directory above it that has one, by joins of ancestor paths.
 
 Defined results: the best header of a text decides, ties going to the earlier template and the
@@ -228,18 +230,18 @@ class Matcher:
                     best = (name, cosine, full[1])
         return best
 
-    def scan(self, text: str, named: bool = False) -> tuple[str | None, float, int]:
-        """Licence, cosine, and how many words all licence statements of the text hold."""
+    def scan(self, text: str, named: bool = False) -> tuple[str | None, float, int, bool]:
+        """Licence, cosine, how many words all licence statements of the text hold, and whether a full text was matched."""
         found: tuple[str | None, float] = (None, 0.0)
         covered = 0
         if not named and not cued(text):
-            return None, 0.0, 0
+            return None, 0.0, 0, False
         name, cosine = self._full(words(text), self.full)
         if cosine >= LEAST_WHOLE:
-            return name, cosine, len(text.split())
+            return name, cosine, len(text.split()), True
         block = self._above_code(text)
         if block:
-            return block
+            return *block, True
         groups: list[list[str]] = []  # neighbouring cue lines may be one statement that was wrapped
         last = None
         for k, line in enumerate(text.split("\n")):
@@ -262,7 +264,7 @@ class Matcher:
                         weaker = found[0] in (None, "proprietary")
                         if (weaker and taken[0] != "proprietary") or ((taken[0] != "proprietary" or weaker) and taken[1] > found[1] + 1e-12):
                             found = taken
-        return *found, covered
+        return *found, covered, False
 
     def _take(self, text: str) -> tuple[str, float] | None:
         k, cosine = self.nearest(text)
@@ -300,7 +302,7 @@ def idf(files: DataFrame) -> tuple[dict[str, float], float]:
 
 
 def own_licences(files: DataFrame) -> DataFrame:
-    """The rows of ``files`` (key, path, text): key, path, license, score, share (of words in licence statements)."""
+    """The rows of ``files`` (key, path, text): key, path, license, score, share (of words in licence statements), whole (a full text was matched)."""
     shared = files.sparkSession.sparkContext.broadcast((*idf(files), full_texts()))
     key_type = files.schema["key"].dataType.simpleString()
 
@@ -308,14 +310,15 @@ def own_licences(files: DataFrame) -> DataFrame:
         m = Matcher(*shared.value)
         for batch in batches:
             found = [(*m.scan(t, bool(_NAMED.search(p))), t) for p, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            share = [c / max(1, len(t.split())) if c else 0.0 for _, _, c, t in found]
+            share = [c / max(1, len(t.split())) if c else 0.0 for _, _, c, _, t in found]
+            whole = pa.array([f[3] for f in found], pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(share, pa.float64())],
-                ["key", "path", "license", "score", "share"],
+                [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(share, pa.float64()), whole],
+                ["key", "path", "license", "score", "share", "whole"],
             )
 
     chosen = files.select("key", F.coalesce("path", F.lit("")).alias("path"), text_or_empty().alias("text"))
-    return chosen.mapInArrow(run, f"key {key_type}, path string, license string, score double, share double")
+    return chosen.mapInArrow(run, f"key {key_type}, path string, license string, score double, share double, whole boolean")
 
 
 def directory(path: str | Column) -> Column:
@@ -323,10 +326,14 @@ def directory(path: str | Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def scanned(files: DataFrame) -> DataFrame:
-    """key, path, license, score, how (header, file, inherited or none), from_dir for every row of ``files``."""
+def scanned(files: DataFrame, statements: bool = True) -> DataFrame:
+    """key, path, license, score, how (header, file, inherited or none), from_dir for every row of ``files``.
+
+    ``statements``: whether a text that is mostly licence statements is a licence file.
+    """
     own = cut(own_licences(files).withColumn("dir", directory(F.col("path"))), "licence-own")
-    is_file = F.col("license").isNotNull() & (F.col("path").rlike(_FILE) | (F.col("share") >= FILE_SHARE))
+    mostly = (F.col("share") >= FILE_SHARE) & (F.lit(statements) | F.col("whole"))
+    is_file = F.col("license").isNotNull() & (F.col("path").rlike(_FILE) | mostly)
     own = own.withColumn("is_file", is_file)
     best = F.min(F.struct((-F.col("score")).alias("s"), "path", "license"))
     speaking = cut(own.filter("is_file").groupBy("dir").agg(best.alias("b")).select("dir", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score")), "licence-dirs")

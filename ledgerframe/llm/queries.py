@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, html, langid, licenses, minhash, mix, substring_dedup, topk, toxicity
-from .common import LARGEST
+from .common import LARGEST, text_or_empty
 
 WORDS_SQL = r"'[^\x20\x09-\x0D]+'"
 
@@ -51,9 +51,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    # Documents have no paths: each lies in a folder of its own, so that none lends its licence to another.
-    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("text"))
-    found = licenses.scanned(docs.select(F.col("doc_id").alias("key"), path.alias("path"), "text"))
+    # A document lies in the folder that its source names, which "/" may nest. Without a source its place is unknown: it
+    # gets a folder of its own that begins with "/", as no source's does; in the root it would speak for all.
+    source = F.regexp_replace(F.regexp_replace("source", "/+", "/"), "^/|/$", "")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(text_or_empty()))
+    path = F.when(source != "", F.concat_ws("/", source, name)).otherwise(F.concat(F.lit("/"), name, F.lit("/text")))
+    found = licenses.scanned(docs.select(F.col("doc_id").alias("key"), path.alias("path"), "text"), statements=False)
     return found.select(F.col("key").alias("doc_id"), "path", "license", "score", "how", "from_dir")
 
 

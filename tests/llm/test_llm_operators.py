@@ -447,6 +447,25 @@ def test_whole_licence_texts(spark):
     assert got == {k: (names[k // 2], "inherited" if k % 2 else "file") for k in range(2 * len(names))}
 
 
+def test_licence_texts_speak_for_their_source(spark, tmp_path):
+    full = dict(licenses.full_texts())
+    prose = "and nobody said a word about it until the morning came"
+    rows = [  # id, source, text, then what is wanted: licence, how, from_dir
+        (1, "code/one", full["MIT"], "MIT", "file", None), (2, "code/one", prose, "MIT", "inherited", "code/one"), (3, "code/one/lib", None, "MIT", "inherited", "code/one"), (4, "/code//one/", prose, "MIT", "inherited", "code/one"),
+        (5, "code/one", prose + "\nLicensed under the Apache License, Version 2.0.\n" + prose, "Apache-2.0", "header", None), (6, "code/one/dep", full["GPL-3.0"], "GPL-3.0", "file", None), (7, "code/one/dep", prose, "GPL-3.0", "inherited", "code/one/dep"),
+        (8, "code/two", prose, None, "none", None), (9, "code", prose, None, "none", None), (10, "code/one2", prose, None, "none", None), (None, "code/one", prose, "MIT", "inherited", "code/one"),
+        # without a source: neither lends nor borrows, whatever the ids
+        (11, None, full["GPL-2.0"], "GPL-2.0", "file", None), (12, None, prose, None, "none", None), (13, "", prose, None, "none", None), (14, "/", full["ISC"], "ISC", "file", None), (15, "//", prose, None, "none", None),
+        (None, None, full["MPL-2.0"], "MPL-2.0", "file", None), (None, None, prose + ".", None, "none", None), (16, "11", prose, None, "none", None),
+        # a short text with a licence line speaks for itself only
+        (17, "web", "Two words.\nThis work is licensed under the GNU General Public License, version 3.", "GPL-3.0", "header", None), (18, "web", prose, None, "none", None),
+    ]
+    docs = [(k, text, "en", source, 0) for k, source, text, *_ in rows]
+    spark.createDataFrame(docs, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r["doc_id"], r["license"], r["how"], r["from_dir"]) for r in QUERIES["op7_licenses"](spark, str(tmp_path)).collect())
+    assert got == Counter((k, *want) for k, _, _, *want in rows)
+
+
 def test_ordinary_headers(spark):
     wanted = {
         "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */": "GPL-2.0", "# SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1",
